@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pampero.functions.text import plain_digits
+from pampero.llm import matching as mt
 from pampero.llm.components import components, pairs_within
 from pampero.llm.leaks import leaks
 from pampero.llm.percentiles import from_summaries, percentiles, summaries
 from pampero.llm.residue import residue
 from pampero.llm.splits import assign_splits
 from pampero.llm.tokenizer import encode
-from pampero.session import table
+from pampero.session import table, written
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +35,64 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return assign_splits(m, "operacion_id", plain_digits(m.jugador_tm_id), _links(spark, d), F.col("es_destino_top_20"), shares)
 
 
+def _clubs(spark: SparkSession, d: str) -> DataFrame:
+    """Club names of both sources; reserve and youth sides are left out."""
+    p, u = table(spark, d, "plata"), table(spark, d, "uefa")
+    home = p.select(plain_digits(p.club_origen_id).alias("ent"), F.col("club_origen").alias("name"), F.col("club_origen_pais").alias("country"), F.col("club_origen_es_filial").alias("filial"))
+    # the destination names the same clubs by the same ids: more forms of a name
+    other = p.select(plain_digits(p.club_destino_id).alias("ent"), F.col("club_destino").alias("name"), F.col("club_destino_pais").alias("country"))
+    side = home.where("ent is not null").groupBy("ent").agg(F.max(F.coalesce(F.col("filial"), F.lit(False)) | F.coalesce(F.col("name").rlike(mt.RESERVE), F.lit(False))).alias("filial"))
+    a = home.drop("filial").unionByName(other).distinct().join(side.where("not filial"), "ent").select(F.lit("a").alias("side"), "ent", "name", "country")
+    names = F.explode(F.array("uefa_nombre", "uefa_nombre_oficial", "uefa_nombre_internacional", "uefa_nombre_corto"))
+    b = u.select(F.lit("b").alias("side"), plain_digits(u.uefa_club_id).alias("ent"), names.alias("name"), F.col("uefa_pais").alias("country")).distinct()
+    return a.unionByName(b)
+
+
+def _people(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """People of both sources, and which ids of plata are one person: the same name and country, birth years and heights that agree."""
+    p, f = table(spark, d, "plata"), table(spark, d, "fotmob")
+    tokens = F.udf(lambda v: " ".join(mt.person_tokens(v)), "string", useArrow=True)
+    same = F.udf(lambda v: mt.country(v), "string", useArrow=True)
+    role = F.udf(lambda v: mt.role_class(v), "string", useArrow=True)
+    born = F.substring("temporada_fichaje", 1, 4).try_cast("int") - F.when(F.col("edad_al_fichaje").between(14, 45), F.col("edad_al_fichaje"))
+    ids = p.select(plain_digits(p.jugador_tm_id).alias("id"), "nombre", "nacionalidad", "nacionalidad_2", born.alias("nacido"), "altura_cm", "pie", "posicion_tm").where("id is not null and nombre is not null")
+    one = ids.groupBy("id").agg(F.mode("nombre", True).alias("nombre"), F.mode("nacionalidad", True).alias("n1"), F.mode("nacionalidad_2", True).alias("n2"), F.mode("nacido", True).alias("nacido"), F.mode("altura_cm", True).alias("altura"), F.mode("pie", True).alias("pie"), F.mode("posicion_tm", True).alias("pos"))
+    one = one.select("id", tokens("nombre").alias("nombre"), F.concat_ws("|", same("n1"), same("n2")).alias("paises"), "nacido", "altura", F.coalesce(F.lower("pie"), F.lit("")).alias("pie"), role("pos").alias("rol"))
+    one = written(one, "mt-plata")
+    # a missing birth year or height takes the only one that others of the name have
+    years = one.groupBy("nombre", "paises").agg(F.min("nacido").alias("y0"), F.max("nacido").alias("y1"))
+    known = one.join(years, ["nombre", "paises"]).withColumn("nacido", F.coalesce("nacido", F.when(F.col("y0") == F.col("y1"), F.col("y0"))))
+    tall = known.groupBy("nombre", "paises", "nacido").agg(F.min("altura").alias("h0"), F.max("altura").alias("h1"))
+    known = known.alias("k").join(tall.alias("t"), [F.col("k.nombre") == F.col("t.nombre"), F.col("k.paises") == F.col("t.paises"), F.col("k.nacido").eqNullSafe(F.col("t.nacido"))]).select("k.*", F.coalesce("altura", F.when(F.col("h0") == F.col("h1"), F.col("h0"))).alias("h"))
+    keyed = known.withColumn("persona", F.when(F.col("nacido").isNull(), F.col("id")).otherwise(F.sha2(F.concat_ws("|", "nombre", "paises", "nacido", "h"), 256)))
+    members = written(keyed.select("id", "persona"), "mt-members")
+    a = keyed.groupBy("persona").agg(F.min("nombre").alias("nombre"), F.min("paises").alias("paises"), F.max("nacido").alias("nacido"), F.max("h").alias("altura"), F.max("pie").alias("pie"), F.max("rol").alias("rol"))
+    a = a.select(F.lit("a").alias("side"), F.col("persona").alias("ent"), "nombre", "paises", F.col("nacido").cast("int"), F.col("altura").cast("int"), "pie", "rol")
+
+    @F.udf("struct<pais: string, edad: int, altura: int, pie: string>", useArrow=True)
+    def facts(text):
+        got = mt.profile_fields(text)
+        age = "".join(c for c in got.get("age", "") if c.isdigit())
+        return {"pais": mt.country(got.get("country")), "edad": int(age) if age and len(age) < 3 else None, "altura": mt.height_cm(got.get("height")), "pie": got.get("preferred foot", "").lower()}
+
+    b = f.select(plain_digits(f.jugador_fotmob_id).alias("ent"), tokens("nombre_fotmob").alias("nombre"), facts("playerinformation").alias("x"), F.year("extraido_el").alias("y"), role(F.regexp_extract("positiondescription", r'"label"\s*:\s*"([^"]*)', 1)).alias("rol"))
+    b = b.select(F.lit("b").alias("side"), "ent", "nombre", F.coalesce("x.pais", F.lit("")).alias("paises"), (F.col("y") - F.col("x.edad")).alias("nacido"), F.col("x.altura").alias("altura"), F.coalesce("x.pie", F.lit("")).alias("pie"), F.coalesce("rol", F.lit("")).alias("rol"))
+    return a.unionByName(b), members
+
+
+def p4_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Clubs and players tied to their counterparts, with a confidence."""
+    clubs = mt.match_clubs(_clubs(spark, d)).select(F.lit("club").alias("tipo"), F.col("a").alias("plata_id"), F.col("b").alias("fuente_id"), "confianza")
+    people, members = _people(spark, d)
+    tied = mt.match_people(people)
+    players = tied.join(members, tied.a == members.persona).select(F.lit("jugador").alias("tipo"), F.col("id").alias("plata_id"), F.col("b").alias("fuente_id"), "confianza")
+    return clubs.unionByName(players)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_matches(spark, d).select("tipo", "plata_id", "fuente_id")
+
+
 PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
@@ -75,7 +134,7 @@ def p10_reasons(spark: SparkSession, d: str) -> DataFrame:
     return residue(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p7_percentiles, p7_by_season, p7_joined, p8_ids, p9_found, p9_passages, p10_found, p10_reasons)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p4_found, p4_matches, p7_percentiles, p7_by_season, p7_joined, p8_ids, p9_found, p9_passages, p10_found, p10_reasons)}
 
 _ID = r"try_cast(regexp_extract({0}, '^\D*(\d+)(?:\.\d+)?\D*$', 1) as bigint)"
 
