@@ -207,7 +207,7 @@ def weighted(parts: list[tuple[float, float | None]], unknown: float = 0.6) -> f
 
 
 #: Country spellings that name the same country (fixed values), after folding.
-COUNTRIES = {"turkiye": "turkey", "bosnia and herzegovina": "bosnia-herzegovina", "republic of ireland": "ireland", "czechia": "czech republic", "usa": "united states", "south korea": "korea, south", "korea republic": "korea, south", "cote d'ivoire": "ivory coast", "macedonia": "north macedonia", "holland": "netherlands", "uae": "united arab emirates", "cabo verde": "cape verde", "dr congo": "congo dr", "the gambia": "gambia"}
+COUNTRIES = {"turkiye": "turkey", "bosnia and herzegovina": "bosnia-herzegovina", "republic of ireland": "ireland", "czechia": "czech republic", "usa": "united states", "south korea": "korea, south", "korea republic": "korea, south", "cote d'ivoire": "ivory coast", "macedonia": "north macedonia", "holland": "netherlands", "uae": "united arab emirates", "cabo verde": "cape verde", "dr congo": "congo dr", "the gambia": "gambia", "faroes": "faroe islands", "faroe isles": "faroe islands"}
 #: Forms of club kinds (fixed values), after folding.
 KINDS = {"football club": "fc", "futbol club": "fc", "sport klub": "sk", "sports klub": "sk", "sporting club": "sc", "sport club": "sc", "idrottsforening": "if", "idrottsforeningen": "if", "fudbalski klub": "fk", "fotbal klub": "fk", "athletic club": "ac", "associazione calcio": "ac", "club de futbol": "cf", "union deportiva": "ud", "associazione sportiva": "as", "association sportive": "as", "boldklub": "bk", "boldklubben": "bk", "club deportivo": "cd"}
 ABBREVIATIONS = {"wand": "wanderers", "wan": "wanderers", "lok": "lokomotiv", "atl": "atletico", "dinamo": "dynamo", "dyn": "dynamo", "dep": "deportivo", "un": "union", "rac": "racing", "oli": "olimpia", "spa": "spartak", "for": "fortuna", "rap": "rapid"}
@@ -352,7 +352,7 @@ def height_cm(text: str | None) -> int | None:
     return int(m[3]) if m[3] else int(m[1]) * 100 + int(m[2].ljust(2, "0"))
 
 
-def match_people(people: DataFrame, window: int = 12, least: float = 0.8) -> DataFrame:
+def match_people(people: DataFrame, window: int = 12, least: float = 0.77) -> DataFrame:
     """One-to-one ``a``, ``b``, ``confianza`` of people given as side, ent, nombre (tokens), paises (by '|'), nacido, altura, pie, rol.
 
     Missing attributes count neither for nor against; entities without a name or a counterpart of
@@ -367,7 +367,7 @@ def match_people(people: DataFrame, window: int = 12, least: float = 0.8) -> Dat
     keys = F.array(
         F.concat_ws("|", last, given, place, born), F.concat_ws("|", last, place, born, tall), F.when(place != "", F.concat_ws("|", given, place, born, tall)),
         F.when(full, F.concat_ws("|", place, born, tall, last)), F.when(full, F.concat_ws("|", place, born, bones, given)), F.concat_ws("|", bones, given, place),
-        F.when(place != "", F.concat_ws("|", place, F.coalesce(F.get(tokens, F.lit(1)), last), born)),
+        F.when(place != "", F.concat_ws("|", place, F.coalesce(F.get(tokens, F.lit(1)), last), born)), F.when(born != "", F.concat_ws("|", given, born, tall, last)), F.when(born != "", F.concat_ws("|", last, born, tall, given)),
     )
     records = written(people.where("nombre <> '' and ent is not null").select("side", "ent", "nombre", "paises", "nacido", "altura", "pie", "rol", keys.alias("keys")).distinct(), "mt-people")
     return assign(neighbours(records, "keys", ["nombre", "paises", "nacido", "altura", "pie", "rol"], compare_people, window, least))
