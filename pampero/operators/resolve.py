@@ -20,16 +20,20 @@ def name_tokens(folded: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda t: (t != "") & ~t.isin(NOISE))
 
 
-@pandas_udf("double")
-def sequence_ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio, the first name leading."""
-    known: dict[tuple, float] = {}
-    out = []
-    for p in zip(x, y):
-        if p not in known:
-            known[p] = difflib.SequenceMatcher(None, *p, autojunk=False).ratio() if p[0] and p[1] else 0.0
-        out.append(known[p])
-    return pd.Series(out, dtype="float64")
+def sequence_ratio(a: str, b: str) -> Column:
+    """Ratcliff-Obershelp ratio of two columns in Arrow batches, the first name leading."""
+
+    @pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        known: dict[tuple, float] = {}
+        out = []
+        for p in zip(x, y):
+            if p not in known:
+                known[p] = difflib.SequenceMatcher(None, *p, autojunk=False).ratio() if p[0] and p[1] else 0.0
+            out.append(known[p])
+        return pd.Series(out, dtype="float64")
+
+    return ratio(a, b)
 
 
 def resolve(names: DataFrame, aliases: DataFrame, near: float = 0.82, far: float = 0.93) -> DataFrame:

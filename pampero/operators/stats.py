@@ -58,13 +58,11 @@ def cut(c: Column, edges: list[float], labels: list[str], lowest: bool = False)
 def quantile_bins(df: DataFrame, col: str, labels: list[str], out: str) -> DataFrame:
     """``df`` with a label by exact quantile edges, right-closed; null stays null. The edges are one row."""
     n = len(labels)
-    edges = df.agg(F.percentile(F.col(col), F.array(*[F.lit(i / n) for i in range(1, n)])).alias("_e"))
+    edges = df.agg(F.percentile(F.col(col), F.array(*[F.lit(i / n) for i in range(1, n)])).alias("e")).first()["e"] or [None] * (n - 1)
     label = F
     for i in range(n - 1):
-        label = label.when(F.col(col) <= F.col("_e")[i], F.lit(labels[i]))
-    label = label.when(F.col(col).isNotNull(), F.lit(labels[-1]))
-    # one row against all: a scalar, not a join of two tables
-    return df.join(F.broadcast(edges)).withColumn(out, label).drop("_e")
+        label = label.when(F.col(col) <= F.lit(edges[i]), F.lit(labels[i]))
+    return df.withColumn(out, label.when(F.col(col).isNotNull(), F.lit(labels[-1])))
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pampero.plans import datasets
+from pampero.plans import datasets, reference, silver
 
-QUERIES = dict(datasets.QUERIES)
-SQL = dict(datasets.SQL)
+QUERIES = dict(reference.QUERIES) | dict(silver.QUERIES) | dict(datasets.QUERIES)
+SQL = dict(reference.SQL) | dict(datasets.SQL)
