@@ -112,7 +112,7 @@ def percentiles(df: DataFrame, groups: list[str], value: str, at: list[float]) -
     got = written(select_ranks(counted, keys, ranks), "pc-got")
     w, a, b = wanted.alias("w"), got.alias("a"), got.alias("b")
     on = lambda t, r: [F.col(f"w.{k}").eqNullSafe(F.col(f"{t}.{k}")) for k in keys] + [F.col(f"w.{r}") == F.col(f"{t}.rank")]
-    return w.join(a, on("a", "r0")).join(b, on("b", "r1")).select(*[F.col(f"w.{k}").alias(g) for k, g in zip(keys, groups)], "percentil", (F.col("a.v") + F.col("w.f") * (F.col("b.v") - F.col("a.v"))).alias("valor"), F.col("w.n").alias("n"))
+    return w.join(a, on("a", "r0")).join(b, on("b", "r1")).select(*[F.col(f"w.{k}").alias(g) for k, g in zip(keys, groups)], "percentil", F.round(F.col("a.v") + F.col("w.f") * (F.col("b.v") - F.col("a.v")), 6).alias("valor"), F.col("w.n").alias("n"))
 
 
 def summaries(df: DataFrame, groups: list[str], value: str, error: float = 0.01) -> DataFrame:

@@ -140,7 +140,7 @@ _ID = r"try_cast(regexp_extract({0}, '^\D*(\d+)(?:\.\d+)?\D*$', 1) as bigint)"
 
 
 def _quantiles(groups: str) -> str:
-    one = "select {g}, {p}::double percentil, quantile_cont(stat_minutes, {p}) valor, count(*) n from modelo where stat_minutes is not null and not isnan(stat_minutes) group by {g}"
+    one = "select {g}, {p}::double percentil, round(quantile_cont(stat_minutes, {p}), 6) valor, count(*) n from modelo where stat_minutes is not null and not isnan(stat_minutes) group by {g}"
     return " union all ".join(one.format(g=groups, p=p) for p in PERCENTILES)
 
 
