@@ -81,8 +81,10 @@ def impute(df: DataFrame, plan: Plan, rank: int = 6, iterations: int = 10, ridge
     """
     names, cols = _encoded(df, plan)
     width = len(names)
-    base = written(df.select("*", F.array(*[F.coalesce(c, F.lit(float("nan"))) for c in cols]).alias("_x")), "impute-cells")
-    cell = [F.nullif(F.col("_x")[i], F.lit(float("nan"))) for i in range(width)]
+    own = next(p for p in ("_", "__", "___", "____") if not {f"{p}x", f"{p}g"} & set(df.columns))  # no name of the table's
+    xs, gs = f"{own}x", f"{own}g"
+    base = written(df.select("*", F.array(*[F.coalesce(c, F.lit(float("nan"))) for c in cols]).alias(xs)), "impute-cells")
+    cell = [F.nullif(F.col(xs)[i], F.lit(float("nan"))) for i in range(width)]
     sums = base.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(cell) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     mean = np.array([sums[f"m{i}"] or 0.0 for i in range(width)])
     std = np.array([sums[f"s{i}"] or 1.0 for i in range(width)])
@@ -108,7 +110,7 @@ def impute(df: DataFrame, plan: Plan, rank: int = 6, iterations: int = 10, ridge
         return run
 
     for _ in range(iterations):
-        rows = base.select("_x").mapInArrow(sums_of(factors), schema).groupBy("j").agg(*[F.sum(n).alias(n) for n in names_out[1:]]).collect()
+        rows = base.select(xs).mapInArrow(sums_of(factors), schema).groupBy("j").agg(*[F.sum(n).alias(n) for n in names_out[1:]]).collect()
         for r in rows:
             left = np.zeros((rank, rank))
             left[upper] = [r[f"a{i}"] for i in range(len(upper[0]))]
@@ -117,22 +119,22 @@ def impute(df: DataFrame, plan: Plan, rank: int = 6, iterations: int = 10, ridge
 
     def estimate(batches):
         for batch in batches:
-            x = _matrix(batch, batch.schema.get_field_index("_x"), width)
+            x = _matrix(batch, batch.schema.get_field_index(xs), width)
             guess = (_solve((x - mean) / std, factors, ridge) @ factors.T) * std + mean if len(x) else x
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(guess), pa.list_(pa.float64()))], names=[*batch.schema.names, "_g"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(guess), pa.list_(pa.float64()))], names=[*batch.schema.names, gs])
 
-    guessed = base.mapInArrow(estimate, base.withColumn("_g", F.col("_x")).schema)
+    guessed = base.mapInArrow(estimate, base.withColumn(gs, F.col(xs)).schema)
     out, at = {}, {n: i for i, n in enumerate(names)}
     for n, spec in plan.numeric.items():
-        g = F.col("_g")[at[n]]
+        g = F.col(gs)[at[n]]
         g = F.expm1(g) if spec.log else g
         g = F.round(g) if spec.whole else g
         g = F.greatest(g, F.lit(float(spec.low))) if spec.low is not None else g
         g = F.least(g, F.lit(float(spec.high))) if spec.high is not None else g
-        out[n] = (F.isnan(F.col("_x")[at[n]]), g)
+        out[n] = (F.isnan(F.col(xs)[at[n]]), g)
     for n, (_, levels) in plan.categorical.items():
-        best = F.array_max(F.array(*[F.struct(F.col("_g")[at[f"{n}={v}"]].alias("g"), F.lit(-i).alias("i")) for i, v in enumerate(levels)]))
-        out[n] = (F.isnan(F.col("_x")[at[f"{n}={levels[0]}"]]), F.array(*map(F.lit, levels))[-best["i"]])
+        best = F.array_max(F.array(*[F.struct(F.col(gs)[at[f"{n}={v}"]].alias("g"), F.lit(-i).alias("i")) for i, v in enumerate(levels)]))
+        out[n] = (F.isnan(F.col(xs)[at[f"{n}={levels[0]}"]]), F.array(*map(F.lit, levels))[-best["i"]])
     final = []
     for c in df.columns:
         final.append(F.when(out[c][0], out[c][1].cast(df.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c) if c in out else F.col(f"`{c}`"))

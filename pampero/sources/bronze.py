@@ -59,7 +59,7 @@ def first_readable(spark: SparkSession, paths: list[str], fmt: str = "parquet")
     """The first source of a fallback chain that can be read; raises if none can."""
     for path in paths:
         try:
-            return spark.read.format(fmt).load(path)
+            return spark.read.format(fmt).option("ignoreCorruptFiles", "true").load(path)
         except AnalysisException:
             continue
     raise FileNotFoundError(", ".join(paths))
