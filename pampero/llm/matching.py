@@ -138,7 +138,11 @@ def assign(pairs: DataFrame, bound: int = 300, step: float = 0.01) -> DataFrame:
     cc = components(pairs.select(F.concat(F.lit("a"), "a").alias("x"), F.concat(F.lit("b"), "b").alias("y")), "x", "y")
     cc = cc.where(F.col("node").startswith("a")).select(F.substring("node", 2, 10_000).alias("a"), "component")
     tied = written(pairs.join(cc, "a"), "as-tied")
-    size = tied.groupBy("component").agg(F.countDistinct("a").alias("n"), F.countDistinct("b").alias("m"))
+    size = written(tied.groupBy("component").agg(F.countDistinct("a").alias("n"), F.countDistinct("b").alias("m")), "as-sizes")
+    # with one entity on a side the best pair is the assignment
+    star = tied.join(size.where("n = 1 or m = 1").select("component"), "component", "left_semi")
+    star = star.groupBy("component").agg(F.max_by(F.struct("a", "b", "confianza"), F.struct("confianza", "a", "b")).alias("p")).select("p.*")
+    size = size.where("n > 1 and m > 1")
     small = tied.join(size.where(F.least("n", "m") <= bound).where(F.greatest("n", "m") <= 10 * bound).select("component"), "component", "left_semi")
     large = tied.join(size.where((F.least("n", "m") > bound) | (F.greatest("n", "m") > 10 * bound)).select("component"), "component", "left_semi")
 
@@ -150,7 +154,7 @@ def assign(pairs: DataFrame, bound: int = 300, step: float = 0.01) -> DataFrame:
         got = [(j, i) for i, j in best_pairs(gain.T)] if turn else best_pairs(gain)
         return pd.DataFrame([(a[i], b[j], gain[i, j]) for i, j in got], columns=["a", "b", "confianza"])
 
-    out = small.groupBy("component").applyInPandas(solve, "a string, b string, confianza double")
+    out = star.union(small.groupBy("component").applyInPandas(solve, "a string, b string, confianza double"))
     return out.union(auction(large, step)) if not large.isEmpty() else out
 
 
@@ -296,7 +300,8 @@ def club_records(names: DataFrame) -> DataFrame:
     tokens = F.udf(club_tokens, "array<string>", useArrow=True)
     same = F.udf(country, "string", useArrow=True)
     base = names.where("name is not null and ent is not null").select("side", "ent", "name", "country").distinct()
-    shown = written(base.select("side", "ent", "country", tokens("name").alias("t")).where("size(t) > 0"), "mt-clubs")
+    # names without tokens drop out when the tokens are laid in rows; a filter here would be pushed below the distinct and run the function on every row
+    shown = written(base.select("side", "ent", "country", tokens("name").alias("t")), "mt-clubs")
     places = shown.groupBy("side", "ent").agg(F.mode("country", True).alias("country"))
     one = shown.select("side", "ent", "t").distinct()
     used = one.select("side", "ent", F.explode("t").alias("tok")).distinct().groupBy("tok").agg(F.count("*").alias("df"))
