@@ -32,6 +32,8 @@ STAND_INS = {
     "empty": r"(?i:\[object object\])|(?<![\w-])(?:undefined|UNDEFINED|NaN|(?:null|NULL)(?! and void| hypothesis))(?![\w-])|#(?:REF!|N/A|VALUE!|NAME\?)|(?i:\binvalid date\b)",
 }
 REQUESTS = r"[\[<]\s*(?:insert\w*|inserir|insérer|inserer|completar|compl[ée]ter|rellenar|preencher|remplir|fill in|your|nombre (?:del?|completo)|nome d[oae]|nom d[ue]|player name|club name|team name|(?:date|name|title|fee|amount) tb[cd])\b[^\[\]<>\n\d]{0,50}[\]>]"
+#: The same requests in quotes or round brackets count in capitals only: quotes also hold speech.
+QUOTED = r"[«“\"‘(*_]\s*(?:INSERT\w*|INSERIR|INSÉRER|INSERER|COMPLETAR|COMPL[ÉE]TER|RELLENAR|PREENCHER|REMPLIR|FILL IN|NOMBRE (?:DEL?|COMPLETO)|NOME D[OAE]|NOM D[UE]|(?:PLAYER|CLUB|TEAM) NAME|(?:DATE|NAME|TITLE|FEE|AMOUNT) TB[CD])\b[A-ZÀ-Þ ]{0,50}[»”\"’)*_]"
 #: Filler phrases (es, en, pt, fr).
 FILLER = (
     r"\btext[oe]s? (?:de relleno|de ejemplo|de exemplo|de prueba|de muestra|de teste|simulado|à remplacer|a remplacer|d['’]exemple|de remplissage|provisoire)",
@@ -66,7 +68,7 @@ _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(code|pre|script|style)\
 _URL = re.compile(r"(?i)\b(?:https?|ftp)://\S+|\bwww\.\S+")
 _JSON = re.compile(r"\{\s*\"[^{}]{0,400}\}")
 _TUTORIAL = re.compile(r"(?i)\b(?:template syntax|template engine|placeholders? (?:syntax|such as|like|named)|string formatting|format string|jinja|mustache|handlebars|liquid tags?|variables? (?:syntax|interpolation)|sintaxis de (?:las )?plantillas?|motor de plantillas|syntaxe des? (?:gabarits?|templates?)|sintaxe de (?:modelos|templates))\b")
-_SLOT = re.compile("|".join([*SLOTS.values(), *STAND_INS.values(), f"(?i:{REQUESTS})"]))
+_SLOT = re.compile("|".join([*SLOTS.values(), *STAND_INS.values(), f"(?i:{REQUESTS})", QUOTED]))
 _FILLER = re.compile("|".join(f"(?:{p})" for p in FILLER[:-2]), re.I)
 _REPEATS = [re.compile(p, re.I) for p in FILLER[-2:]]
 _LATIN = re.compile(_LATIN_RUN)
@@ -77,7 +79,7 @@ _SENTENCE = re.compile(r"[^.!?…\n]+[.!?…]*|\n")
 _PAGE_KEYS = ("script", "cookie", "browser", "not found", "encontrada", "introuvable", "that page", "forbidden", "gateway", "error", "erro ", "erreur", "existe", "exist", "retirada", "removida", "is gone", "disponi", "unavailable", "available", "manten", "manuten", "mainten", "responde", "répond", "repond", "respond", "answer", "timed out", "agotado", "esgotado", "attente", "wrong", "salió mal", "salio mal", "correu mal", "survenu", "cargar", "could", "carregar", "charger", "mostrar", "denied", "denegado", "negado", "refusé", "refuse", "interdit", "request", "límite", "limite", "bloque", "session", "sesión", "sesion", "sessão", "sessao", "sign in", "tente mais", "plus tard", "try again", "inténtelo", "intentelo", "intentarlo", "volvemos", "voltamos", "retour", "back in")
 _FILLER_KEYS = ("text", "agra", "rraf", "placeholder", "dummy", "sample", "filler", "copy", "lead", "body", "headline", "caption", "conte", "aquí va", "aqui va", "aqui entra", "ici le", "todo:", "replace before", "delete me", "publi", "bla", "asdf", "test", "prueba", "foo", "xxx", "qwerty")
 _LATIN_KEYS = ("lorem", "ipsum", "dolor", "amet", "tempor", "aliqua", "elit", "nulla", "velit", "minim", "magna")
-_MARKS = re.compile(r"[{}\[\]<>%@$#&_]|[Xx]{4}|undefined|UNDEFINED|NaN|null|NULL|XX/|(?i:invalid date)")
+_MARKS = re.compile(r"[{}\[\]<>%@$#&_«“]|INSERT|COMPLETAR|NOMBRE|NAME|NOME|[Xx]{4}|undefined|UNDEFINED|NaN|null|NULL|XX/|(?i:invalid date)")
 
 
 def reasons(text: str | None, slots_per_word: float = 0.0, page_share: float = 0.6) -> list[str]:

@@ -198,7 +198,7 @@ def test_words():
 
 # --- residue ---------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("text", ["Firmó {{ jugador }} ayer.", "a ${club} b", "a {% include club %} b", "a <%= club %> b", "a <?= $club ?> b", "a [[club]] b", "a @@club@@ b", "a __CLUB__ b", "a %CLUB% b", "a %(club)s b", "pagó %s por él", "a {0} b", "a #{user.name} b", "a &lt;fecha&gt; b", "a [INSERTAR CLUB] b", "a <PLAYER NAME> b", "el [DATE TBC BY EDITOR] x", "el XXXXX club", "XX/XX/XXXX", "ficha undefined hoy", "suma NaN goles", "a [object Object] b"])
+@pytest.mark.parametrize("text", ["Firmó {{ jugador }} ayer.", "a ${club} b", "a {% include club %} b", "a <%= club %> b", "a <?= $club ?> b", "a [[club]] b", "a @@club@@ b", "a __CLUB__ b", "a %CLUB% b", "a %(club)s b", "pagó %s por él", "a {0} b", "a #{user.name} b", "a &lt;fecha&gt; b", "a [INSERTAR CLUB] b", "a <PLAYER NAME> b", "donde jugó «NOMBRE DEL JUGADOR» 827 veces", "donde jugó 385 «INSERTAR CLUB» veces", "el [DATE TBC BY EDITOR] x", "el XXXXX club", "XX/XX/XXXX", "ficha undefined hoy", "suma NaN goles", "a [object Object] b"])
 def test_slots(text):
     assert "slot" in rs.reasons(text)
 
@@ -216,7 +216,7 @@ def test_pages(text):
 ARTICLE = "Por fin, el club cerró la llegada del delantero por 9 millones de euros y lo presentó ante la grada. "
 
 
-@pytest.mark.parametrize("text", [None, "", "  \n", "El dibujo {4-3-3} duró poco.", "«Es un error [sic] dejarlo», dijo [ver nota 2].", '{"a": [1, 2]}', "https://x.example/j?id=%20&x={id}", "_snake_case camelCase", "cobrará $ 267 por partido", ARTICLE + "La web mostró un error 404 al presentar a Ana.", ARTICLE + "El club busca un programador con JavaScript para su web.", "Access to the stand was denied to 9 fans. " + ARTICLE, "Ana was not found at the hotel on Monday, Luis said. " + ARTICLE, "La plantilla tiene 9 jugadores sin rellenar su licencia.", "Use `{{ name }}` and\n```\n{{ club }} ${fee}\n```\nin your page.", "Template syntax: write {{ name }} where the value goes, and the engine puts the value there when the page is made.", "Página 404 del informe.", "garde 25 % d'une revente", "[2019/2020, Kepilibi] contaram 3 arranques"])
+@pytest.mark.parametrize("text", [None, "", "  \n", "El dibujo {4-3-3} duró poco.", "«NO VINE A MIRAR», DIJO ANA AL LLEGAR.", "«Insertar juventud en el equipo», pidió Ana.", "«Es un error [sic] dejarlo», dijo [ver nota 2].", '{"a": [1, 2]}', "https://x.example/j?id=%20&x={id}", "_snake_case camelCase", "cobrará $ 267 por partido", ARTICLE + "La web mostró un error 404 al presentar a Ana.", ARTICLE + "El club busca un programador con JavaScript para su web.", "Access to the stand was denied to 9 fans. " + ARTICLE, "Ana was not found at the hotel on Monday, Luis said. " + ARTICLE, "La plantilla tiene 9 jugadores sin rellenar su licencia.", "Use `{{ name }}` and\n```\n{{ club }} ${fee}\n```\nin your page.", "Template syntax: write {{ name }} where the value goes, and the engine puts the value there when the page is made.", "Página 404 del informe.", "garde 25 % d'une revente", "[2019/2020, Kepilibi] contaram 3 arranques"])
 def test_clean(text):
     assert rs.reasons(text) == []
 
