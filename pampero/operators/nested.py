@@ -167,14 +167,16 @@ def nodes(bridge: DataFrame) -> DataFrame:
     return bridge.where("contenido is not null").groupBy("nodo").agg(F.first("contenido").alias("contenido"))
 
 
-def flat_table(bridge: DataFrame, where: Column, fields: dict[str, str]) -> DataFrame:
+def flat_table(bridge: DataFrame, where: Column, fields: dict[str, str], keep: Column | None = None) -> DataFrame:
     """The occurrences under a condition with scalar fields of their objects; each row names its parent's path and node.
 
     ``fields`` maps a column to a key; a value that is a nested object comes out as ``#`` and its
-    node, so that it can be looked up in the store.
+    node, so that it can be looked up in the store. ``where`` sees the occurrence, ``keep`` also
+    the stored content of its object.
     """
     own = bridge.where(where).select("tabla", "registro", "ruta", "padre_ruta", "clave", "ordinal", "nodo", "padre_nodo")
     # the contents hold bare #hash marks for nested objects: quoted, they are JSON
     content = F.regexp_replace("contenido", r'(?<=[:,\[])#([0-9a-f]{32})(?=[,}\]])', '"#$1"')
-    parts = nodes(bridge.where(where)).select("nodo", *[F.get_json_object(content, f"$['{key}']").alias(name) for name, key in fields.items()])
-    return own.join(parts, "nodo")
+    parts = nodes(bridge.where(where)).select("nodo", "contenido", *[F.get_json_object(content, f"$['{key}']").alias(name) for name, key in fields.items()])
+    out = own.join(parts, "nodo")
+    return (out if keep is None else out.where(keep)).drop("contenido")

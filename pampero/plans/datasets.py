@@ -40,9 +40,9 @@ def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
     return _bridge(spark, d).groupBy("nodo").agg(F.max("contenido").alias("contenido"), F.count("*").alias("veces"))
 
 
-def _flat(key_condition: str, fields: dict[str, str]):
+def _flat(key_condition: str, fields: dict[str, str], keep: str | None = None):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return flat_table(_bridge(spark, d), F.expr(key_condition), fields)
+        return flat_table(_bridge(spark, d), F.expr(key_condition), fields, F.expr(keep) if keep else None)
 
     return query
 
@@ -50,8 +50,8 @@ def _flat(key_condition: str, fields: dict[str, str]):
 p2_informacion = _flat("clave = 'playerInformation'", {"titulo": "title", "valor": "value"})
 p2_temporadas = _flat("clave = 'statSeasons'", {"temporada": "seasonName"})
 p2_torneos = _flat("clave = 'tournaments'", {"nombre": "name", "entrada_id": "entryId", "torneo_id": "tournamentId", "detalle": "hasDeepStats"})
-p2_bloques = _flat("clave in ('topStatCards', 'topStatCard', 'statsSection') or (clave = 'items' and contenido like '%\"items\":%')", {"titulo": "title"})
-p2_metricas = _flat("clave = 'items'", {"titulo": "title", "valor": "statValue"})
+p2_bloques = _flat("clave in ('topStatCards', 'topStatCard', 'statsSection', 'items')", {"titulo": "title"}, "clave <> 'items' or contenido like '%\"items\":#%'")
+p2_metricas = _flat("clave = 'items'", {"titulo": "title", "valor": "statValue"}, "contenido not like '%\"items\":#%'")
 p2_rankings = _flat("clave = 'seasonRankings'", {"anio": "seasonYear", "puntos": "points"})
 p2_fases = _flat("clave = 'phases'", {"nombre": "name", "puntos": "points"})
 

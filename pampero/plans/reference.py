@@ -246,7 +246,7 @@ def latest_value_per_group(spark, d):
 
 
 def _cov(c: str, by: str = "", where: str = "") -> str:
-    return f"select {by}'{c}' columna, count_if({c} is not null and not isnan({c})) no_nulos, round(count_if({c} is not null and not isnan({c})) / count(*), 6) cobertura, count_if({c} = 0) ceros from modelo{where}"
+    return f"select {by}'{c}' columna, count(*) filter (where {c} is not null and not isnan({c})) no_nulos, round(count(*) filter (where {c} is not null and not isnan({c})) / count(*), 6) cobertura, count(*) filter (where {c} = 0) ceros from modelo{where}"
 
 
 @query(" union all ".join(_cov(c) for c in METRICS), bigint=('ceros', 'no_nulos'))

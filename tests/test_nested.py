@@ -67,3 +67,14 @@ def test_deep_nesting_and_invalid(spark):
     flat = flat_table(b.where("registro < 7"), F.col("clave") == "items", {"valor": "a"})
     assert rows(flat, "registro", "padre_ruta", "ordinal", "valor") == [(1, "root/0", 1, "1")] * 2
     assert occurrences(df.limit(0), "t", F.col("id"), {"doc": "root"}, KEYS).count() == 0
+
+
+def test_blocks_and_metrics_part_the_items(spark):
+    from pampero.plans import datasets as ds
+
+    doc = '[{"tournaments": {"statsSection": {"items": [{"title": "A", "items": [{"title": "x", "statValue": 1}, {"title": "x", "statValue": 1}]}]}}}]'
+    df = spark.createDataFrame([(1, doc), (2, doc)], "id bigint, doc string")
+    b = occurrences(df, "t", F.col("id"), {"doc": "statSeasons"}, ds.ARRAY_KEYS)
+    keep = lambda c: flat_table(b, F.col("clave").isin("statsSection", "items"), {"t": "title"}, F.expr(c))
+    assert keep("clave <> 'items' or contenido like '%\"items\":#%'").count() == 4
+    assert keep("clave = 'items' and contenido not like '%\"items\":#%'").count() == 4
