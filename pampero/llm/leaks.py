@@ -194,7 +194,7 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
                 for at, body in enumerate(batch.column(1).to_pylist()):
                     if not body:
                         continue
-                    if len(ids) > 2_000_000:
+                    if len(ids) > 300_000:
                         ids = dict(known)
                     for i, n, got, kept, hits, other in matches_of(words(body), index, ids, least, share):
                         if n >= least and kept >= slots:

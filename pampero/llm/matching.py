@@ -160,7 +160,7 @@ def assign(pairs: DataFrame, bound: int = 300, step: float = 0.01) -> DataFrame:
 
 # --- similarities ----------------------------------------------------------------------------
 
-@lru_cache(400_000)
+@lru_cache(150_000)
 def token_similarity(x: str, y: str) -> float:
     """1 for equal tokens; initials and abbreviations by their prefix; else the share of characters in common order."""
     if x == y:
