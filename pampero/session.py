@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a path of any Hadoop file system, if it is there."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context: their Python workers need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pampero_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="pampero-ship-"), "pampero.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join("pampero", os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    sc._pampero_shipped = True
