@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pampero.functions.text import fold
 
@@ -181,6 +182,7 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     spark = docs.sparkSession
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"{key} {kind}, {item_key} {item_kind}, palabras int, proporcion double, ventanas int, otros_huecos int"
+    item_type = to_arrow_type(items.schema[item_key].dataType)
     src = docs.select(F.col(key), F.col(text))
     parts, block, size = [], [], 0
 
@@ -200,7 +202,7 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
                         if n >= least and kept >= slots:
                             for c, v in zip(cols, (at, index.ids[i], n, got, hits, other)):
                                 c.append(v)
-                arrays = [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64() if item_kind == "bigint" else None), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32())]
+                arrays = [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], item_type), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[key, item_key, "palabras", "proporcion", "ventanas", "otros_huecos"])
 
         return src.mapInArrow(run, schema)

@@ -363,6 +363,8 @@ def match_people(people: DataFrame, window: int = 12, least: float = 0.77) -> Da
     Missing attributes count neither for nor against; entities without a name or a counterpart of
     at least ``least`` stay alone; several rows of an entity are several records of it.
     """
+    known = ("paises", "pie", "rol")
+    people = people.where("nombre <> '' and ent is not null").select("side", "ent", "nombre", "nacido", "altura", *[F.coalesce(c, F.lit("")).alias(c) for c in known])
     tokens = F.split("nombre", " ")
     last, given = F.element_at(tokens, -1), tokens[0]
     place = F.split("paises", r"\|")[0]
@@ -374,5 +376,5 @@ def match_people(people: DataFrame, window: int = 12, least: float = 0.77) -> Da
         F.when(full, F.concat_ws("|", place, born, tall, last)), F.when(full, F.concat_ws("|", place, born, bones, given)), F.concat_ws("|", bones, given, place),
         F.when(place != "", F.concat_ws("|", place, F.coalesce(F.get(tokens, F.lit(1)), last), born)), F.when(born != "", F.concat_ws("|", given, born, tall, last)), F.when(born != "", F.concat_ws("|", last, born, tall, given)),
     )
-    records = written(people.where("nombre <> '' and ent is not null").select("side", "ent", "nombre", "paises", "nacido", "altura", "pie", "rol", keys.alias("keys")).distinct(), "mt-people")
+    records = written(people.select("side", "ent", "nombre", "paises", "nacido", "altura", "pie", "rol", keys.alias("keys")).distinct(), "mt-people")
     return assign(neighbours(records, "keys", ["nombre", "paises", "nacido", "altura", "pie", "rol"], compare_people, window, least))

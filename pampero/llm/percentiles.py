@@ -11,7 +11,7 @@ from pampero.session import written
 
 def counted_values(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """(groups, value, count) without null, NaN and infinite values: combined before the shuffle, so a hot group moves its different values only."""
-    v = F.col(f"`{value}`").cast("double")
+    v = F.col(f"`{value}`").try_cast("double")
     usable = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     return df.where(usable).groupBy(*[F.col(f"`{g}`").alias(f"g{i}") for i, g in enumerate(groups)], (v + F.lit(0.0)).alias("v")).agg(F.count("*").alias("c"))
 

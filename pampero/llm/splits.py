@@ -83,7 +83,7 @@ def assign_splits(df: DataFrame, row: str, entity: Column, links: DataFrame, pos
     rank is the sum of the counts of smaller hash buckets and a rank within the bucket, so no
     window holds a whole kind, though most groups may be of one kind.
 
-    A row without an entity is a group of its own. Repeated rows count as often as they stand;
+    A row without an entity is a group of its own (those without an id either are one together). Repeated rows count as often as they stand;
     an unknown flag counts as not positive; shares are scaled to 1; no rows, no result. A group
     larger than a split's part goes where the totals come closest.
     """
@@ -91,7 +91,7 @@ def assign_splits(df: DataFrame, row: str, entity: Column, links: DataFrame, pos
     shares = {k: v / whole for k, v in shares.items()}
     rows = df.select(F.col(row).alias("_row"), entity.cast("string").alias("_e"), F.coalesce(positive.cast("int"), F.lit(0)).alias("_p"))
     cc = components(links)
-    own = F.coalesce(F.col("component").cast("string"), F.col("_e"), F.concat(F.lit("fila "), F.col("_row").cast("string")))
+    own = F.coalesce(F.col("component").cast("string"), F.col("_e"), F.concat_ws(" ", F.lit("fila"), F.col("_row").cast("string")))
     member = written(rows.join(cc.select(F.col("node").cast("string").alias("_e"), "component"), "_e", "left").select("_row", "_p", own.alias("componente")), "split-rows")
     groups = member.groupBy("componente").agg(F.count("*").alias("n"), F.sum("_p").alias("p")).withColumn("h", F.xxhash64(F.lit(seed), "componente"))
     groups = written(groups.withColumn("bucket", F.pmod("h", F.lit(buckets))), "split-groups")

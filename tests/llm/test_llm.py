@@ -60,7 +60,7 @@ def test_closest_subset_is_closest(counts, target):
 def test_splits_keep_groups_shares_and_positives(spark):
     r = random.Random(5)
     data = [(f"r{i}", str(g), r.random() < 0.1) for i, g in enumerate(g for g in range(800) for _ in range(r.choice([1, 1, 1, 2, 5])))]
-    data += [("n1", None, None), ("n2", None, True), ("r0", "0", False)]
+    data += [("n1", None, None), ("n2", None, True), (None, None, True), ("r0", "0", False)]
     df = spark.createDataFrame([(*x, "q") for x in data], "id string, player string, top boolean, componente string")
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 200, 2)], "a bigint, b bigint")
     out = assign_splits(df, "id", F.col("player"), links, F.col("top"), {"train": 8, "val": 1, "test": 1}, buckets=8)
@@ -192,6 +192,20 @@ def test_no_passage_is_lost_to_the_windows():
         assert got and got[0][1] == 15, spots
 
 
+def test_keys_of_other_types_and_null_keys(spark):
+    docs = spark.createDataFrame([("d", ITEM), (None, ITEM), ("e", "nada")], "k string, t string")
+    it = spark.createDataFrame([("i", ITEM), (None, ITEM)], "q string, t string")
+    assert leaks(docs, "k", "t", it, "q", "t").count() == 4
+    assert leaks(docs.where("k = 'e'"), "k", "t", it, "q", "t").count() == 0
+
+
+def test_very_long_texts():
+    long = ("Por fin, el club cerró la llegada del delantero por 9 millones. " * 40_000) + ITEM
+    index, ids = build_index([(1, ITEM)], 3)
+    assert [m[1] for m in matches_of(words(long), index, ids, 15, 0.8)] == [len(words(ITEM))]
+    assert rs.reasons(long) == [] and rs.reasons(long + " {{x}}") == ["slot"] and rs.reasons("<code>" * 2000 + long[:200_000]) == []
+
+
 def test_words():
     assert words("Año «nuevo», avant-centre re-\n* placé <b>Ł</b>ódź&nbsp;2019/2020 — x") == ["ano", "nuevo", "avantcentre", "replace", "lodz", "20192020", "x"]
 
@@ -277,7 +291,7 @@ def test_clubs(spark):
 
 def test_people(spark):
     data = [("a", "1", "kazes govolorme", "austria|", 1999, 182, "right", "d"), ("a", "2", "kazes govolorme", "spain|", 1994, 170, "left", "a"), ("a", "3", "", "spain|", 1994, 170, "left", "a"), ("a", "4", "lusar tinmubito", "", None, None, "", "")]
-    data += [("b", "11", "k govolorme", "austria", 1999, 182, "right", "d"), ("b", "12", "govolorme", "spain", 1994, 171, "left", "a"), ("b", "13", "lusar tinmubito", "france", 1990, 180, "left", "g"), ("b", "14", "otro nombre", "spain", 1994, 170, "left", "a")]
+    data += [("b", "11", "k govolorme", "austria", 1999, 182, "right", "d"), ("b", "12", "govolorme", "spain", 1994, 171, "left", "a"), ("b", "13", "lusar tinmubito", "france", 1990, 180, "left", "g"), ("b", "14", "otro nombre", "spain", 1994, 170, "left", "a"), ("b", "15", None, None, None, None, None, None), ("a", "5", "solo nombre", None, None, None, None, None)]
     df = spark.createDataFrame(data, "side string, ent string, nombre string, paises string, nacido int, altura int, pie string, rol string")
     assert rows(mt.match_people(df), "a", "b")[:2] == [("1", "11"), ("2", "12")]
     assert mt.match_people(df.limit(0)).count() == 0
