@@ -149,7 +149,7 @@ def model_plan() -> Plan:
     """The plan of the model population: what is usable there, and which cells stand together."""
 
     def number(name: str, low: float = 0.0, high: float | None = None, whole: bool = False, log: bool = False) -> Numeric:
-        c = F.col(f"`{name}`").cast("double")
+        c = F.col(f"`{name}`").try_cast("double")
         usable = c.isNotNull() & ~F.isnan(c) & (c >= low) & (c <= (high if high is not None else 1e12))
         return Numeric(F.when(usable & ((c == F.floor(c)) if whole else F.lit(True)), c), log, low, high, whole)
 

@@ -75,8 +75,9 @@ def compact_arrivals(spark: SparkSession, source: str, home: str | None = None,
     """Every arrival of the pages in ``source`` exactly once, in few files, with the smallest page that holds it.
 
     The row kept of an operation is the first on its page of the smallest ``archivo_id``.
-    Null, blank, broken and error pages give nothing; pages landed again add nothing.
+    Null, blank, broken and error pages give nothing; pages landed again add nothing; a page
+    without an id stands only where no other holds the operation.
     """
-    order = F.struct("archivo_id", F.coalesce("coste_fichaje_texto", F.lit("")), F.coalesce("jugador_tm_id", F.lit("")))
+    order = F.struct(F.col("archivo_id").isNull(), F.col("archivo_id"), F.coalesce("coste_fichaje_texto", F.lit("")), F.coalesce("jugador_tm_id", F.lit("")))
     out = compact(spark, source, home or scratch(spark, "compact"), parsed_pages, lambda df: first_of_key(df, "operacion_id", order), **how)
     return spark.read.parquet(out)

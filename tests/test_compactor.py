@@ -43,7 +43,7 @@ def test_incremental_runs_replace_and_never_duplicate(spark, tmp_path):
     src, home = str(tmp_path / "in"), str(tmp_path / "home")
     schema = "archivo_id bigint, html string, extra string"
     put = lambda data: spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(src)
-    put([(5, page(row(1), row(2)), "a"), (6, None, "a"), (7, "", "a")])
+    put([(5, page(row(1), row(2)), "a"), (6, None, "a"), (7, "", "a"), (None, page(row(1)), "a")])
     put([(3, page(row(2), row(2)), "a")])
     got = compact_arrivals(spark, src, home, files_per_batch=1)
     assert rows(got, "operacion_id", "archivo_id") == [("1", 5), ("2", 3)]
