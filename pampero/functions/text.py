@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -13,10 +14,28 @@ FOLDS = {"ø": "o", "đ": "d", "ł": "l", "ß": "ss", "æ": "ae", "ı": "i", "þ
 _FOLD = str.maketrans(FOLDS | {k.upper(): v.upper() for k, v in FOLDS.items() if len(k.upper()) == 1})
 
 
+def _one_of(wanted) -> re.Pattern:
+    """A pattern for runs of the characters that ``wanted`` holds for."""
+    cps = [cp for cp in range(0x80, 0x20000) if wanted(chr(cp))]
+    runs, start = [], None
+    for a, b in zip(cps, [*cps[1:], None]):
+        start = a if start is None else start
+        if b != a + 1:
+            runs.append(f"\\U{start:08x}-\\U{a:08x}")
+            start = None
+    return re.compile(f"[{''.join(runs)}]+")
+
+
+COMBINING = _one_of(lambda c: unicodedata.combining(c) != 0)
+FORMATS = _one_of(lambda c: unicodedata.category(c) == "Cf")
+
+
 def fold(text: str) -> str:
     """Lower case without accents; the letters of ``FOLDS`` spelled out."""
+    if text.isascii():
+        return text.lower()
     text = unicodedata.normalize("NFKD", text.translate(_FOLD)).casefold().translate(_FOLD)
-    return text if text.isascii() else "".join(c for c in text if not unicodedata.combining(c))
+    return text if text.isascii() else COMBINING.sub("", text)
 
 
 def fold_text(col: Column) -> Column:
