@@ -16,7 +16,7 @@ _FOLD = str.maketrans(FOLDS | {k.upper(): v.upper() for k, v in FOLDS.items() if
 
 def _one_of(wanted) -> re.Pattern:
     """A pattern for runs of the characters that ``wanted`` holds for."""
-    cps = [cp for cp in range(0x80, 0x20000) if wanted(chr(cp))]
+    cps = [cp for cp in (*range(0x80, 0x20000), *range(0xE0000, 0xE0200)) if wanted(chr(cp))]
     runs, start = [], None
     for a, b in zip(cps, [*cps[1:], None]):
         start = a if start is None else start
