@@ -11,7 +11,6 @@ from pyspark.sql.functions import pandas_udf
 
 #: Letters that NFKD leaves whole (fixed values).
 FOLDS = {"ø": "o", "đ": "d", "ł": "l", "ß": "ss", "æ": "ae", "ı": "i", "þ": "th", "ð": "d", "œ": "oe"}
-_FOLD = str.maketrans(FOLDS | {k.upper(): v.upper() for k, v in FOLDS.items() if len(k.upper()) == 1})
 
 
 def _one_of(wanted) -> re.Pattern:
@@ -34,8 +33,12 @@ def fold(text: str) -> str:
     """Lower case without accents; the letters of ``FOLDS`` spelled out."""
     if text.isascii():
         return text.lower()
-    text = unicodedata.normalize("NFKD", text.translate(_FOLD)).casefold().translate(_FOLD)
-    return text if text.isascii() else COMBINING.sub("", text)
+    text = COMBINING.sub("", unicodedata.normalize("NFKD", text).casefold())
+    if not text.isascii():
+        for letter, plain in FOLDS.items():
+            if letter in text:
+                text = text.replace(letter, plain)
+    return text
 
 
 def fold_text(col: Column) -> Column:
