@@ -5,7 +5,6 @@ from __future__ import annotations
 import difflib
 import html
 import re
-import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pampero.functions.text import fold
+from pampero.functions.text import FORMATS, fold
 
 _TAG = re.compile(r"</?(?:b|i|u|em|strong|span|a|mark|small|sub|sup)\b[^<>]{0,200}>", re.I)
 _BLOCK = re.compile(r"</?[A-Za-z!][^<>]{0,200}>")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑­]\s*\n[\s>*|#\-]*(?=[^\W\d_])")
-_NOT_WORD = re.compile(r"[\W_]+")
+_NOT_WORD = re.compile(r"[^\w\s]+|_+")
 #: Words for kinds of quantity (fixed values).
 UNITS = frozenset("m m€ k € % euro euros million millions millon millones milhao milhoes minuto minutos minute minutes ano anos ans years year".split())
 NAME, NUMBER, UNIT = "\x01n", "\x01#", "\x01u"
@@ -32,8 +31,8 @@ def words(text: str) -> list[str]:
         text = _BLOCK.sub(" ", _TAG.sub("", text))
     text = _HYPHEN.sub("", text)
     if not text.isascii():
-        text = "".join(c for c in text if c.isascii() or unicodedata.category(c) != "Cf")
-    return [w for w in (_NOT_WORD.sub("", x) for x in fold(text).split()) if w]
+        text = FORMATS.sub("", text)
+    return _NOT_WORD.sub("", fold(text)).split()
 
 
 def names_of(text: str) -> set[str]:
@@ -62,25 +61,26 @@ class Index:
     width: int
 
 
-def _hash(parts: tuple) -> int:
-    return hash(parts) & 0x7FFFFFFFFFFFFFFF
-
-
 def canonical(ws: list[str], plain: frozenset) -> list[str]:
     """The template of words: numbers, units and names as typed placeholders, the items' plain words as they are."""
     return [NUMBER if any(c.isdigit() for c in w) else UNIT if w in UNITS else w if w in plain else NAME for w in ws]
 
 
-def windows(ws: list[str], plain: frozenset, width: int, ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Template hash and slot hash of every window; words are numbered once, windows hashed as arrays."""
+def windows(ws: list[str], numbers: dict[str, tuple[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Template hash and slot hash of every window, as arrays.
+
+    ``numbers`` gives the items' words a number for their template and one of their own. A word
+    that no item holds has no number of its own, so a window with it equals none.
+    """
     n = len(ws) - width + 1
     if n < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    t = np.fromiter((ids.setdefault(w, len(ids) + 1) for w in canonical(ws, plain)), np.uint64, len(ws))
-    s = np.fromiter((ids.setdefault(w, len(ids) + 1) for w in ws), np.uint64, len(ws))
+    name, number, unit = numbers[NAME], numbers[NUMBER], numbers[UNIT]
+    pairs = [numbers.get(w) or (number if not w.isalpha() and any(map(str.isdigit, w)) else unit if w in UNITS else name) for w in ws]
+    both = np.array(pairs, np.uint64)
     out = []
     with np.errstate(over="ignore"):
-        for seq, seed in ((t, 0x9E3779B97F4A7C15), (s, 0xC2B2AE3D27D4EB4F)):
+        for seq, seed in ((both[:, 0], 0x9E3779B97F4A7C15), (both[:, 1], 0xC2B2AE3D27D4EB4F)):
             h = np.zeros(n, np.uint64)
             for k in range(width):
                 h = (h ^ (seq[k : k + n] * np.uint64(seed))) * np.uint64(0x100000001B3) + (h >> np.uint64(29))
@@ -88,27 +88,39 @@ def windows(ws: list[str], plain: frozenset, width: int, ids: dict[str, int]) ->
     return out[0], out[1]
 
 
-def build_index(items: list[tuple], width: int) -> tuple[Index, dict[str, int]]:
+def build_index(items: list[tuple], width: int) -> tuple[Index, dict[str, tuple[int, int]]]:
+    """The index of a block of items and the numbers of their words."""
     texts = [words(t or "") for _, t in items]
     names = set().union(*(names_of(t or "") for _, t in items)) if items else set()
     plain = frozenset(w for ws in texts for w in ws if w not in names and not any(c.isdigit() for c in w) and w not in UNITS)
-    ids: dict[str, int] = {}
-    parts = [windows(ws, plain, width, ids) for ws in texts]
+    templates: dict[str, int] = {NAME: 1, NUMBER: 2, UNIT: 3}
+    numbers: dict[str, tuple[int, int]] = {k: (v, 0) for k, v in templates.items()}
+    for ws in texts:
+        for w, t in zip(ws, canonical(ws, plain)):
+            if w not in numbers:
+                numbers[w] = (templates.setdefault(t, len(templates) + 1), len(numbers))
+    parts = [windows(ws, numbers, width) for ws in texts]
     t = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
     s = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint64)
     item = np.concatenate([np.full(len(p[0]), i) for i, p in enumerate(parts)]) if parts else np.zeros(0, int)
     place = np.concatenate([np.arange(len(p[0])) for p in parts]) if parts else np.zeros(0, int)
     order = np.argsort(t, kind="stable")
-    return Index(t[order], s[order], item[order], place[order], [i for i, _ in items], texts, [[c in (NAME, NUMBER) for c in canonical(ws, plain)] for ws in texts], plain, width), ids
+    slot = [[c in (NAME, NUMBER) for c in canonical(ws, plain)] for ws in texts]
+    return Index(t[order], s[order], item[order], place[order], [i for i, _ in items], texts, slot, plain, width), numbers
 
 
-def longest_passage(doc: list[str], item: list[str], share: float, slot: list[bool]) -> tuple[int, float, float]:
-    """Length, matched share and matched share of its slots, of the longest run of item words of which at least ``share`` stand in the document in order and close together."""
+def longest_passage(doc: list[str], item: list[str], share: float, slot: list[bool], least: int) -> tuple[int, float, float]:
+    """Length, matched share and matched share of its slots, of the longest run of item words of which at least ``share`` stand in the document in order and close together; zeros where fewer than ``least`` words could."""
+    there, words_needed = set(doc), int(np.ceil(share * least - 1e-9))
+    if sum(w in there for w in item) < words_needed:
+        return 0, 0.0, 0.0
     match = difflib.SequenceMatcher(None, doc, item, autojunk=False)
     at = np.full(len(item), -1)
     for a, b, n in match.get_matching_blocks():
         at[b : b + n] = np.arange(a, a + n)
     hit = np.flatnonzero(at >= 0)
+    if len(hit) < words_needed:
+        return 0, 0.0, 0.0
     best, best_share, best_slots = 0, 0.0, 0.0
     for i in range(len(hit)):
         for j in range(len(hit) - 1, i, -1):
@@ -124,9 +136,26 @@ def longest_passage(doc: list[str], item: list[str], share: float, slot: list[bo
     return best, best_share, best_slots
 
 
-def matches_of(ws: list[str], index: Index, ids: dict[str, int], least: int, share: float) -> list[tuple]:
+def _dense(item: np.ndarray, d: np.ndarray, p: np.ndarray, needed: int, least: int) -> np.ndarray:
+    """Items with ``needed`` whole windows at different places close to one diagonal.
+
+    A passage, however long, has a stretch of less than twice ``least`` words with so many; in it
+    the diagonal d - p shifts by no more than the words left out there, so two sets of bands, each
+    as wide as ``least`` and half a band apart, hold such a stretch whole in one of them.
+    """
+    out = []
+    low, size = int(p.max()) + 1, int(d.max()) + 1
+    bands = (size + low) // least + 2
+    for shift in (0, least // 2):
+        keys = np.unique((item * bands + (d - p + low + shift) // least) * size + d) // size
+        band, n = np.unique(keys, return_counts=True)
+        out.append(band[n >= needed] // bands)
+    return np.unique(np.concatenate(out))
+
+
+def matches_of(ws: list[str], index: Index, numbers: dict, least: int, share: float) -> list[tuple]:
     """(item number, passage words, share matched, share of its slots matched, windows, windows of equal template but other slots) for the items that share windows with a document."""
-    t, s = windows(ws, index.plain, index.width, ids)
+    t, s = windows(ws, numbers, index.width)
     if not len(t) or not len(index.template):
         return []
     lo, hi = np.searchsorted(index.template, t, "left"), np.searchsorted(index.template, t, "right")
@@ -143,7 +172,10 @@ def matches_of(ws: list[str], index: Index, ids: dict[str, int], least: int, sha
     item, place = index.item[row], index.place[row]
     other = np.bincount(item[~same], minlength=len(index.ids))
     counts = np.bincount(item[same], minlength=len(index.ids))
-    for i in np.flatnonzero(counts >= needed):
+    often = same & (counts[item] >= needed)
+    if not often.any():
+        return []
+    for i in _dense(item[often], doc_place[often], place[often], needed, least):
         mine = same & (item == i)
         d, p = doc_place[mine], place[mine]
         # windows of one passage lie along a diagonal that edits shift by no more than their number
@@ -157,7 +189,7 @@ def matches_of(ws: list[str], index: Index, ids: dict[str, int], least: int, sha
             if len(np.unique(dd)) < needed or len(np.unique(pp)) < needed:
                 continue
             a, b = max(0, dd[0] - least), dd[-1] + index.width + least
-            best = max(best, longest_passage(ws[a:b], index.words[i], share, slot))
+            best = max(best, longest_passage(ws[a:b], index.words[i], share, slot, least))
         out.append((int(i), *best, int(counts[i]), int(other[i])))
     return out
 
@@ -187,18 +219,15 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     parts, block, size = [], [], 0
 
     def part(rows):
-        index, known = build_index(rows, width)
+        index, numbers = build_index(rows, width)
 
         def run(batches):
-            ids = dict(known)
             for batch in batches:
                 cols: list[list] = [[] for _ in range(6)]
                 for at, body in enumerate(batch.column(1).to_pylist()):
                     if not body:
                         continue
-                    if len(ids) > 300_000:
-                        ids = dict(known)
-                    for i, n, got, kept, hits, other in matches_of(words(body), index, ids, least, share):
+                    for i, n, got, kept, hits, other in matches_of(words(body), index, numbers, least, share):
                         if n >= least and kept >= slots:
                             for c, v in zip(cols, (at, index.ids[i], n, got, hits, other)):
                                 c.append(v)
