@@ -188,7 +188,7 @@ def test_no_passage_is_lost_to_the_windows():
     index, ids = build_index([(1, " ".join(base))], 3)
     for spots in itertools.combinations(range(1, 14), 3):
         ws = [f"zz{i}" if i in spots else w for i, w in enumerate(base)]
-        got = matches_of(["a", "b", *ws, "c"], index, dict(ids), 15, 0.8)
+        got = matches_of(["a", "b", *ws, "c"], index, ids, 15, 0.8)
         assert got and got[0][1] == 15, spots
 
 
