@@ -32,8 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder; ``clear_scratch`` deletes what a session took."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    spark.sparkContext.__dict__.setdefault("_pampero_scratch", []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes the tables that this session wrote to the shared folder; frames that read them can't be used after it."""
+    made = spark.sparkContext.__dict__.pop("_pampero_scratch", [])
+    for path in made:
+        drop_path(spark, path)
+    return len(made)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

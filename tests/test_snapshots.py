@@ -34,3 +34,17 @@ def test_ids_and_dates(spark):
     assert got[:4] == ["100016", "12", None, None]
     days = spark.createDataFrame([("2025-13-01",), ("31/12/2024",), ("20241231",), ("",)], "a string")
     assert [str(r[0]) for r in days.select(plain_date(F.col("a"))).collect()] == ["None", "2024-12-31", "2024-12-31", "None"]
+
+
+def test_scratch_is_shared_and_can_be_cleared(spark, tmp_path):
+    import os
+
+    from pampero import session
+
+    df = session.written(spark.range(3), "probe")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert df.count() == 3 and any(f.startswith("probe-") for f in os.listdir(folder))
+    mine = spark.sparkContext.__dict__["_pampero_scratch"]
+    spark.sparkContext.__dict__["_pampero_scratch"] = mine[-1:]
+    assert session.clear_scratch(spark) == 1 and not any(f.startswith("probe-") for f in os.listdir(folder))
+    assert session.path_bytes(spark, str(tmp_path / "no")) == 0
