@@ -31,7 +31,8 @@ def neighbours(records: DataFrame, keys: str, fields: list[str], compare: Callab
     """
     spark = records.sparkSession
     rows = records.select("side", "ent", *fields, F.posexplode(keys).alias("pass", "key")).where("key is not null and key <> ''")
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # every record stands once an order: parts as much smaller keep a task's sort and its worker's frames small
+    parts = 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(parts, "pass", "key", "ent", "side").sortWithinPartitions("pass", "key", "ent", "side")
     ident = F.monotonically_increasing_id()
     placed = written(ordered.withColumn("id", ident).select("*", F.shiftright("id", 33).cast("int").alias("part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("at")).drop("id", "key"), "sn-sorted")
@@ -58,7 +59,7 @@ def neighbours(records: DataFrame, keys: str, fields: list[str], compare: Callab
                     best[pair] = score
         return pd.DataFrame([(a, b, s) for (a, b), s in best.items()], columns=["a", "b", "confianza"])
 
-    found = cut.groupBy("block").applyInPandas(scan, "a string, b string, confianza double")
+    found = cut.repartition(parts, "block").groupBy("block").applyInPandas(scan, "a string, b string, confianza double")
     return found.groupBy("a", "b").agg(F.max("confianza").alias("confianza"))
 
 
@@ -160,7 +161,7 @@ def assign(pairs: DataFrame, bound: int = 300, step: float = 0.01) -> DataFrame:
 
 # --- similarities ----------------------------------------------------------------------------
 
-@lru_cache(150_000)
+@lru_cache(50_000)
 def token_similarity(x: str, y: str) -> float:
     """1 for equal tokens; initials and abbreviations by their prefix; else the share of characters in common order."""
     if x == y:

@@ -64,7 +64,7 @@ def _people(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     known = one.join(years, ["nombre", "paises"]).withColumn("nacido", F.coalesce("nacido", F.when(F.col("y0") == F.col("y1"), F.col("y0"))))
     tall = known.groupBy("nombre", "paises", "nacido").agg(F.min("altura").alias("h0"), F.max("altura").alias("h1"))
     known = known.alias("k").join(tall.alias("t"), [F.col("k.nombre") == F.col("t.nombre"), F.col("k.paises") == F.col("t.paises"), F.col("k.nacido").eqNullSafe(F.col("t.nacido"))]).select("k.*", F.coalesce("altura", F.when(F.col("h0") == F.col("h1"), F.col("h0"))).alias("h"))
-    keyed = known.withColumn("persona", F.when(F.col("nacido").isNull(), F.col("id")).otherwise(F.sha2(F.concat_ws("|", "nombre", "paises", "nacido", "h"), 256)))
+    keyed = known.withColumn("persona", F.when(F.col("nacido").isNull(), F.col("id")).otherwise(F.md5(F.concat_ws("|", "nombre", "paises", "nacido", "h"))))
     members = written(keyed.select("id", "persona"), "mt-members")
     a = keyed.groupBy("persona").agg(F.min("nombre").alias("nombre"), F.min("paises").alias("paises"), F.max("nacido").alias("nacido"), F.max("h").alias("altura"), F.max("pie").alias("pie"), F.max("rol").alias("rol"))
     a = a.select(F.lit("a").alias("side"), F.col("persona").alias("ent"), "nombre", "paises", F.col("nacido").cast("int"), F.col("altura").cast("int"), "pie", "rol")
