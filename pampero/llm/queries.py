@@ -12,6 +12,8 @@ from pampero.llm.percentiles import from_summaries, percentiles, summaries
 from pampero.llm.residue import residue
 from pampero.llm.splits import assign_splits
 from pampero.llm.tokenizer import encode
+from pampero.operators.relational import keep_one
+from pampero.plans.silver import consolidate
 from pampero.session import table, written
 
 
@@ -93,6 +95,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_matches(spark, d).select("tipo", "plata_id", "fuente_id")
 
 
+def silver(spark: SparkSession, d: str) -> DataFrame:
+    """The consolidated table with the players tied to their profiles as in p4."""
+    people, members = _people(spark, d)
+    tied = written(mt.match_people(people).join(members, F.col("a") == members.persona).select(F.col("id").alias("jugador_tm_id"), F.col("b").alias("jugador_fotmob_id"), "confianza"), "silver-players")
+
+    @F.udf("struct<altura: int, pie: string>", useArrow=True)
+    def facts(text):
+        got = mt.profile_fields(text)
+        return {"altura": mt.height_cm(got.get("height")), "pie": got.get("preferred foot", "").lower() or None}
+
+    f = table(spark, d, "fotmob").select(plain_digits(F.col("jugador_fotmob_id")).alias("jugador_fotmob_id"), facts("playerinformation").alias("x"), F.nullif(F.regexp_extract("positiondescription", r'"label"\s*:\s*"([^"]*)', 1), F.lit("")).alias("posicion_fotmob"), "extraido_el", "registro_id")
+    profiles = keep_one(f, ["jugador_fotmob_id"], [F.col("extraido_el"), F.col("registro_id")]).select("jugador_fotmob_id", F.col("x.altura").alias("altura_cm"), F.col("x.pie").alias("pie"), "posicion_fotmob")
+    best = keep_one(tied, ["jugador_tm_id"], [F.col("confianza"), F.col("jugador_fotmob_id")]).drop("confianza")
+    return consolidate(spark, d, players=best.join(profiles, "jugador_fotmob_id", "left"))
+
+
 PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
@@ -134,7 +152,7 @@ def p10_reasons(spark: SparkSession, d: str) -> DataFrame:
     return residue(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p4_found, p4_matches, p7_percentiles, p7_by_season, p7_joined, p8_ids, p9_found, p9_passages, p10_found, p10_reasons)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p4_found, p4_matches, silver, p7_percentiles, p7_by_season, p7_joined, p8_ids, p9_found, p9_passages, p10_found, p10_reasons)}
 
 _ID = r"try_cast(regexp_extract({0}, '^\D*(\d+)(?:\.\d+)?\D*$', 1) as bigint)"
 

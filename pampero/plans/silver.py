@@ -1,12 +1,12 @@
-"""The consolidated table: arrivals enriched with the ranking of both clubs."""
+"""The consolidated table: arrivals enriched with the ranking of both clubs and the player's previous season."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pampero.functions.text import fold_text, plain_date, plain_digits
 from pampero.operators.nested import flat_table, occurrences
-from pampero.operators.relational import flag, keep_one
+from pampero.operators.relational import first_match, flag, keep_one, recode
 from pampero.operators.resolve import RESERVE, name_tokens, resolve
 from pampero.plans.datasets import ARRAY_KEYS
 from pampero.session import table, written
@@ -15,14 +15,36 @@ from pampero.streaming.compactor import parsed_pages
 
 #: Metrics that are shares or means and are averaged over tournaments; the others are summed (fixed values).
 AVERAGED = ["stat_rating", "stat_pass_accuracy", "stat_long_ball_accuracy", "stat_cross_accuracy", "stat_dribbles_success_rate", "stat_duels_won_%", "stat_aerials_won_%"]
+#: A metric that the source gives a second time under another title (fixed value).
+REPEATED = "stat_conceded"
+#: Metrics with a column of their own, by the titles they may have; all others stay in the map (fixed values).
+COLUMNS = {c: [c] for c in "stat_aerials_won_% stat_assists stat_big_chances_created stat_chances_created stat_dribbles_success_rate stat_duels_won_% stat_goals stat_goals_conceded stat_goals_prevented stat_high_claims stat_interceptions stat_matches stat_minutes stat_pass_accuracy stat_possession_won_final_3rd stat_rating stat_recoveries stat_save_percentage stat_saves stat_shots_on_target stat_successful_crosses stat_tackles stat_touches_in_opposition_box stat_xg".split()} | {"stat_minutes": ["stat_minutes", "stat_minutes_played"]}
+#: Countries that the transfer site and the ranking spell differently (fixed values).
+COUNTRIES = {"czech republic": "czechia", "bosnia herzegovina": "bosnia and herzegovina", "ireland": "republic of ireland", "monaco": "france", "turkey": "turkiye"}
+#: Codes of the five great leagues (fixed values).
+TOP5 = ["GB1", "ES1", "IT1", "L1", "FR1"]
+#: Operations that are no signing: a player who returns to the own club (fixed values).
+NO_SIGNING = ["fin_de_cesion"]
 
 
-def player_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """jugador_fotmob_id, temporada, metrica, valor of every profile: the newest fetch, summed or averaged over tournaments.
+def country_key(col: Column) -> Column:
+    """A country in one spelling for both sources; null and blank are unknown."""
+    k = F.trim(F.regexp_replace(fold_text(col), "[^a-z]+", " "))
+    return F.nullif(recode(k, COUNTRIES, k), F.lit(""))
 
-    Metrics are the items of a tournament's blocks that have a number; within a tournament the
-    last block's value of a title stands. Seasons may be labelled by one year or two.
-    """
+
+def operation(text: Column) -> tuple[Column, Column]:
+    """(euros, kind) of a written fee; a loan fee and a purchase have an amount, the other kinds none."""
+    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    kind = first_match([(t.contains("loan fee"), "cesion_con_cargo"), (t.contains("end of loan"), "fin_de_cesion"), (t.contains("loan"), "cesion"), (t.contains("free"), "libre"), (t.contains("?") | t.isin("-", ""), "desconocido")], "compra")
+    unit = F.regexp_extract(t, r"€\s*([\d.,]+)\s*([mk]?)", 2)
+    factor = F.when(unit == "m", 1e6).when(unit == "k", 1e3).otherwise(1.0)
+    euros = (F.regexp_replace(F.regexp_extract(t, r"€\s*([\d.,]+)\s*([mk]?)", 1), ",", "").try_cast("double") * factor).cast("bigint")
+    return F.when(kind.isin("compra", "cesion_con_cargo"), euros), kind
+
+
+def _tournament_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """jugador_fotmob_id, temporada, metrica, v of every tournament in the newest fetch of a profile."""
     f = table(spark, d, "fotmob")
     newest = keep_one(f.select("registro_id", "jugador_fotmob_id", "statseasons", "extraido_el"), ["jugador_fotmob_id"], [F.col("extraido_el"), F.col("registro_id")])
     bridge = written(occurrences(newest, "fotmob", F.col("registro_id"), {"statseasons": "statSeasons"}, ARRAY_KEYS), "metrics")
@@ -31,40 +53,99 @@ def player_metrics(spark: SparkSession, d: str) -> DataFrame:
     v = F.regexp_replace("valor", "%$", "").try_cast("double")
     long = items.select("registro", F.regexp_extract("ruta", r"^(statSeasons/\d+)", 1).alias("s"), F.regexp_extract("ruta", r"^(statSeasons/\d+/tournaments/\d+)", 1).alias("t"), F.concat(F.lit("stat_"), F.lower(F.replace("titulo", F.lit(" "), F.lit("_")))).alias("metrica"), v.alias("v"), "ruta").where("v is not null")
     one = long.groupBy("registro", "s", "t", "metrica").agg(F.max_by("v", "ruta").alias("v"))
-    per = one.join(seasons, ["registro", "s"]).join(newest.select(F.col("registro_id").alias("registro"), "jugador_fotmob_id"), "registro")
+    return one.join(seasons, ["registro", "s"]).join(newest.select(F.col("registro_id").alias("registro"), "jugador_fotmob_id"), "registro")
+
+
+def _consolidated(per: DataFrame) -> DataFrame:
+    """The metrics of a player's season, summed or averaged over its tournaments."""
     return per.groupBy("jugador_fotmob_id", "temporada", "metrica").agg(F.round(F.when(F.first("metrica").isin(AVERAGED), F.avg("v")).otherwise(F.sum("v")), 6).alias("valor"))
 
 
-def consolidate(spark: SparkSession, d: str, seasons: list[str] | None = None, tope: int = 20) -> DataFrame:
-    """One row per arrival: what its page says, both clubs' rank, and what follows from the pair.
+def player_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """jugador_fotmob_id, temporada, metrica, valor of every profile: the newest fetch, summed or averaged over tournaments.
+
+    Metrics are the items of a tournament's blocks that have a number; within a tournament the
+    last block's value of a title stands. Seasons may be labelled by one year or two.
+    """
+    return _consolidated(_tournament_metrics(spark, d))
+
+
+def season_history(spark: SparkSession, d: str) -> DataFrame:
+    """jugador_fotmob_id, temporada_stats, metricas (map): a season's metrics under its label of two years.
+
+    A label of one year is the season that begins in it; both labels' tournaments count together.
+    """
+    y = F.col("temporada").cast("string")
+    label = F.when(y.rlike(r"^\d{4}$"), F.concat_ws("/", y, (y.try_cast("int") + 1).cast("string"))).otherwise(y)
+    per = _tournament_metrics(spark, d).where(F.col("metrica") != REPEATED).withColumn("temporada", label)
+    return _consolidated(per).groupBy(plain_digits(F.col("jugador_fotmob_id")).alias("jugador_fotmob_id"), F.col("temporada").alias("temporada_stats")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metrica", "valor")))).alias("metricas"))
+
+
+def consolidate(spark: SparkSession, d: str, seasons: list[str] | None = None, tope: int = 20, players: DataFrame | None = None) -> DataFrame:
+    """One row per signing: what its page says, both clubs' rank, what follows from the pair, and the season before.
 
     Pages of other seasons are left out before they are parsed. The newest row of an operation
-    stands. The destination is found by name within the ranking's snapshot, the origin through the
-    resolver; reserve sides take no rank. Misses stay null; the method of each match is kept.
+    stands; returns from a loan are no signing. The destination's name and country come from the
+    silver history by the id in the page's path, and so do the country and league of an origin
+    where its page lacks them. Both clubs go through the resolver, once a different name and
+    country, against the newest snapshot; reserve sides take no rank. Misses stay null; the method
+    of each match is kept, and a match by likeness makes the row doubtful.
+
+    ``players`` ties transfer ids to profiles: jugador_tm_id (one row each), jugador_fotmob_id,
+    altura_cm, pie, posicion_fotmob. A player's metrics are those of the season before the signing;
+    ``metricas`` holds all of them. Without ``players`` that history is unknown (null).
     """
     pages = table(spark, d, "bronce").withColumn("temporada", partition_value(F.col("ruta_tm_altas"), "temporada")).withColumn("club", partition_value(F.col("ruta_tm_altas"), "club"))
     if seasons:
         pages = pages.where(F.col("temporada").isin(seasons))
     rows = parsed_pages(pages).join(pages.select("archivo_id", "temporada", F.col("club").alias("club_destino_id"), "aterrizado_el"), "archivo_id")
-    kept = written(keep_one(rows, ["operacion_id"], [F.col("aterrizado_el"), F.col("archivo_id")]), "silver-rows")
+    euros, kind = operation(F.col("coste_fichaje_texto"))
+    signings = rows.withColumn("coste_fichaje_eur", euros).withColumn("tipo_operacion", kind).where(~F.col("tipo_operacion").isin(NO_SIGNING))
+    kept = written(keep_one(signings, ["operacion_id"], [F.col("aterrizado_el"), F.col("archivo_id")]), "silver-rows")
     u = table(spark, d, "uefa").withColumn("dia", plain_date(F.col("actualizacion")))
     newest = u.agg(F.max("dia").alias("dia"))
-    ranks = keep_one(u.join(newest, "dia").select(plain_digits(F.col("uefa_club_id")).alias("uefa_id"), "uefa_ranking", "uefa_pais", "uefa_nombre", "uefa_nombre_oficial", "uefa_nombre_internacional", "uefa_nombre_corto", "aterrizado_el", "fila_id"), ["uefa_id"], [F.col("aterrizado_el"), F.col("fila_id")])
+    ranks = keep_one(u.join(newest, "dia").select(plain_digits(F.col("uefa_club_id")).alias("uefa_id"), "dia", "uefa_ranking", "uefa_coeficiente", "uefa_pais", "uefa_nombre", "uefa_nombre_oficial", "uefa_nombre_internacional", "uefa_nombre_corto", "aterrizado_el", "fila_id").where("uefa_id is not null"), ["uefa_id"], [F.col("aterrizado_el"), F.col("fila_id")])
     forms = ranks.select("uefa_id", "uefa_ranking", "uefa_pais", F.explode(F.array("uefa_nombre", "uefa_nombre_oficial", "uefa_nombre_internacional", "uefa_nombre_corto")).alias("n")).where("n is not null").distinct()
-    aliases = forms.select(F.col("uefa_id").alias("destino"), F.coalesce("uefa_ranking", F.lit(10_000)).alias("pos"), fold_text(F.col("uefa_pais")).alias("block"), name_tokens(fold_text(F.col("n"))).alias("tokens"))
-    reserve = flag(F.col("club_origen").rlike(RESERVE))
-    # the country of an origin isn't on every page: the silver history of the club has it
-    known = table(spark, d, "plata").where("club_origen_pais is not null").groupBy(F.col("club_origen_id")).agg(F.mode("club_origen_pais", True).alias("pais"))
-    base = kept.withColumn("club_origen_es_filial", reserve).join(known, "club_origen_id", "left")
-    names = base.where("not club_origen_es_filial and club_origen is not null").select(F.col("club_origen_id").alias("id"), "club_origen", "pais").groupBy("id").agg(F.min("club_origen").alias("n"), F.min("pais").alias("c"))
-    found = written(resolve(names.select("id", fold_text(F.col("c")).alias("block"), name_tokens(fold_text(F.col("n"))).alias("tokens")), aliases), "silver-found")
-    r = ranks.select(F.col("uefa_id").alias("destino"), F.col("uefa_ranking").alias("club_origen_ranking_uefa"))
-    origin = found.join(r, "destino", "left").select(F.col("id").alias("club_origen_id"), "club_origen_ranking_uefa", F.col("metodo").alias("cruce_metodo"))
-    out = base.join(origin, "club_origen_id", "left").drop("pais")
+    aliases = forms.select(F.col("uefa_id").alias("destino"), F.coalesce("uefa_ranking", F.lit(10_000)).alias("pos"), country_key(F.col("uefa_pais")).alias("block"), name_tokens(fold_text(F.col("n"))).alias("tokens"))
+    # neither the destination's name nor every origin's country is on a page: the silver history of the clubs has them
+    p = table(spark, d, "plata")
+    targets = p.groupBy(plain_digits(F.col("club_destino_id")).alias("club_destino_id")).agg(F.mode("club_destino", True).alias("club_destino"), F.mode("club_destino_pais", True).alias("club_destino_pais")).where("club_destino_id is not null")
+    known = p.groupBy(plain_digits(F.col("club_origen_id")).alias("club_origen_id")).agg(F.mode("club_origen_pais", True).alias("pais"), F.mode(F.when(F.col("club_origen_liga_id").isNotNull(), F.struct("club_origen_liga", "club_origen_liga_id")), True).alias("liga")).where("club_origen_id is not null")
+    base = kept.withColumns({c: plain_digits(F.col(c)) for c in ("club_destino_id", "club_origen_id", "jugador_tm_id")}).join(targets, "club_destino_id", "left").join(known, "club_origen_id", "left")
+    no_league = F.col("club_origen_liga_id").isNull()
+    base = base.withColumns({
+        "club_origen_es_filial": flag(F.col("club_origen").rlike(RESERVE)), "club_origen_pais": F.coalesce("club_origen_pais", "pais"),
+        "club_origen_liga": F.when(no_league, F.coalesce("club_origen_liga", "liga.club_origen_liga")).otherwise(F.col("club_origen_liga")), "club_origen_liga_id": F.coalesce("club_origen_liga_id", "liga.club_origen_liga_id"),
+    }).drop("pais", "liga")
+    base = written(base, "silver-base")
+    asked = base.select(F.col("club_destino").alias("n"), F.col("club_destino_pais").alias("c")).union(base.where("not club_origen_es_filial").select("club_origen", "club_origen_pais")).where("n is not null").distinct()
+    asked = written(asked.select(F.struct("n", "c").alias("id"), country_key(F.col("c")).alias("block"), name_tokens(fold_text(F.col("n"))).alias("tokens")), "silver-asked")
+    found = written(resolve(asked, written(aliases, "silver-aliases")), "silver-found")
+    r = ranks.select(F.col("uefa_id").alias("destino"), "uefa_ranking", "uefa_coeficiente")
+    matched = written(found.join(r, "destino", "left"), "silver-matched")
+    side = lambda x: matched.select(F.col("id.n").alias(f"_n{x}"), F.col("id.c").alias(f"_c{x}"), F.col("uefa_ranking").alias(f"club_{x}_ranking_uefa"), F.col("uefa_coeficiente").alias(f"club_{x}_coeficiente_uefa"), F.col("metodo").alias(f"_m{x}"))
+    meets = lambda x: (F.col(f"club_{x}") == F.col(f"_n{x}")) & F.col(f"club_{x}_pais").eqNullSafe(F.col(f"_c{x}"))
+    out = base.join(side("destino"), meets("destino"), "left").join(side("origen"), meets("origen") & ~F.col("club_origen_es_filial"), "left")
+    start = F.col("temporada").try_cast("int")
+    label = lambda a, b: F.concat_ws("/", a.cast("string"), b.cast("string"))
+    out = out.withColumn("temporada_fichaje", F.when(start.isNotNull(), label(start, start + 1))).withColumn("temporada_stats", F.when(start.isNotNull(), label(start - 1, start)))
+    if players is None:
+        out = out.withColumns({"jugador_fotmob_id": F.lit(None).cast("string"), "altura_cm": F.lit(None).cast("int"), "pie": F.lit(None).cast("string"), "posicion_fotmob": F.lit(None).cast("string"), "metricas": F.lit(None).cast("map<string, double>"), "tiene_historial": F.lit(None).cast("boolean")})
+    else:
+        history = written(players.join(season_history(spark, d), "jugador_fotmob_id"), "silver-history")
+        out = out.join(history, ["jugador_tm_id", "temporada_stats"], "left").withColumn("tiene_historial", F.col("metricas").isNotNull())
+    out = out.crossJoin(F.broadcast(written(newest, "silver-day").select(F.date_format("dia", "yyyy-MM-dd").alias("uefa_actualizado_el"))))
+    jump = F.col("club_origen_ranking_uefa") - F.col("club_destino_ranking_uefa")
+    doubtful = lambda x: flag(F.col(f"_m{x}").startswith("aproximado"))
+    method = lambda x: F.coalesce(f"_m{x}", F.lit("sin_nombre"))
     return out.select(
-        "operacion_id", "archivo_id", "jugador_tm_id", "jugador_nombre", "posicion_tm", "edad_al_fichaje", "nacionalidad", "nacionalidad_2", "club_destino_id", "club_origen", "club_origen_id", "club_origen_es_filial", "coste_fichaje_texto",
-        F.concat_ws("/", "temporada", (F.col("temporada").try_cast("int") + 1).cast("string")).alias("temporada_fichaje"), F.concat_ws("/", (F.col("temporada").try_cast("int") - 1).cast("string"), "temporada").alias("temporada_stats"),
-        "club_origen_ranking_uefa", flag(F.col("club_origen_ranking_uefa") <= tope).alias("club_origen_es_top_20"), F.when(F.col("club_origen_es_filial"), "filial").otherwise(F.coalesce("cruce_metodo", F.lit("sin_nombre"))).alias("cruce_metodo"), flag(F.col("cruce_metodo").startswith("aproximado")).alias("cruce_dudoso"),
+        "jugador_tm_id", "jugador_fotmob_id", F.col("jugador_nombre").alias("nombre"), "temporada_fichaje", "temporada_stats", "operacion_id", "archivo_id", "coste_fichaje_eur", "tipo_operacion", "coste_fichaje_texto",
+        F.coalesce("club_destino", "club_destino_id").alias("club_destino"), "club_destino_id", "club_destino_pais", "club_destino_ranking_uefa", "club_destino_coeficiente_uefa", flag(F.col("club_destino_ranking_uefa") <= tope).alias("es_destino_top_20"),
+        "club_origen", "club_origen_id", "club_origen_es_filial", "club_origen_pais", "club_origen_liga", "club_origen_liga_id", flag(F.col("club_origen_liga_id").isin(TOP5)).alias("club_origen_liga_es_top5"), "club_origen_ranking_uefa", "club_origen_coeficiente_uefa", flag(F.col("club_origen_ranking_uefa") <= tope).alias("club_origen_es_top_20"), flag(F.col("club_origen_ranking_uefa") <= 50).alias("club_origen_es_top_50"),
+        flag(F.col("club_origen_pais") == F.col("club_destino_pais")).alias("traspaso_domestico"), jump.alias("salto_ranking_uefa"), (jump > 0).alias("sube_de_categoria"),
+        "edad_al_fichaje", "nacionalidad", "nacionalidad_2", "posicion_tm", "posicion_fotmob", "altura_cm", "pie", "tiene_historial",
+        method("destino").alias("cruce_destino_metodo"), F.when(F.col("club_origen_es_filial"), "filial").otherwise(method("origen")).alias("cruce_metodo"), (doubtful("destino") | doubtful("origen")).alias("cruce_dudoso"), "uefa_actualizado_el", F.col("aterrizado_el").alias("extraido_el"),
+        *[F.coalesce(*[F.col("metricas")[t] for t in titles]).alias(c) for c, titles in COLUMNS.items()], "metricas",
     )
 
 
