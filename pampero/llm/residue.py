@@ -78,8 +78,8 @@ _SENTENCE = re.compile(r"[^.!?…\n]+[.!?…]*|\n")
 #: Without any of these a text can hold no page statement or filler phrase; plain substring searches are cheaper than the grammars.
 _PAGE_KEYS = ("script", "cookie", "browser", "not found", "encontrada", "introuvable", "that page", "forbidden", "gateway", "error", "erro ", "erreur", "existe", "exist", "retirada", "removida", "is gone", "disponi", "unavailable", "available", "manten", "manuten", "mainten", "responde", "répond", "repond", "respond", "answer", "timed out", "agotado", "esgotado", "attente", "wrong", "salió mal", "salio mal", "correu mal", "survenu", "cargar", "could", "carregar", "charger", "mostrar", "denied", "denegado", "negado", "refusé", "refuse", "interdit", "request", "límite", "limite", "bloque", "session", "sesión", "sesion", "sessão", "sessao", "sign in", "tente mais", "plus tard", "try again", "inténtelo", "intentelo", "intentarlo", "volvemos", "voltamos", "retour", "back in")
 _FILLER_KEYS = ("text", "agra", "rraf", "placeholder", "dummy", "sample", "filler", "copy", "lead", "body", "headline", "caption", "conte", "aquí va", "aqui va", "aqui entra", "ici le", "todo:", "replace before", "delete me", "publi", "bla", "asdf", "test", "prueba", "foo", "xxx", "qwerty")
-_LATIN_KEYS = ("lorem", "ipsum", "dolor", "amet", "tempor", "aliqua", "elit", "nulla", "velit", "minim", "magna")
-_MARKS = re.compile(r"[{}\[\]<>%@$#&_«“]|INSERT|COMPLETAR|NOMBRE|NAME|NOME|[Xx]{4}|undefined|UNDEFINED|NaN|null|NULL|XX/|(?i:invalid date)")
+_LATIN_KEYS = tuple(LATIN)
+_MARKS = re.compile(r"[{}\[\]<>%@$#&_«“]|[\"‘(*]\s*[A-ZÀ-Þ]{2}|[Xx]{4}|[Xx]{2}/|undefined|UNDEFINED|NaN|null|NULL|(?i:invalid date)")
 
 
 def reasons(text: str | None, slots_per_word: float = 0.0, page_share: float = 0.6) -> list[str]:

@@ -319,3 +319,13 @@ def test_queries_have_their_columns(spark):
         assert df.columns == cols
         assert df.count() > 0
         assert df.count() == df.distinct().count()
+
+
+@pytest.mark.parametrize("text", [*(f"{o}{verb} X{c}" for o, c in ("()", '""', "‘’", "**", "__", "«»", "“”") for verb in ("INSERT CLUB", "INSERIR CLUBE", "INSÉRER LE NOM", "INSERER LE NOM", "COMPLETAR CLUB", "COMPLÉTER LE NOM", "RELLENAR CLUB", "PREENCHER CLUBE", "REMPLIR LE NOM", "FILL IN CLUB", "NOMBRE DEL CLUB", "NOME DO CLUBE", "NOM DU CLUB", "PLAYER NAME", "DATE TBC", "FEE TBD")), "xx/xx/xx", "XX/XX/XXXX"])
+def test_the_marks_pass_every_stand_in(text):
+    assert "slot" in rs.reasons(f"llegó {text} ayer")
+
+
+@pytest.mark.parametrize("text", ["Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.", "Quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.", *(" ".join(rs.LATIN[i : i + 5]) for i in range(len(rs.LATIN) - 4))])
+def test_the_keys_pass_every_latin_run(text):
+    assert rs.reasons(text) == ["filler"]
