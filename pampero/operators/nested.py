@@ -177,6 +177,8 @@ def flat_table(bridge: DataFrame, where: Column, fields: dict[str, str], keep: C
     own = bridge.where(where).select("tabla", "registro", "ruta", "padre_ruta", "clave", "ordinal", "nodo", "padre_nodo")
     # the contents hold bare #hash marks for nested objects: quoted, they are JSON
     content = F.regexp_replace("contenido", r'(?<=[:,\[])#([0-9a-f]{32})(?=[,}\]])', '"#$1"')
-    parts = nodes(bridge.where(where)).select("nodo", "contenido", *[F.get_json_object(content, f"$['{key}']").alias(name) for name, key in fields.items()])
+    # a task stores a content at its first sight of a node, under whatever key that was
+    wanted = bridge.where(where).select("nodo").distinct()
+    parts = nodes(bridge.where("contenido is not null").join(wanted, "nodo", "left_semi")).select("nodo", "contenido", *[F.get_json_object(content, f"$['{key}']").alias(name) for name, key in fields.items()])
     out = own.join(parts, "nodo")
     return (out if keep is None else out.where(keep)).drop("contenido")

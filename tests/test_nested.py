@@ -78,3 +78,12 @@ def test_blocks_and_metrics_part_the_items(spark):
     keep = lambda c: flat_table(b, F.col("clave").isin("statsSection", "items"), {"t": "title"}, F.expr(c))
     assert keep("clave <> 'items' or contenido like '%\"items\":#%'").count() == 4
     assert keep("clave = 'items' and contenido not like '%\"items\":#%'").count() == 4
+
+
+def test_contents_first_seen_under_another_key(spark):
+    """The same object stands first as a card, then as an item: the item has its content all the same."""
+    one = '{"title": "Goals", "statValue": 3}'
+    df = spark.createDataFrame([(1, f'{{"topStatCard": {one}}}'), (2, f'{{"items": [{one}]}}')], "id bigint, j string").coalesce(1)
+    bridge = occurrences(df, "t", df.id, {"j": "j"}, frozenset(["items"]))
+    got = flat_table(bridge, F.col("clave") == "items", {"titulo": "title", "valor": "statValue"}).collect()
+    assert [(r["titulo"], r["valor"]) for r in got] == [("Goals", "3")]
