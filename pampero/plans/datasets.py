@@ -8,7 +8,7 @@ from pampero.functions.text import composed, plain_date, plain_digits
 from pampero.operators.imputation import impute, model_plan
 from pampero.operators.nested import flat_table, occurrences
 from pampero.operators.snapshots import snapshot_changes
-from pampero.session import table
+from pampero.session import scratch, table
 from pampero.streaming.compactor import compact_arrivals
 
 ARRAY_KEYS = frozenset(["playerInformation", "statSeasons", "tournaments", "items", "seasonRankings", "phases"])
@@ -57,7 +57,10 @@ p2_fases = _flat("clave = 'phases'", {"nombre": "name", "puntos": "points"})
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return compact_arrivals(spark, f"{d}/bronce.parquet").select("operacion_id", "archivo_id")
+    """The second run takes what landed during the first; where nothing did, it publishes nothing."""
+    home = scratch(spark, "compact")
+    compact_arrivals(spark, f"{d}/bronce.parquet", home)
+    return compact_arrivals(spark, f"{d}/bronce.parquet", home).select("operacion_id", "archivo_id")
 
 
 def p6_filled(spark: SparkSession, d: str) -> DataFrame:

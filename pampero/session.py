@@ -66,6 +66,27 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def list_dir(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a path of any Hadoop file system, sorted; none where there is no such path."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(jpath)) if fs.exists(jpath) else []
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Moves a path on its Hadoop file system; raises if the file system refuses."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(old).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(Path(new).getParent())
+    if not fs.rename(Path(old), Path(new)):
+        raise OSError(f"{old} could not be moved to {new}")
+
+
+def checkpoint_id(spark: SparkSession, path: str) -> str:
+    """The id that a stream's checkpoint keeps over restarts."""
+    return spark.read.json(f"{path}/metadata").first()["id"]
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a context: their Python workers need not have it installed."""
     sc = spark.sparkContext
