@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pampero.session import written
+
 OCCURRENCES = "tabla string, registro bigint, ruta string, padre_ruta string, clave string, ordinal int, es_elemento boolean, nodo string, padre_nodo string, contenido string"
 
 
@@ -16,9 +20,65 @@ def _refuse(name: str):
     raise ValueError(name)
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_PLAIN = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null")
+_OPEN = object()
+
+
+def _parsed_deep(text: str):
+    """As ``_parsed`` with a stack of its own, for texts nested deeper than the library's parser goes."""
+    at, stack, key, want = 0, [], None, "value"
+    done = _OPEN  # the whole value once it is closed
+
+    def put(value):
+        nonlocal done
+        if not stack:
+            done = value
+        elif isinstance(stack[-1][0], list):
+            stack[-1][0].append(value)
+        else:
+            stack[-1][0][stack[-1][1]] = value
+
+    while True:
+        at = _SPACE.match(text, at).end()
+        c = text[at : at + 1]
+        if done is not _OPEN:
+            if c:
+                raise ValueError("more than one value")
+            return done
+        if want in ("value", "value or end") and c and c in "{[":
+            stack.append([{} if c == "{" else [], None])
+            want, at = ("key or end" if c == "{" else "value or end"), at + 1
+            continue
+        if c and c in "]}" and stack and isinstance(stack[-1][0], list) == (c == "]") and want in ("value or end", "key or end", "comma or end"):
+            put_back, at = stack.pop()[0], at + 1
+            put(put_back)
+            want = "comma or end"
+        elif want == "comma or end" and c == ",":
+            want, at = ("value" if isinstance(stack[-1][0], list) else "key"), at + 1
+        elif want in ("key", "key or end") and c == '"':
+            key, at = scanstring(text, at + 1, True)
+            at = _SPACE.match(text, at).end()
+            if text[at : at + 1] != ":":
+                raise ValueError("no value for a key")
+            stack[-1][1], want, at = key, "value", at + 1
+        elif want in ("value", "value or end") and c == '"':
+            value, at = scanstring(text, at + 1, True)
+            put(value)
+            want = "comma or end"
+        elif want in ("value", "value or end") and (m := _PLAIN.match(text, at)):
+            put(json.loads(m[0]))
+            want, at = "comma or end", m.end()
+        else:
+            raise ValueError(f"no JSON at {at}")
+
+
 def _parsed(text: str):
-    """The value of a JSON text; raises ValueError for anything that is not valid JSON."""
-    return json.loads(text, parse_constant=_refuse)
+    """The value of a JSON text, however deep; raises ValueError for anything that is not valid JSON."""
+    try:
+        return json.loads(text, parse_constant=_refuse)
+    except RecursionError:
+        return _parsed_deep(text)
 
 
 def _as_array(value):
@@ -26,7 +86,7 @@ def _as_array(value):
     if isinstance(value, str):
         try:
             value = _parsed(value)
-        except (ValueError, RecursionError):
+        except ValueError:
             return None
     return value if isinstance(value, list) else [value] if isinstance(value, dict) else None
 
@@ -44,7 +104,7 @@ def shred(root_key: str, value, array_keys: frozenset) -> Iterator[tuple]:
 
     Objects are hashed bottom-up: a node is the hash of its sorted fields, where a nested object
     or array stands by its own hash, so equal subtrees have equal nodes wherever they occur.
-    The walk keeps its own stack; nesting is bounded by the parser alone.
+    Neither the walk nor the parser recurses, so nesting has no bound.
     """
     out: list[list] = []
 
@@ -137,7 +197,7 @@ def occurrences(df: DataFrame, label: str, record: Column, columns: dict[str, st
                         continue
                     try:
                         value = _parsed(text)
-                    except (ValueError, RecursionError):
+                    except ValueError:
                         continue
                     for path, up, key, ordinal, element, node, parent, content in shred(root, value, array_keys):
                         if len(seen) > 200_000:
@@ -167,18 +227,23 @@ def nodes(bridge: DataFrame) -> DataFrame:
     return bridge.where("contenido is not null").groupBy("nodo").agg(F.first("contenido").alias("contenido"))
 
 
-def flat_table(bridge: DataFrame, where: Column, fields: dict[str, str], keep: Column | None = None) -> DataFrame:
+def stored(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bridge, store) of ``occurrences`` as written tables: the records are parsed once for all the tables made of them."""
+    once = written(found, "nested-occurrences")
+    return once.drop("contenido"), written(nodes(once), "nested-store")
+
+
+def flat_table(bridge: DataFrame, store: DataFrame, where: Column, fields: dict[str, str], keep: Column | None = None) -> DataFrame:
     """The occurrences under a condition with scalar fields of their objects; each row names its parent's path and node.
 
     ``fields`` maps a column to a key; a value that is a nested object comes out as ``#`` and its
     node, so that it can be looked up in the store. ``where`` sees the occurrence, ``keep`` also
-    the stored content of its object.
+    the stored content of its object. Every occurrence finds its content, whatever key the object
+    was first seen under: the store has each node of the bridge.
     """
     own = bridge.where(where).select("tabla", "registro", "ruta", "padre_ruta", "clave", "ordinal", "nodo", "padre_nodo")
     # the contents hold bare #hash marks for nested objects: quoted, they are JSON
     content = F.regexp_replace("contenido", r'(?<=[:,\[])#([0-9a-f]{32})(?=[,}\]])', '"#$1"')
-    # a task stores a content at its first sight of a node, under whatever key that was
-    wanted = bridge.where(where).select("nodo").distinct()
-    parts = nodes(bridge.where("contenido is not null").join(wanted, "nodo", "left_semi")).select("nodo", "contenido", *[F.get_json_object(content, f"$['{key}']").alias(name) for name, key in fields.items()])
+    parts = store.select("nodo", "contenido", *[F.get_json_object(content, f"$['{key}']").alias(name) for name, key in fields.items()])
     out = own.join(parts, "nodo")
     return (out if keep is None else out.where(keep)).drop("contenido")

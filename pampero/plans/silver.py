@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pampero.functions.text import fold_text, plain_date, plain_digits
-from pampero.operators.nested import flat_table, occurrences
+from pampero.operators.nested import flat_table, occurrences, stored
 from pampero.operators.relational import first_match, flag, keep_one, recode
 from pampero.operators.resolve import RESERVE, name_tokens, resolve
 from pampero.plans.datasets import ARRAY_KEYS
@@ -47,9 +47,9 @@ def _tournament_metrics(spark: SparkSession, d: str) -> DataFrame:
     """jugador_fotmob_id, temporada, metrica, v of every tournament in the newest fetch of a profile."""
     f = table(spark, d, "fotmob")
     newest = keep_one(f.select("registro_id", "jugador_fotmob_id", "statseasons", "extraido_el"), ["jugador_fotmob_id"], [F.col("extraido_el"), F.col("registro_id")])
-    bridge = written(occurrences(newest, "fotmob", F.col("registro_id"), {"statseasons": "statSeasons"}, ARRAY_KEYS), "metrics")
-    seasons = flat_table(bridge, F.col("clave") == "statSeasons", {"temporada": "seasonName"}).select("registro", F.col("ruta").alias("s"), "temporada")
-    items = flat_table(bridge, F.col("clave") == "items", {"titulo": "title", "valor": "statValue"}).where("titulo is not null")
+    bridge, store = stored(occurrences(newest, "fotmob", F.col("registro_id"), {"statseasons": "statSeasons"}, ARRAY_KEYS))
+    seasons = flat_table(bridge, store, F.col("clave") == "statSeasons", {"temporada": "seasonName"}).select("registro", F.col("ruta").alias("s"), "temporada")
+    items = flat_table(bridge, store, F.col("clave") == "items", {"titulo": "title", "valor": "statValue"}).where("titulo is not null")
     v = F.regexp_replace("valor", "%$", "").try_cast("double")
     long = items.select("registro", F.regexp_extract("ruta", r"^(statSeasons/\d+)", 1).alias("s"), F.regexp_extract("ruta", r"^(statSeasons/\d+/tournaments/\d+)", 1).alias("t"), F.concat(F.lit("stat_"), F.lower(F.replace("titulo", F.lit(" "), F.lit("_")))).alias("metrica"), v.alias("v"), "ruta").where("v is not null")
     one = long.groupBy("registro", "s", "t", "metrica").agg(F.max_by("v", "ruta").alias("v"))

@@ -4,7 +4,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from conftest import rows
-from pampero.operators.nested import flat_table, nodes, occurrences, shred
+from pampero.operators.nested import _parsed, _parsed_deep, flat_table, nodes, occurrences, shred, stored
 
 KEYS = frozenset(["items", "phases", "root"])
 
@@ -64,7 +64,7 @@ def test_deep_nesting_and_invalid(spark):
     assert got == [(1, "root/0"), (1, "root/0"), (1, "root/0/items/1"), (1, "root/0/items/1"), (6, "root/0")]
     assert b.where("registro = 7").count() == 300
     assert nodes(b.where("registro < 7")).count() == 2
-    flat = flat_table(b.where("registro < 7"), F.col("clave") == "items", {"valor": "a"})
+    flat = flat_table(*stored(b.where("registro < 7")), F.col("clave") == "items", {"valor": "a"})
     assert rows(flat, "registro", "padre_ruta", "ordinal", "valor") == [(1, "root/0", 1, "1")] * 2
     assert occurrences(df.limit(0), "t", F.col("id"), {"doc": "root"}, KEYS).count() == 0
 
@@ -75,7 +75,8 @@ def test_blocks_and_metrics_part_the_items(spark):
     doc = '[{"tournaments": {"statsSection": {"items": [{"title": "A", "items": [{"title": "x", "statValue": 1}, {"title": "x", "statValue": 1}]}]}}}]'
     df = spark.createDataFrame([(1, doc), (2, doc)], "id bigint, doc string")
     b = occurrences(df, "t", F.col("id"), {"doc": "statSeasons"}, ds.ARRAY_KEYS)
-    keep = lambda c: flat_table(b, F.col("clave").isin("statsSection", "items"), {"t": "title"}, F.expr(c))
+    b, store = stored(b)
+    keep = lambda c: flat_table(b, store, F.col("clave").isin("statsSection", "items"), {"t": "title"}, F.expr(c))
     assert keep("clave <> 'items' or contenido like '%\"items\":#%'").count() == 4
     assert keep("clave = 'items' and contenido not like '%\"items\":#%'").count() == 4
 
@@ -85,5 +86,36 @@ def test_contents_first_seen_under_another_key(spark):
     one = '{"title": "Goals", "statValue": 3}'
     df = spark.createDataFrame([(1, f'{{"topStatCard": {one}}}'), (2, f'{{"items": [{one}]}}')], "id bigint, j string").coalesce(1)
     bridge = occurrences(df, "t", df.id, {"j": "j"}, frozenset(["items"]))
-    got = flat_table(bridge, F.col("clave") == "items", {"titulo": "title", "valor": "statValue"}).collect()
+    got = flat_table(*stored(bridge), F.col("clave") == "items", {"titulo": "title", "valor": "statValue"}).collect()
     assert [(r["titulo"], r["valor"]) for r in got] == [("Goals", "3")]
+
+
+@settings(max_examples=300, deadline=None)
+@given(tree, st.sampled_from([None, 1]))
+def test_the_deep_parser_reads_as_the_library(value, indent):
+    text = json.dumps(value, indent=indent)
+    assert _parsed_deep(f" {text}\n") == value
+    for broken in (text[:-1] if len(text) > 1 and text[-1] in "]}\"" else "[", text + " 1", text + "]", "[,1]", "[1,]", '{"a" 1}', '{"a":}', "{1: 2}", "[1 2]", "NaN", "", "[01]", "]"):
+        try:
+            json.loads(broken, parse_constant=lambda n: json.loads("x"))
+        except ValueError:
+            try:
+                _parsed_deep(broken)
+            except ValueError:
+                continue
+            raise AssertionError(broken)
+
+
+def test_a_record_nested_deeper_than_the_library_parses():
+    text = '{"items":[' * 20_000 + "]}" * 20_000
+    assert sum(1 for _ in shred("root", _parsed(text), KEYS)) == 20_000
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(tree, min_size=1, max_size=6))
+def test_flat_tables_have_every_occurrence_of_the_bridge(spark, values):
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values * 2)], "id bigint, j string").repartition(2)
+    bridge, store = stored(occurrences(df, "t", df.id, {"j": "root"}, KEYS))
+    for key in ("items", "phases", "x"):
+        assert flat_table(bridge, store, F.col("clave") == key, {"a": "x"}).count() == bridge.where(F.col("clave") == key).count()
+    assert store.count() == store.select("nodo").distinct().count() == bridge.select("nodo").distinct().count()
