@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pampero.session import written
@@ -16,83 +16,69 @@ def counted_values(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     return df.where(usable).groupBy(*[F.col(f"`{g}`").alias(f"g{i}") for i, g in enumerate(groups)], (v + F.lit(0.0)).alias("v")).agg(F.count("*").alias("c"))
 
 
-def select_ranks(values: DataFrame, groups: list[str], wanted: DataFrame, finish: int = 256) -> DataFrame:
+def select_ranks(values: DataFrame, groups: list[str], wanted: DataFrame) -> DataFrame:
     """The values at given ranks (1 = smallest) of each group: columns ``groups``, rank, v.
 
     ``values`` holds (groups, v, c) with each v once a group; ``wanted`` holds (groups, rank).
-    Open ranges (lo, hi) of a group are disjoint and know how many values lie below (base) and
-    within; every rank still sought lies in one. In a round each partition proposes the weighted
-    median of its values in each range; the median of the proposals, weighted by the counts behind
-    them, is the pivot. Counting below, at and above it settles ranks or makes two smaller ranges,
-    of which those without a sought rank are discarded: at least a quarter of a range's weight
-    goes. All ranks of a range share its pivot, so a round reads each value once. Ranges of at
-    most ``finish`` different values are ranked outright; no task holds more of a group than that.
+    Open ranges (lo, hi) of a group are disjoint and know how many values lie below (base); every
+    rank still sought lies in one. A round is one pass: each part of the values (a batch of rows)
+    counts less than, at and above the range's pivot and proposes the weighted median of its
+    values on either side. The counts settle ranks or leave two smaller ranges, of which those
+    without a sought rank are discarded; the weighted median of a range's proposals is its next
+    pivot. At least half of the proposals' weight lies on either side of it, and half of each
+    part's own, so at least a quarter of a range goes in each round, in groups of every size. All
+    ranks of a range share its pivot. A part holds as many rows as a batch, whatever its group.
+    A range carries the ranks sought in it, so a caller should ask for a bounded number a group.
     """
-    keys = groups
-    on = lambda x, y, names: [F.col(f"{x}.{k}").eqNullSafe(F.col(f"{y}.{k}")) for k in names]
-    values = written(values, "ms-values")
-    ranks = written(wanted.select(*keys, "rank").distinct(), "ms-ranks")
-    parts = [*keys, "base"]
-    first = values.groupBy(*keys).agg(F.sum("c").alias("total"), F.count("*").alias("m"))
-    open_ = written(first.select(*keys, F.lit(0).cast("bigint").alias("base"), "total", "m", F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi")), "ms-open")
-    done: DataFrame | None = None
-
-    def within(ranges: DataFrame) -> DataFrame:
-        """The values of ranges."""
-        x, o = values.alias("x"), ranges.alias("o")
-        return x.join(o, [*on("x", "o", keys), F.col("x.v") > F.col("o.lo"), F.col("x.v") < F.col("o.hi")]).select(*[F.col(f"x.{k}").alias(k) for k in keys], "o.base", "x.v", "x.c")
-
-    def settled(found: DataFrame) -> DataFrame:
-        """The sought ranks in (keys, v, after, upto): v stands at the ranks after + 1 to upto."""
-        f, r = found.alias("f"), ranks.alias("r")
-        return r.join(f, [*on("r", "f", keys), F.col("r.rank") > F.col("f.after"), F.col("r.rank") <= F.col("f.upto")]).select(*[F.col(f"r.{k}").alias(k) for k in keys], "r.rank", "f.v")
-
-    while True:
-        upto = F.col("base") + F.sum("c").over(Window.partitionBy(*parts).orderBy("v"))
-        ended = within(open_.where(F.col("m") <= finish)).withColumn("upto", upto).select(*keys, "v", (F.col("upto") - F.col("c")).alias("after"), "upto")
-        ended = written(settled(ended), "ms-ended")
-        done = ended if done is None else done.union(ended)
-        large = open_.where(F.col("m") > finish)
-        if large.isEmpty():
-            return done
-        live = within(large)
-        proposed = _local_medians(live, parts).groupBy(*parts, "med").agg(F.sum("w").alias("w"))
-        proposed = proposed.withColumn("upto", F.sum("w").over(Window.partitionBy(*parts).orderBy("med"))).withColumn("all", F.sum("w").over(Window.partitionBy(*parts)))
-        pivot = proposed.where("2 * upto >= all").groupBy(*parts).agg(F.min("med").alias("p"))
-        l, q = large.alias("l"), pivot.alias("q")
-        pivot = written(l.join(q, on("l", "q", parts)).select("l.*", "q.p"), "ms-pivot")
-        i, q = live.alias("i"), pivot.alias("q")
-        less, at = F.col("v") < F.col("p"), F.col("v") == F.col("p")
-        three = i.join(q, on("i", "q", parts)).select("q.*", "i.v", "i.c").groupBy(*parts, "total", "m", "lo", "hi", "p").agg(
-            F.sum(F.when(less, F.col("c")).otherwise(0)).alias("less"), F.sum(F.when(at, F.col("c")).otherwise(0)).alias("at"), F.count_if(less).alias("m_less"), F.count_if(at).alias("m_at")
-        )
-        three = written(three, "ms-three")
-        done = done.union(written(settled(three.select(*keys, F.col("p").alias("v"), (F.col("base") + F.col("less")).alias("after"), (F.col("base") + F.col("less") + F.col("at")).alias("upto"))), "ms-ended"))
-        lower = three.select(*keys, "base", F.col("less").alias("total"), F.col("m_less").alias("m"), "lo", F.col("p").alias("hi"))
-        upper = three.select(*keys, (F.col("base") + F.col("less") + F.col("at")).alias("base"), (F.col("total") - F.col("less") - F.col("at")).alias("total"), (F.col("m") - F.col("m_less") - F.col("m_at")).alias("m"), F.col("p").alias("lo"), "hi")
-        c, r = lower.unionByName(upper).where("m > 0").alias("c"), ranks.alias("r")
-        open_ = written(c.join(r, [*on("c", "r", keys), F.col("r.rank") > F.col("c.base"), F.col("r.rank") <= F.col("c.base") + F.col("c.total")], "left_semi"), "ms-open")
-
-
-def _local_medians(live: DataFrame, cols: list[str]) -> DataFrame:
-    """One weighted median and its weight a partition and range."""
-    names = [*cols, "med", "w"]
-    schema = ", ".join(f"`{c}` {live.schema[c].dataType.simpleString()}" for c in cols) + ", med double, w bigint"
-
-    def run(frames):
-        parts = [f for f in frames if len(f)]
-        if parts:
-            frame = pd.concat(parts).sort_values("v", kind="stable")
-            out = []
-            for key, g in frame.groupby(cols, dropna=False, sort=False):
-                upto = g["c"].to_numpy().cumsum()
-                out.append((*key, float(g["v"].iloc[int(np.searchsorted(upto, (upto[-1] + 1) // 2))]), int(upto[-1])))
-            frame = pd.DataFrame(out, columns=names)
-            for k in cols:
-                frame[k] = frame[k].astype(object).where(frame[k].notna(), None)
-            yield frame
-
-    return live.select(*cols, "v", "c").mapInPandas(run, schema)
+    spark = values.sparkSession
+    key = lambda: F.struct(*groups).alias("g")  # noqa: E731  equal where all its fields are, nulls included
+    values = written(values.select(key(), "v", "c"), "ms-values")
+    kind = values.schema["g"].dataType.simpleString()
+    shape = f"id bigint, g {kind}, ranks array<bigint>, kind string, base bigint, total bigint, lo double, hi double, p double"
+    names = ["id", "g", "ranks", "kind", "base", "total", "lo", "hi", "p"]
+    asked = wanted.groupBy(key()).agg(F.collect_set(F.col("rank").cast("bigint")).alias("ranks"))
+    first = asked.select(F.monotonically_increasing_id().alias("id"), "g", "ranks", F.lit("above").alias("kind"), F.lit(0).cast("bigint").alias("base"), F.lit(None).cast("bigint").alias("total"), *[F.lit(float(x)).alias(n) for n, x in (("lo", "-inf"), ("hi", "inf"), ("p", "-inf"))])
+    state, done = written(first, "ms-ranges"), spark.createDataFrame([], shape)
+    while not (live := state.where("kind <> 'at'")).isEmpty():
+        known = live.drop("kind", "total").join(_counted(values, live), "id")
+        below, end = F.col("base") + F.col("less"), F.col("base") + F.col("less") + F.col("at")
+
+        def part(name, base, upto, lo, hi, p):
+            sought = F.filter("ranks", lambda r: (r > base) & (r <= upto))
+            return F.struct(sought.alias("ranks"), F.lit(name).alias("kind"), base.alias("base"), (upto - base).alias("total"), F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.col(p).alias("p"))
+
+        three = known.select("g", F.explode(F.array(part("less", F.col("base"), below, "lo", "p", "p_less"), part("at", below, end, "p", "p", "p"), part("above", end, end + F.col("above"), "p", "hi", "p_above"))).alias("x")).select("g", "x.*")
+        state = written(three.where("size(ranks) > 0").select(F.monotonically_increasing_id().alias("id"), *names[1:]), "ms-ranges")
+        done = done.union(state.where("kind = 'at'"))
+    return done.select("g.*", F.explode("ranks").alias("rank"), F.col("p").alias("v"))
+
+
+def _counted(values: DataFrame, live: DataFrame) -> DataFrame:
+    """A pass: per range, the weights less than, at and above its pivot and the next pivots of both sides."""
+    x, o = values.alias("x"), live.alias("o")
+    inside = x.join(o, (F.col("x.g") == F.col("o.g")) & (F.col("x.v") > F.col("o.lo")) & (F.col("x.v") < F.col("o.hi"))).select("o.id", "o.p", "x.v", "x.c")
+    names = ["id", "less", "at", "above", "m_less", "m_above"]
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rid, p, v, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            order = np.lexsort((v, rid))
+            rid, p, v, c = rid[order], p[order], v[order], c[order]
+            start = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]])
+            less, at, above = (np.add.reduceat(np.where(m, c, 0), start) for m in (v < p, v == p, v > p))
+            upto = np.cumsum(c)
+            before = upto[start] - c[start]
+            middle = lambda base, w: v[np.searchsorted(upto, base + (w + 1) // 2)]
+            lower = np.where(less > 0, middle(before, less), np.nan)
+            upper = np.where(above > 0, middle(np.where(above > 0, before + less + at, before), np.maximum(above, 1)), np.nan)
+            yield pa.RecordBatch.from_arrays([pa.array(rid[start]), pa.array(less), pa.array(at), pa.array(above), pa.array(lower, from_pandas=True), pa.array(upper, from_pandas=True)], names=names)
+
+    said = inside.mapInArrow(run, "id bigint, less bigint, at bigint, above bigint, m_less double, m_above double")
+    # a side without weight has no proposal; with a single weight of 0 none is asked for
+    median = lambda m, w: F.percentile(F.col(m), F.lit(0.5), F.greatest(F.col(w), F.lit(1)))
+    return said.groupBy("id").agg(*[F.sum(n).alias(n) for n in ("less", "at", "above")], median("m_less", "less").alias("p_less"), median("m_above", "above").alias("p_above"))
 
 
 def percentiles(df: DataFrame, groups: list[str], value: str, at: list[float]) -> DataFrame:

@@ -10,7 +10,7 @@ from conftest import rows
 from pampero.llm import matching as mt, residue as rs, tokenizer as tk
 from pampero.llm.components import components, pairs_within
 from pampero.llm.leaks import build_index, leaks, matches_of, words
-from pampero.llm.percentiles import from_summaries, percentiles, summaries
+from pampero.llm.percentiles import from_summaries, percentiles, select_ranks, summaries
 from pampero.llm.splits import allot, assign_splits, closest_subset
 
 
@@ -101,12 +101,34 @@ def test_percentiles_as_numpy_and_summaries_within_bound(spark):
     assert percentiles(df.limit(0), ["g"], "v", at).count() == 0
 
 
-def test_percentiles_take_many_rounds(spark, monkeypatch):
+def test_ranks_in_groups_of_every_size(spark):
+    r = np.random.default_rng(8)
+    data = {("a", None): np.arange(2000.0), ("a", "x"): np.array([4.0]), (None, "x"): np.array([1.0, 2.0]), ("b", "y"): np.unique(r.exponential(3, 500))}
+    df = spark.createDataFrame([(*k, float(v), 1 + i % 3) for k, vs in data.items() for i, v in enumerate(vs)], "g0 string, g1 string, v double, c bigint").repartition(5)
+    asked, want = [], []
+    for k, vs in data.items():
+        each = np.repeat(vs, [1 + i % 3 for i in range(len(vs))])
+        for rank in {1, len(each), len(each) // 2 + 1, min(7, len(each))}:
+            asked.append((*k, rank))
+            want.append((*k, rank, float(each[rank - 1])))
+    got = select_ranks(df, ["g0", "g1"], spark.createDataFrame(asked, "g0 string, g1 string, rank bigint"))
+    assert rows(got, "g0", "g1", "rank", "v") == sorted(want, key=str)
+    assert select_ranks(df.limit(0), ["g0", "g1"], spark.createDataFrame([], "g0 string, g1 string, rank bigint")).count() == 0
+
+
+def test_a_round_discards_a_quarter(spark):
+    """However the values lie in parts, the next pivots part a range's weight no worse than one to three."""
     from pampero.llm import percentiles as pc
 
-    df = spark.createDataFrame([("a", float(v)) for v in range(2000)], "g0 string, v double").withColumn("c", F.lit(1))
-    want = spark.createDataFrame([("a", r) for r in (1, 7, 1000, 2000)], "g0 string, rank bigint")
-    assert rows(pc.select_ranks(df, ["g0"], want, finish=20), "rank", "v") == sorted([(r, float(r - 1)) for r in (1, 7, 1000, 2000)], key=str)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        df = spark.range(3000).select(F.struct(F.lit("a").alias("g0")).alias("g"), F.pow("id", F.lit(3)).cast("double").alias("v"), F.lit(1).cast("bigint").alias("c"))
+        live = spark.range(1).select(F.lit(5).cast("bigint").alias("id"), F.struct(F.lit("a").alias("g0")).alias("g"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(1e9).alias("p"))
+        row = pc._counted(df, live).first()
+        assert (row["less"], row["at"], row["above"]) == (1000, 1, 1999)
+        assert 250 <= round(row["p_less"] ** (1 / 3)) <= 750 and 1000 + 500 <= round(row["p_above"] ** (1 / 3)) <= 1000 + 1500
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 # --- tokenizer -------------------------------------------------------------------------------
