@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import difflib
 import html
+import math
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from pampero.functions.text import FORMATS, fold
+from pampero.session import list_dir, scratch
 
-_TAG = re.compile(r"</?(?:b|i|u|em|strong|span|a|mark|small|sub|sup)\b[^<>]{0,200}>", re.I)
-_BLOCK = re.compile(r"</?[A-Za-z!][^<>]{0,200}>")
+_TAG = re.compile(r"</?(?:b|i|u|em|strong|span|a|mark|small|sub|sup)\b[^<>]*>", re.I)
+_BLOCK = re.compile(r"</?[A-Za-z!][^<>]*>")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑­]\s*\n[\s>*|#\-]*(?=[^\W\d_])")
 _NOT_WORD = re.compile(r"[^\w\s]+|_+")
 #: Words for kinds of quantity (fixed values).
@@ -47,18 +52,33 @@ def names_of(text: str) -> set[str]:
 
 
 @dataclass
-class Index:
-    """The windows of a block of items: sorted template hashes with the slots' hash, item and place of each."""
+class Windows:
+    """The windows of a block's items of one width: hashes in order, item and place of each."""
 
-    template: np.ndarray
-    slots: np.ndarray
+    hash: np.ndarray
     item: np.ndarray
     place: np.ndarray
+
+    def meet(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among ``hashes``, row here) of all equal ones."""
+        lo, hi = np.searchsorted(self.hash, hashes, "left"), np.searchsorted(self.hash, hashes, "right")
+        n = hi - lo
+        return np.repeat(np.arange(len(hashes)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+
+
+@dataclass
+class Index:
+    """A block of items: its short windows by template and slot values, its windows of a whole passage by template alone."""
+
+    short: Windows
+    whole: Windows
     ids: list
     words: list[list[str]]
     slot: list[list[bool]]
-    plain: frozenset
+    template: list[np.ndarray]
+    numbers: dict[str, tuple[int, int]]
     width: int
+    least: int
 
 
 def canonical(ws: list[str], plain: frozenset) -> list[str]:
@@ -66,47 +86,49 @@ def canonical(ws: list[str], plain: frozenset) -> list[str]:
     return [NUMBER if any(c.isdigit() for c in w) else UNIT if w in UNITS else w if w in plain else NAME for w in ws]
 
 
-def windows(ws: list[str], numbers: dict[str, tuple[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Template hash and slot hash of every window, as arrays.
-
-    ``numbers`` gives the items' words a number for their template and one of their own. A word
-    that no item holds has no number of its own, so a window with it equals none.
-    """
-    n = len(ws) - width + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+def numbered(ws: list[str], numbers: dict[str, tuple[int, int]]) -> np.ndarray:
+    """Per word the number of its template and its own; a word that no item holds has the own number 0, which no item's word has."""
     name, number, unit = numbers[NAME], numbers[NUMBER], numbers[UNIT]
     pairs = [numbers.get(w) or (number if not w.isalpha() and any(map(str.isdigit, w)) else unit if w in UNITS else name) for w in ws]
-    both = np.array(pairs, np.uint64)
-    out = []
+    return np.array(pairs, np.uint64).reshape(-1, 2)
+
+
+def rolled(columns: list[np.ndarray], width: int) -> np.ndarray:
+    """A hash of every window of ``width`` places over one or more sequences."""
+    n = max(0, len(columns[0]) - width + 1)
+    h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for seq, seed in ((both[:, 0], 0x9E3779B97F4A7C15), (both[:, 1], 0xC2B2AE3D27D4EB4F)):
-            h = np.zeros(n, np.uint64)
+        for seq, seed in zip(columns, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
             for k in range(width):
                 h = (h ^ (seq[k : k + n] * np.uint64(seed))) * np.uint64(0x100000001B3) + (h >> np.uint64(29))
-            out.append(h)
-    return out[0], out[1]
+    return h
 
 
-def build_index(items: list[tuple], width: int) -> tuple[Index, dict[str, tuple[int, int]]]:
-    """The index of a block of items and the numbers of their words."""
+def _laid(parts: list[np.ndarray]) -> Windows:
+    h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    item = np.concatenate([np.full(len(p), i) for i, p in enumerate(parts)]) if parts else np.zeros(0, int)
+    place = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.zeros(0, int)
+    order = np.argsort(h, kind="stable")
+    return Windows(h[order], item[order], place[order])
+
+
+def build_index(items: list[tuple], width: int, least: int = 15) -> Index:
+    """The index of a block of items."""
     texts = [words(t or "") for _, t in items]
     names = set().union(*(names_of(t or "") for _, t in items)) if items else set()
     plain = frozenset(w for ws in texts for w in ws if w not in names and not any(c.isdigit() for c in w) and w not in UNITS)
     templates: dict[str, int] = {NAME: 1, NUMBER: 2, UNIT: 3}
     numbers: dict[str, tuple[int, int]] = {k: (v, 0) for k, v in templates.items()}
-    for ws in texts:
-        for w, t in zip(ws, canonical(ws, plain)):
+    shapes = [canonical(ws, plain) for ws in texts]
+    for ws, shape in zip(texts, shapes):
+        for w, t in zip(ws, shape):
             if w not in numbers:
                 numbers[w] = (templates.setdefault(t, len(templates) + 1), len(numbers))
-    parts = [windows(ws, numbers, width) for ws in texts]
-    t = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
-    s = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint64)
-    item = np.concatenate([np.full(len(p[0]), i) for i, p in enumerate(parts)]) if parts else np.zeros(0, int)
-    place = np.concatenate([np.arange(len(p[0])) for p in parts]) if parts else np.zeros(0, int)
-    order = np.argsort(t, kind="stable")
-    slot = [[c in (NAME, NUMBER) for c in canonical(ws, plain)] for ws in texts]
-    return Index(t[order], s[order], item[order], place[order], [i for i, _ in items], texts, slot, plain, width), numbers
+    both = [numbered(ws, numbers) for ws in texts]
+    short = _laid([rolled([x[:, 0], x[:, 1]], width) for x in both])
+    whole = _laid([rolled([x[:, 0]], least) for x in both])
+    slot = [[c in (NAME, NUMBER) for c in shape] for shape in shapes]
+    return Index(short, whole, [i for i, _ in items], texts, slot, [x[:, 0] for x in both], numbers, width, least)
 
 
 def longest_passage(doc: list[str], item: list[str], share: float, slot: list[bool], least: int) -> tuple[int, float, float]:
@@ -153,100 +175,137 @@ def _dense(item: np.ndarray, d: np.ndarray, p: np.ndarray, needed: int, least: i
     return np.unique(np.concatenate(out))
 
 
-def matches_of(ws: list[str], index: Index, numbers: dict, least: int, share: float) -> list[tuple]:
-    """(item number, passage words, share matched, share of its slots matched, windows, windows of equal template but other slots) for the items that share windows with a document."""
-    t, s = windows(ws, numbers, index.width)
-    if not len(t) or not len(index.template):
-        return []
-    lo, hi = np.searchsorted(index.template, t, "left"), np.searchsorted(index.template, t, "right")
-    n = hi - lo
-    if not n.any():
-        return []
-    doc_place = np.repeat(np.arange(len(t)), n)
-    row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    same = index.slots[row] == s[doc_place]
+def consistent(pairs: list[tuple[str, str]]) -> bool:
+    """Whether slots map one to one: the same value of the item always to the same value of the document and the other way."""
+    there: dict[str, str] = {}
+    back: dict[str, str] = {}
+    return all(there.setdefault(x, y) == y and back.setdefault(y, x) == x for x, y in pairs)
+
+
+def passages(ws: list[str], both: np.ndarray, index: Index, share: float, slots: float) -> dict[int, tuple]:
+    """item number -> (words, share matched, windows) of the item's own passages in a document, of which half the slots hold the item's values."""
+    at, row = index.short.meet(rolled([both[:, 0], both[:, 1]], index.width))
+    if not len(at):
+        return {}
+    least = index.least
     # a passage of `least` words with a share of them changed keeps this many windows whole
     edits = least - int(np.ceil(share * least))
     needed = max(1, least - index.width + 1 - index.width * edits)
-    out = []
-    item, place = index.item[row], index.place[row]
-    other = np.bincount(item[~same], minlength=len(index.ids))
-    counts = np.bincount(item[same], minlength=len(index.ids))
-    often = same & (counts[item] >= needed)
+    item, place = index.short.item[row], index.short.place[row]
+    counts = np.bincount(item, minlength=len(index.ids))
+    often = counts[item] >= needed
     if not often.any():
-        return []
-    for i in _dense(item[often], doc_place[often], place[often], needed, least):
-        mine = same & (item == i)
-        d, p = doc_place[mine], place[mine]
+        return {}
+    out = {}
+    for i in _dense(item[often], at[often], place[often], needed, least):
+        mine = item == i
+        d, p = at[mine], place[mine]
         # windows of one passage lie along a diagonal that edits shift by no more than their number
         order = np.argsort(d, kind="stable")
         d, p = d[order], p[order]
         reach = len(index.words[i]) * 2 + least
         cuts = np.flatnonzero(np.diff(d) > reach) + 1
         best = (0, 0.0, 0.0)
-        slot = index.slot[i]
         for dd, pp in zip(np.split(d, cuts), np.split(p, cuts)):
             if len(np.unique(dd)) < needed or len(np.unique(pp)) < needed:
                 continue
             a, b = max(0, dd[0] - least), dd[-1] + index.width + least
-            best = max(best, longest_passage(ws[a:b], index.words[i], share, slot, least))
-        out.append((int(i), *best, int(counts[i]), int(other[i])))
+            # a passage spans less than `reach`, so it lies whole in one of these overlapping stretches
+            for start in range(a, max(a + 1, b - reach), reach):
+                best = max(best, longest_passage(ws[start : min(b, start + 2 * reach)], index.words[i], share, index.slot[i], least))
+        if best[0] >= least and best[2] >= slots:
+            out[int(i)] = (*best[:2], int(counts[i]))
     return out
 
 
-def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, least: int = 15, share: float = 0.8, width: int = 3, slots: float = 0.5, block_words: int = 500_000) -> DataFrame:
-    """Documents that hold a passage of at least ``least`` consecutive words of an item, a ``share`` of them unchanged and in order.
+def restated(ws: list[str], both: np.ndarray, index: Index, slots: float, plain: float) -> dict[int, tuple]:
+    """item number -> (words, share of words equal, windows) of passages with the item's template whole, other values in its slots and each slot's value the same throughout."""
+    at, row = index.whole.meet(rolled([both[:, 0]], index.least))
+    out: dict[int, tuple] = {}
+    if not len(at):
+        return out
+    item, place = index.whole.item[row], index.whole.place[row]
+    # windows next to each other on one diagonal are one passage
+    order = np.lexsort((at, at - place, item))
+    at, place, item = at[order], place[order], item[order]
+    new = np.r_[True, (item[1:] != item[:-1]) | (at[1:] - place[1:] != at[:-1] - place[:-1]) | (at[1:] != at[:-1] + 1)]
+    starts = np.flatnonzero(new)
+    for a, b in zip(starts, np.r_[starts[1:], len(at)]):
+        i, d, p, n = int(item[a]), int(at[a]), int(place[a]), int(b - a) + index.least - 1
+        if not np.array_equal(both[d : d + n, 0], index.template[i][p : p + n]):
+            continue  # equal hashes of unequal windows
+        slot = index.slot[i][p : p + n]
+        pairs = [(x, y) for x, y, s in zip(index.words[i][p : p + n], ws[d : d + n], slot) if s]
+        if not pairs or len(pairs) > (1 - plain) * n or sum(x == y for x, y in pairs) >= slots * len(pairs) or not consistent(pairs):
+            continue
+        same = sum(x == y for x, y in zip(index.words[i][p : p + n], ws[d : d + n]))
+        out[i] = max(out.get(i, (0, 0.0, 0)), (n, same / n, int(b - a)))
+    return out
+
 
-    Numbers, units and names become typed placeholders. The template windows of the items form a
-    hash table that every task holds, so the join is map-side and moves no document; items are
-    taken in blocks of ``block_words`` words, so the table stays bounded however many there are.
-    A window counts for a passage only if its slots hold the same values: equal templates with
-    other values are the same phrasing about other names, and come out as ``otros_huecos`` only.
-    The number of whole windows that any passage must keep follows from ``least``, ``share`` and
-    ``width`` (the q-gram bound), so no passage is lost before the exact check, which aligns the
-    words themselves; of the names and numbers in the passage, a share of ``slots`` must be the
-    item's own, else it is the item's question with new parameters.
+def matches_of(ws: list[str], index: Index, share: float = 0.8, slots: float = 0.5, plain: float = 0.5) -> list[tuple]:
+    """(item number, 'pasaje' or 'reparametrizada', words, share of them equal, windows) of the items of a block that a document holds; own passages first."""
+    if len(ws) < index.width or not index.words:
+        return []
+    both = numbered(ws, index.numbers)
+    own = passages(ws, both, index, share, slots)
+    other = restated(ws, both, index, slots, plain)
+    return [(i, "pasaje", *m) for i, m in sorted(own.items())] + [(i, "reparametrizada", *m) for i, m in sorted(other.items()) if i not in own]
+
+
+@lru_cache(1)
+def _block(uri: str, width: int, least: int) -> Index:
+    """The index of a block of items out of the shared folder; a worker keeps the last one."""
+    fs, path = pa.fs.FileSystem.from_uri(uri)
+    with fs.open_input_file(path) as f:
+        t = pq.read_table(f)
+    return build_index(list(zip(t.column(0).to_pylist(), t.column(1).to_pylist())), width, least)
+
+
+def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, least: int = 15, share: float = 0.8, width: int = 3, slots: float = 0.5, plain: float = 0.5, block_words: int = 500_000) -> DataFrame:
+    """Documents that hold a passage of at least ``least`` consecutive words of an item, its own or restated about others.
+
+    Numbers, units and names become typed placeholders: the template. Two sets of template windows
+    of the items are hash tables that each task holds, so no document moves. Windows of a whole
+    passage are joined on the template alone; the slots of such a stretch are laid beside the
+    item's. If fewer than ``slots`` of them hold the item's values and each value of the item stands
+    for one and the same value throughout, the document is the item with new parameters
+    (``reparametrizada``); with values that don't fit together it is nothing. At least the share
+    ``plain`` of the stretch must be plain words, as a list of names is no template. Windows of
+    ``width`` words are joined on template and slot values, for passages (``pasaje``) in which
+    words were changed: how many of them any passage with a ``share`` of its words must keep
+    follows from the q-gram bound, so none is lost before the exact check, which aligns the words
+    themselves; of its slots, the share ``slots`` must hold the item's own values.
+
+    Items stand in blocks of about ``block_words`` words in the shared folder, which the tasks read;
+    the driver sees their number only. The corpus is read once, whatever the number of blocks, and
+    a task holds one block at a time. Which words count as plain is settled within a block.
 
     Null, blank and empty texts on either side give nothing; whole texts are read; repeated rows
     come out as often as they stand; an item shorter than ``least`` words can't be found; other
-    columns are ignored. Columns: key, item key, palabras, proporcion, ventanas, otros_huecos.
+    columns are ignored. Columns: key, item key, clase, palabras, proporcion, ventanas.
     """
     spark = docs.sparkSession
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"{key} {kind}, {item_key} {item_kind}, palabras int, proporcion double, ventanas int, otros_huecos int"
+    schema = f"{key} {kind}, {item_key} {item_kind}, clase string, palabras int, proporcion double, ventanas int"
     item_type = to_arrow_type(items.schema[item_key].dataType)
-    src = docs.select(F.col(key), F.col(text))
-    parts, block, size = [], [], 0
-
-    def part(rows):
-        index, numbers = build_index(rows, width)
-
-        def run(batches):
-            for batch in batches:
-                cols: list[list] = [[] for _ in range(6)]
-                for at, body in enumerate(batch.column(1).to_pylist()):
-                    if not body:
-                        continue
-                    for i, n, got, kept, hits, other in matches_of(words(body), index, numbers, least, share):
-                        if n >= least and kept >= slots:
-                            for c, v in zip(cols, (at, index.ids[i], n, got, hits, other)):
-                                c.append(v)
-                arrays = [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], item_type), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[key, item_key, "palabras", "proporcion", "ventanas", "otros_huecos"])
-
-        return src.mapInArrow(run, schema)
-
-    for row in items.where(F.col(item_text).isNotNull()).select(item_key, item_text).toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1].split())
-        if size >= block_words:
-            parts.append(part(block))
-            block, size = [], 0
-    if block:
-        parts.append(part(block))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    held = items.where(F.col(item_text).isNotNull()).select(item_key, item_text)
+    size = held.agg(F.sum(F.size(F.split(item_text, r"\s+")))).first()[0] or 0
+    folder = scratch(spark, "leak-items")
+    held.repartition(max(1, math.ceil(size / block_words))).write.parquet(folder)
+    blocks = [f"{folder}/{f}" for f in list_dir(spark, folder) if f.endswith(".parquet")]
+
+    def run(batches):
+        for batch in batches:
+            texts = [words(body) if body else [] for body in batch.column(1).to_pylist()]
+            cols: list[list] = [[] for _ in range(6)]
+            for uri in blocks:
+                index = _block(uri, width, least)
+                for at, ws in enumerate(texts):
+                    for i, *found in matches_of(ws, index, share, slots, plain):
+                        for c, v in zip(cols, (at, index.ids[i], *found)):
+                            c.append(v)
+            arrays = [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], item_type), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[key, item_key, "clase", "palabras", "proporcion", "ventanas"])
+
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)

@@ -135,11 +135,12 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return p9_passages(spark, d).select("doc_id", "item_id")
+    """The items' own passages; the same phrasing about others is told apart by its slots."""
+    return p9_passages(spark, d).where("clase = 'pasaje'").select("doc_id", "item_id")
 
 
 def p9_passages(spark: SparkSession, d: str) -> DataFrame:
-    """The same with the length of the passage and how much of it matches."""
+    """Own and restated passages with their length and how much of them matches."""
     return leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "evaluacion"), "item_id", "text")
 
 

@@ -181,10 +181,10 @@ def test_encode_frame(spark, pairs, library):
 ITEM = "La comisión de Nuvetáse midió 681 sprints de Fada Turubazu, 9 más que los de Vańun Mekfufisku con FC Fobaputo. En la temporada 2022/2023, Fuser Zetagora cambió Olimpia Nafaroga por Sepivure sin que nadie recibiera compensación alguna."
 
 
-def found(spark, *texts, items=((7, ITEM),)):
+def found(spark, *texts, items=((7, ITEM),), clase="pasaje", **how):
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, item_id int")
     it = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id bigint, text string, doc_id string")
-    return rows(leaks(docs, "doc_id", "text", it, "item_id", "text"), "doc_id", "item_id")
+    return rows(leaks(docs, "doc_id", "text", it, "item_id", "text", **how).where(F.col("clase") == clase), "doc_id", "item_id")
 
 
 def test_passages_in_every_guise(spark):
@@ -197,21 +197,51 @@ def test_passages_in_every_guise(spark):
     assert found(spark, *texts) == [(i, 7) for i in range(len(texts))]
 
 
+OTHER = ITEM.replace("Nuvetáse", "Bativöfo").replace("681", "12").replace("Fada Turubazu", "Gipik Lorzo").replace("9 más", "4 más").replace("Vańun Mekfufisku", "Tubur Sasa").replace("Fobaputo", "Lika").replace("2022/2023", "2019/2020").replace("Fuser Zetagora", "Rulo Man").replace("Olimpia Nafaroga", "Racing Zul").replace("Sepivure", "Vop")
+
+
 def test_what_is_no_passage(spark):
-    w = ITEM.split()
-    other = ITEM.replace("Nuvetáse", "Bativöfo").replace("681", "12").replace("Fada Turubazu", "Gipik Lorzo").replace("9 más", "4 más").replace("Vańun Mekfufisku", "Tubur Sasa").replace("Fobaputo", "Lika").replace("2022/2023", "2019/2020").replace("Fuser Zetagora", "Rulo Man").replace("Olimpia Nafaroga", "Racing Zul").replace("Sepivure", "Vop")
+    w, other = ITEM.split(), OTHER
     assert found(spark, " ".join(w[2:13]), other, None, "", "  ", " ".join(w[i] for i in range(0, 30, 3))) == []
     assert found(spark, ITEM, items=()) == [] and found(spark, ITEM, items=((1, None), (2, ""))) == []
 
 
+def test_the_same_question_about_others(spark):
+    """Its template stands whole and each name is exchanged for one other throughout: restated; with names that don't fit together it is nothing."""
+    twice = "Según el acta, Ana Ruiz marcó 3 goles con el Betis y después Ana Ruiz salió del Betis por otros 3 millones."
+    fits = twice.replace("Ana Ruiz", "Eva Soto").replace("Betis", "Cádiz").replace("3", "8")
+    mixed = fits.replace("Cádiz por", "Elche por").replace("y después Eva Soto", "y después Luz Vega")
+    items = ((7, ITEM), (8, twice))
+    assert found(spark, "Hola. " + OTHER, fits, mixed, items=items, clase="reparametrizada") == [(0, 7), (1, 8)]
+    assert found(spark, "Hola. " + OTHER, fits, mixed, items=items) == []
+    assert found(spark, twice, ITEM, items=items) == [(0, 8), (1, 7)] and found(spark, twice, ITEM, items=items, clase="reparametrizada") == []
+    # one word of the phrasing changed: no longer the item's template
+    assert found(spark, fits.replace("acta", "diario").replace("salió", "marchó"), items=items, clase="reparametrizada") == []
+
+
+def test_items_in_many_blocks_and_one_scan(spark):
+    items = tuple((i, ITEM.replace("Nuvetáse", f"Club{i}x").replace("Fuser", f"Nom{i}x")) for i in range(30))
+    docs = [t for _, t in items[:6]] + ["nada"]
+    one, many = (found(spark, *docs, items=items, block_words=n) for n in (10**9, 100))
+    assert one == many and {(i, i) for i in range(6)} <= set(one)
+    df = spark.createDataFrame([(1, "x")], "k int, t string")
+    it = spark.createDataFrame(items, "q int, t string")
+    assert leaks(df, "k", "t", it, "q", "t", block_words=100)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_a_document_that_repeats_an_item_many_times():
+    ws = words(ITEM) * 300
+    assert [m[:3] for m in matches_of(ws, build_index([(1, ITEM)], 3))] == [(0, "pasaje", len(words(ITEM)))]
+
+
 def test_no_passage_is_lost_to_the_windows():
     """Any 15 words with three changed keep the windows that the bound asks for."""
     base = [f"w{i}" for i in range(15)]
-    index, ids = build_index([(1, " ".join(base))], 3)
+    index = build_index([(1, " ".join(base))], 3)
     for spots in itertools.combinations(range(1, 14), 3):
         ws = [f"zz{i}" if i in spots else w for i, w in enumerate(base)]
-        got = matches_of(["a", "b", *ws, "c"], index, ids, 15, 0.8)
-        assert got and got[0][1] == 15, spots
+        got = matches_of(["a", "b", *ws, "c"], index)
+        assert got and got[0][1:3] == ("pasaje", 15), spots
 
 
 def test_keys_of_other_types_and_null_keys(spark):
@@ -223,8 +253,7 @@ def test_keys_of_other_types_and_null_keys(spark):
 
 def test_very_long_texts():
     long = ("Por fin, el club cerró la llegada del delantero por 9 millones. " * 40_000) + ITEM
-    index, ids = build_index([(1, ITEM)], 3)
-    assert [m[1] for m in matches_of(words(long), index, ids, 15, 0.8)] == [len(words(ITEM))]
+    assert [m[2] for m in matches_of(words(long), build_index([(1, ITEM)], 3))] == [len(words(ITEM))]
     assert rs.reasons(long) == [] and rs.reasons(long + " {{x}}") == ["slot"] and rs.reasons("<code>" * 2000 + long[:200_000]) == []
 
 
