@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from hypothesis import given, settings, strategies as st
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -380,3 +380,43 @@ def test_the_marks_pass_every_stand_in(text):
 @pytest.mark.parametrize("text", ["Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.", "Quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.", *(" ".join(rs.LATIN[i : i + 5]) for i in range(len(rs.LATIN) - 4))])
 def test_the_keys_pass_every_latin_run(text):
     assert rs.reasons(text) == ["filler"]
+
+
+def test_recall_on_messages_that_were_not_used_in_writing_the_grammars():
+    from unseen_residue import FILLER, PAGES
+
+    assert sum("page" in rs.reasons(t) for t in PAGES) == 35 and len(PAGES) == 42
+    assert sum("filler" in rs.reasons(t) for t in FILLER) == 20 and len(FILLER) == 26
+    # amid an article the same messages are no page
+    assert not any("page" in rs.reasons(ARTICLE * 6 + t) for t in PAGES)
+
+
+@pytest.mark.parametrize("number", range(len(rs.GRAMMARS)))
+def test_the_sieve_passes_whatever_a_grammar_matches(number):
+    kind, pattern = rs.GRAMMARS[number]
+    grammar = rs.re.compile(pattern, rs.re.I if kind == "latin" else 0)
+
+    @settings(max_examples=40, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(grammar), st.sampled_from(["", "Ana marcó. ", "İı ſ "]))
+    def passes(text, before):
+        assert number in rs._SIEVE.passes(rs.low_of(before + text))
+
+    passes()
+
+
+def test_required_strings():
+    assert rs.required(r"(?:page|p[aá]gina)\b.*?(?:not found|no existe)") == [[frozenset({"page", "pagina", "página"}), frozenset({"not found", "no existe"})]]
+    assert rs.required(r"a|bc+") == [[frozenset({"a"})], [frozenset({"b"}), frozenset({"c"})]] and rs.required(r"\w+|x") == [[], [frozenset({"x"})]]
+
+
+@pytest.mark.parametrize("text", ["Serviço indisponível", "Esta página já não está disponível.", "Reconnectez-vous", "Parágrafo de exemplo", "(RELLENAR ANTES)", "(FILL IN THE BLANK)", "ola ola ola ola ola", "a <" + "b" * 500 + " href='{{x}}'> {{ jugador }}"])
+def test_no_gate_keeps_a_match_out(text):
+    assert rs.reasons(text)
+
+
+def test_density_and_context():
+    tutorial = "Template syntax: " + "write it where the value goes and the engine puts the value there " * 3
+    assert rs.reasons(tutorial + "{{ name }}") == [] and rs.reasons(tutorial + "{{ name }} " * 40) == ["slot"]
+    assert rs.reasons("Un gol, dos goles, gol gol gol gol gritó la grada en la tarde de Ana y de Luis.") == []
+    code = "`" + "".join(f"{{{{x{i}}}}}" for i in range(60)) + "`"
+    assert rs.reasons("{{ name }} `code` and " + code) == ["slot"] and rs.reasons(code) == []
