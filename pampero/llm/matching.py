@@ -4,115 +4,115 @@ from __future__ import annotations
 
 import difflib
 import json
+import math
 import re
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from pampero.llm.components import components
 from pampero.session import written
 
 
-# --- neighbourhood ---------------------------------------------------------------------------
+def mapped(f: Callable, kind: str) -> Callable[[Column], Column]:
+    """A function of one value as a column function: Arrow batches, each different value once."""
+
+    @pandas_udf(kind)
+    def run(s: pd.Series) -> pd.Series:
+        known = {v: f(v) for v in s.unique()}
+        return s.map(known)
+
+    return lambda c: run(F.col(c) if isinstance(c, str) else c)
 
-def neighbours(records: DataFrame, keys: str, fields: list[str], compare: Callable[[tuple, tuple], float], window: int = 12, least: float = 0.5, block: int = 4_000) -> DataFrame:
-    """``a``, ``b``, ``confianza`` of the pairs across sides that stand within ``window`` places in any of several sort orders.
 
-    ``records`` holds side ('a' or 'b'), ent, ``fields`` and an array ``keys`` of composite sort
-    keys, one order each; an empty key takes no part. All orders are sorted at once by range
-    partitions; a row's position is its rank in its partition plus the rows of the partitions
-    before. Positions are cut into blocks of ``block`` rows, each with the last ``window`` rows of
-    the block before, so a block is bounded whatever the keys: a key that a third of all rows
-    share is spread over many blocks. Equal keys are ordered by entity, so runs agree.
-    ``compare`` gets the two rows' ``fields``; pairs under ``least`` are dropped.
+# --- neighbourhood ---------------------------------------------------------------------------
+
+def neighbours(records: DataFrame, keys: str, codes: list[str], possible: Callable[[dict, dict], np.ndarray] | None = None, window: int = 12, block: int = 4_000) -> DataFrame:
+    """The different pairs ``a``, ``b`` of records of both sides that stand within ``window`` places in any of several sort orders.
+
+    ``records`` holds rid (bigint), side ('a' or 'b'), numeric ``codes`` and an array ``keys`` of
+    composite sort keys, one order each; an empty key takes no part. All orders are sorted at once
+    by range partitions; only ids and codes travel. A row's position is its rank in its partition
+    plus the rows of the partitions before. Positions are cut into blocks of ``block`` rows, each
+    with the last ``window`` rows of the block before, so a block is bounded whatever the keys: a
+    key that a third of all rows share is spread over many blocks. Equal keys are ordered by rid,
+    so runs agree. ``possible`` gets the codes of many pairs at once (name -> array) and says which
+    of them can be a match at all.
     """
     spark = records.sparkSession
-    rows = records.select("side", "ent", *fields, F.posexplode(keys).alias("pass", "key")).where("key is not null and key <> ''")
-    # every record stands once an order: parts as much smaller keep a task's sort and its worker's frames small
+    rows = records.select("rid", (F.col("side") == "a").alias("left"), *codes, F.posexplode(keys).alias("pass", "key")).where("key is not null and key <> ''")
+    # every record stands once an order: parts as much smaller keep a task's sort small
     parts = 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(parts, "pass", "key", "ent", "side").sortWithinPartitions("pass", "key", "ent", "side")
+    ordered = rows.repartitionByRange(parts, "pass", "key", "rid").sortWithinPartitions("pass", "key", "rid")
     ident = F.monotonically_increasing_id()
-    placed = written(ordered.withColumn("id", ident).select("*", F.shiftright("id", 33).cast("int").alias("part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("at")).drop("id", "key"), "sn-sorted")
+    placed = written(ordered.withColumn("id", ident).select("rid", "left", *codes, F.col("pass").cast("smallint").alias("pass"), F.shiftright("id", 33).cast("int").alias("part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("at")), "sn-sorted")
     # as many rows as there are partitions
     sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     at = placed.join(before, "part").withColumn("pos", F.col("before") + F.col("at"))
     own = F.floor(F.col("pos") / block)
     both = F.when(F.pmod("pos", F.lit(block)) >= block - window, F.array(own, own + 1)).otherwise(F.array(own))
-    cut = at.select("side", "ent", *fields, "pass", "pos", F.explode(both).alias("block"))
+    cut = at.select("rid", "left", *codes, "pass", "pos", F.explode(both).alias("block"))
 
     def scan(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("pos", kind="stable")
-        side, order, ent = frame["side"].to_numpy(), frame["pass"].to_numpy(), frame["ent"].to_numpy()
-        values = list(frame[fields].itertuples(index=False, name=None))
-        is_a = side == "a"
-        best: dict[tuple, float] = {}
-        for i in np.flatnonzero(~is_a):
-            lo, hi = max(0, i - window), min(len(frame), i + window + 1)
-            for j in lo + np.flatnonzero(is_a[lo:hi] & (order[lo:hi] == order[i])):
-                pair = (ent[j], ent[i])
-                score = compare(values[j], values[i])
-                if score >= least and score > best.get(pair, 0.0):
-                    best[pair] = score
-        return pd.DataFrame([(a, b, s) for (a, b), s in best.items()], columns=["a", "b", "confianza"])
-
-    found = cut.repartition(parts, "block").groupBy("block").applyInPandas(scan, "a string, b string, confianza double")
-    return found.groupBy("a", "b").agg(F.max("confianza").alias("confianza"))
+        rid, left, order = (frame[c].to_numpy() for c in ("rid", "left", "pass"))
+        values = {c: frame[c].to_numpy(dtype=float) for c in codes}
+        found = [np.zeros((0, 2), np.int64)]
+        for step in range(1, window + 1):
+            i = np.flatnonzero((left[step:] != left[:-step]) & (order[step:] == order[:-step]))
+            first = left[i]
+            x, y = np.where(first, i, i + step), np.where(first, i + step, i)
+            if possible is not None and len(x):
+                keep = possible({c: v[x] for c, v in values.items()}, {c: v[y] for c, v in values.items()})
+                x, y = x[keep], y[keep]
+            found.append(np.stack([rid[x], rid[y]], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return cut.repartition(parts, "block").groupBy("block").applyInPandas(scan, "a bigint, b bigint").distinct()
 
 
 # --- assignment ------------------------------------------------------------------------------
 
-def best_pairs(gain: np.ndarray) -> list[tuple[int, int]]:
-    """Row-column pairs of greatest total gain, each row and column at most once; a row may stay alone at gain 0.
-
-    Shortest augmenting paths over reduced costs, one row at a time.
-    """
-    n, m = gain.shape
-    cost = np.zeros((n, m + n))
-    cost[:, :m] = -gain
-    width = m + n
-    row_price, col_price = np.zeros(n), np.zeros(width)
-    owner = np.full(width, -1)
-    for start in range(n):
-        dist, prev, done = np.full(width, np.inf), np.full(width, -1), np.zeros(width, bool)
-        row, col, base = start, -1, 0.0
-        reached = []
-        while True:
-            reduced = base + cost[row] - row_price[row] - col_price
-            better = ~done & (reduced < dist - 1e-12)
-            dist[better], prev[better] = reduced[better], col
-            open_ = np.where(done, np.inf, dist)
-            col = int(open_.argmin())
-            base = dist[col]
-            done[col] = True
-            reached.append(col)
-            if owner[col] < 0:
-                break
-            row = owner[col]
-        row_price[start] += base
-        for c in reached[:-1]:
-            row_price[owner[c]] += base - dist[c]
-            col_price[c] -= base - dist[c]
-        while col >= 0:
-            up = prev[col]
-            owner[col] = start if up < 0 else owner[up]
-            col = up
-    return [(int(owner[c]), c) for c in range(m) if owner[c] >= 0 and gain[owner[c], c] > 0]
-
-
-def auction(pairs: DataFrame, step: float = 0.01) -> DataFrame:
-    """One-to-one pairs within ``step`` a pair of the greatest total, by bids and prices in tables.
-
-    Every unassigned a bids for the b that is worth most to it net of its price, raising the price
-    to where its second choice (or staying alone) is as good, plus ``step``; each b goes to its
-    highest bid and frees its former holder. Prices only rise, so it ends. Nothing is collected.
+def local_auction(a: list, b: list, gain: list, step: float) -> list[tuple]:
+    """(a, b, gain) one to one, within ``step`` a pair of the greatest total: bids and prices over the links of a task."""
+    links: dict = {}
+    for x, y, g in sorted(zip(a, b, gain)):
+        links.setdefault(x, []).append((y, g))
+    price: dict = {}
+    holder: dict = {}
+    waiting = list(reversed(links))
+    while waiting:
+        x = waiting.pop()
+        best, second, y, worth = 0.0, 0.0, None, 0.0
+        for z, g in links[x]:
+            net = g - price.get(z, 0.0)
+            if net > best:
+                best, second, y, worth = net, best, z, g
+            elif net > second:
+                second = net
+        if y is None:
+            continue  # prices only rise: it stays alone
+        price[y] = worth - second + step
+        if y in holder:
+            waiting.append(holder[y])
+        holder[y] = x
+    return [(x, y, next(g for z, g in links[x] if z == y)) for y, x in holder.items()]
+
+
+def auction(pairs: DataFrame, step: float) -> DataFrame:
+    """The same bids in rounds over tables: all unassigned bid at once, each b goes to its highest bid.
+
+    Prices only rise, by ``step`` at least, so it ends. Nothing is collected.
     """
     spark = pairs.sparkSession
     pairs = written(pairs.select("a", "b", "confianza"), "au-pairs")
-    held = spark.createDataFrame([], "a string, b string, price double")
+    held = spark.createDataFrame([], pairs.select("a", "b", F.col("confianza").alias("price")).schema)
     active = pairs.select("a").distinct()
     while True:
         live = pairs.join(active, "a").join(held.select("b", "price"), "b", "left").withColumn("net", F.col("confianza") - F.coalesce("price", F.lit(0.0))).where("net > 0")
@@ -128,34 +128,30 @@ def auction(pairs: DataFrame, step: float = 0.01) -> DataFrame:
         active = written(live.select("a").distinct().join(held, "a", "left_anti").unionByName(won.join(pairs, "b").select(pairs.a)).distinct().join(held, "a", "left_anti"), "au-active")
 
 
-def assign(pairs: DataFrame, bound: int = 300, step: float = 0.01) -> DataFrame:
-    """One-to-one ``a``, ``b``, ``confianza`` of greatest total confidence.
+def assign(pairs: DataFrame, step: float = 0.001, links: int = 20_000) -> DataFrame:
+    """One-to-one ``a``, ``b``, ``confianza`` of greatest total confidence, within ``step`` a pair of it.
 
-    Components of the pairs are independent. Those with up to ``bound`` entities a side are
-    solved exactly, each in one task; larger ones by ``auction`` over tables, within ``step`` a
-    pair of the greatest total. No pairs, no rows.
+    An auction at every size: components of the pairs are independent, so tasks hold the auctions
+    of whole components, many at a time, as far as these have up to ``links`` pairs; a larger
+    component's auction runs in rounds over tables. Repeated pairs count by their greatest
+    confidence; no pairs, no rows.
     """
-    pairs = written(pairs.select("a", "b", "confianza"), "as-pairs")
+    pairs = written(pairs.groupBy("a", "b").agg(F.max("confianza").alias("confianza")), "as-pairs")
+    kind = {c: pairs.schema[c].dataType.simpleString() for c in ("a", "b")}
     cc = components(pairs.select(F.concat(F.lit("a"), "a").alias("x"), F.concat(F.lit("b"), "b").alias("y")), "x", "y")
-    cc = cc.where(F.col("node").startswith("a")).select(F.substring("node", 2, 10_000).alias("a"), "component")
+    cc = cc.where(F.col("node").startswith("a")).select(F.expr(f"cast(substring(node, 2) as {kind['a']})").alias("a"), "component")
     tied = written(pairs.join(cc, "a"), "as-tied")
-    size = written(tied.groupBy("component").agg(F.countDistinct("a").alias("n"), F.countDistinct("b").alias("m")), "as-sizes")
-    # with one entity on a side the best pair is the assignment
-    star = tied.join(size.where("n = 1 or m = 1").select("component"), "component", "left_semi")
-    star = star.groupBy("component").agg(F.max_by(F.struct("a", "b", "confianza"), F.struct("confianza", "a", "b")).alias("p")).select("p.*")
-    size = size.where("n > 1 and m > 1")
-    small = tied.join(size.where(F.least("n", "m") <= bound).where(F.greatest("n", "m") <= 10 * bound).select("component"), "component", "left_semi")
-    large = tied.join(size.where((F.least("n", "m") > bound) | (F.greatest("n", "m") > 10 * bound)).select("component"), "component", "left_semi")
+    size = written(tied.groupBy("component").agg(F.count("*").alias("n")), "as-sizes")
+    whole = size.agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, math.ceil(whole / max(1, links)))
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = sorted(frame["a"].unique()), sorted(frame["b"].unique())
-        turn = len(a) > len(b)
-        gain = np.zeros((len(a), len(b)))
-        gain[[a.index(x) for x in frame["a"]], [b.index(x) for x in frame["b"]]] = frame["confianza"]
-        got = [(j, i) for i, j in best_pairs(gain.T)] if turn else best_pairs(gain)
-        return pd.DataFrame([(a[i], b[j], gain[i, j]) for i, j in got], columns=["a", "b", "confianza"])
-
-    out = star.union(small.groupBy("component").applyInPandas(solve, "a string, b string, confianza double"))
+        return pd.DataFrame(local_auction(frame["a"].tolist(), frame["b"].tolist(), frame["confianza"].tolist(), step), columns=["a", "b", "confianza"])
+
+    small = tied.join(size.where(F.col("n") <= links).select("component"), "component", "left_semi")
+    task = F.pmod(F.xxhash64("component"), F.lit(4 * tasks))
+    out = small.withColumn("_t", task).groupBy("_t").applyInPandas(solve, f"a {kind['a']}, b {kind['b']}, confianza double")
+    large = tied.join(size.where(F.col("n") > links).select("component"), "component", "left_semi")
     return out.union(auction(large, step)) if not large.isEmpty() else out
 
 
@@ -198,17 +194,29 @@ def soft_overlap(x: list[tuple[str, float]], y: list[tuple[str, float]]) -> floa
     return got / total
 
 
-def _agree(x, y, scale: dict[int, float]) -> float | None:
-    """Similarity of two numbers by their difference; None where one is missing."""
-    if x is None or y is None or x != x or y != y:
-        return None
-    return scale.get(abs(int(x) - int(y)), 0.0)
+UNKNOWN = 0.6
 
 
-def weighted(parts: list[tuple[float, float | None]], unknown: float = 0.6) -> float:
-    """Mean of similarities by weight; a missing one counts as ``unknown`` at half its weight."""
-    got = sum(w * s if s is not None else w / 2 * unknown for w, s in parts)
-    return got / sum(w if s is not None else w / 2 for w, s in parts)
+def weighted(parts: list[tuple[float, np.ndarray]]) -> np.ndarray:
+    """Mean of similarities by weight over many pairs; a missing one (NaN) counts as ``UNKNOWN`` at half its weight."""
+    got = weight = 0.0
+    for w, s in parts:
+        there = ~np.isnan(s)
+        got = got + np.where(there, w * s, w / 2 * UNKNOWN)
+        weight = weight + np.where(there, w, w / 2)
+    return got / weight
+
+
+def agreement(x: np.ndarray, y: np.ndarray, scale: list[float]) -> np.ndarray:
+    """Similarity of numbers by their difference, 0 beyond the scale; NaN where one is missing."""
+    gap = np.abs(x - y)
+    at = np.where(gap < len(scale), np.nan_to_num(gap), len(scale)).astype(int)
+    return np.where(np.isnan(gap), np.nan, np.array([*scale, 0.0])[at])
+
+
+def same_code(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """1 and 0 for equal and unequal codes; NaN where one is missing."""
+    return np.where(np.isnan(x) | np.isnan(y), np.nan, (x == y).astype(float))
 
 
 #: Country spellings that name the same country (fixed values), after folding.
@@ -257,19 +265,9 @@ def role_class(label: str | None) -> str:
     return next((ROLE_CLASSES[w] for w in reversed(words) if w in ROLE_CLASSES), "")
 
 
-def compare_clubs(x: tuple, y: tuple) -> float:
-    """(tokens with weights, country) of two clubs."""
-    a, b = ([(t, float(w)) for t, w in (p.rsplit(":", 1) for p in v[0].split())] for v in (x, y))
-    name = soft_overlap(a, b)
-    place = None if not x[1] or not y[1] else 1.0 if x[1] == y[1] else 0.0
-    if place == 0.0 or name < 0.5:
-        return 0.0
-    return weighted([(0.85, name), (0.15, place)])
-
-
-def compare_people(x: tuple, y: tuple) -> float:
-    """(tokens, countries, birth year, height, foot, role) of two people."""
-    a, b = x[0].split(), y[0].split()
+def name_likeness(x: str, y: str) -> float:
+    """Of two people's tokens the shorter name's are each laid on the likest token left of the longer; names of unequal length lose a little."""
+    a, b = x.split(), y.split()
     if not a or not b:
         return 0.0
     short, long = (a, b) if len(a) <= len(b) else (b, a)
@@ -279,15 +277,44 @@ def compare_people(x: tuple, y: tuple) -> float:
         total += token_similarity(t, best)
         free.remove(best)
     name = total / len(short)
-    if name < 0.6:
-        return 0.0
-    name *= 1.0 if len(long) == len(short) else 0.95 if len(short) > 1 else 0.88
-    ca, cb = set(filter(None, x[1].split("|"))), set(filter(None, y[1].split("|")))
-    place = None if not ca or not cb else 1.0 if ca & cb else 0.0
-    birth, height = _agree(x[2], y[2], {0: 1.0, 1: 0.9, 2: 0.3}), _agree(x[3], y[3], {0: 1.0, 1: 0.85, 2: 0.5})
-    foot = None if not x[4] or not y[4] else float(x[4] == y[4])
-    role = None if not x[5] or not y[5] else float(x[5] == y[5])
-    return weighted([(0.40, name), (0.16, place), (0.18, birth), (0.14, height), (0.05, foot), (0.07, role)])
+    return 0.0 if name < 0.6 else name * (1.0 if len(long) == len(short) else 0.95 if len(short) > 1 else 0.88)
+
+
+def club_likeness(x: str, y: str) -> float:
+    """Soft overlap of two clubs' tokens given as token:weight."""
+    a, b = ([(t, float(w)) for t, w in (p.rsplit(":", 1) for p in v.split())] for v in (x, y))
+    return soft_overlap(a, b)
+
+
+def people_confidence(name: np.ndarray | float, place: np.ndarray, x: dict, y: dict) -> np.ndarray:
+    """Confidence that pairs of people are one: name, shared country, birth year, height, foot and role by weight."""
+    name = np.broadcast_to(np.asarray(name, float), place.shape)
+    return weighted([(0.40, name), (0.16, place), (0.18, agreement(x["nacido"], y["nacido"], [1.0, 0.9, 0.3])), (0.14, agreement(x["altura"], y["altura"], [1.0, 0.85, 0.5])), (0.05, same_code(x["pie_c"], y["pie_c"])), (0.07, same_code(x["rol_c"], y["rol_c"]))])
+
+
+def scored(pairs: DataFrame, records: DataFrame, fields: list[str], score: Callable[[pd.DataFrame], np.ndarray], least: float) -> DataFrame:
+    """Pairs of rids as pairs of entities with their confidence, those under ``least`` left out; ``score`` gets a batch with the fields as x_ and y_."""
+    x = records.where("side = 'a'").select(F.col("rid").alias("a"), F.col("ent").alias("x_ent"), *[F.col(f).alias(f"x_{f}") for f in fields])
+    y = records.where("side = 'b'").select(F.col("rid").alias("b"), F.col("ent").alias("y_ent"), *[F.col(f).alias(f"y_{f}") for f in fields])
+
+    def run(frames):
+        for f in frames:
+            got = score(f) if len(f) else np.zeros(0)
+            yield pd.DataFrame({"a": f["x_ent"], "b": f["y_ent"], "confianza": got})[got >= least]
+
+    return pairs.join(y, "b").join(x, "a").drop("a", "b").mapInPandas(run, "a string, b string, confianza double")
+
+
+def _likeness(f: Callable[[str, str], float], x: pd.Series, y: pd.Series) -> np.ndarray:
+    """A similarity of two text columns, each different pair once."""
+    known: dict[tuple, float] = {}
+    out = np.zeros(len(x))
+    for i, p in enumerate(zip(x, y)):
+        got = known.get(p)
+        if got is None:
+            got = known[p] = f(*p)
+        out[i] = got
+    return out
 
 
 # --- the sources -----------------------------------------------------------------------------
@@ -298,8 +325,7 @@ def club_records(names: DataFrame) -> DataFrame:
     A token weighs the logarithm of the clubs over the clubs that use it, counted over all names
     of both sides, so kinds of clubs weigh little and a proper name much.
     """
-    tokens = F.udf(club_tokens, "array<string>", useArrow=True)
-    same = F.udf(country, "string", useArrow=True)
+    tokens, same = mapped(club_tokens, "array<string>"), mapped(country, "string")
     base = names.where("name is not null and ent is not null").select("side", "ent", "name", "country").distinct()
     # names without tokens drop out when the tokens are laid in rows; a filter here would be pushed below the distinct and run the function on every row
     shown = written(base.select("side", "ent", "country", tokens("name").alias("t")), "mt-clubs")
@@ -324,8 +350,17 @@ def match_clubs(names: DataFrame, window: int = 12, least: float = 0.8) -> DataF
     stays alone, as do entities without a counterpart of at least ``least``. Ties go to the
     assignment's order of ids.
     """
-    records = written(club_records(names), "mt-records")
-    return assign(neighbours(records, "keys", ["nombre", "pais"], compare_clubs, window, least))
+    land = F.when(F.col("pais") != "", F.pmod(F.xxhash64("pais"), F.lit(1 << 40)).cast("double"))
+    records = written(club_records(names).select(F.monotonically_increasing_id().alias("rid"), "*", land.alias("land")), "mt-records")
+
+    def score(f: pd.DataFrame) -> np.ndarray:
+        name = _likeness(club_likeness, f["x_nombre"], f["y_nombre"])
+        known = (f["x_pais"] != "").to_numpy() & (f["y_pais"] != "").to_numpy()
+        place = np.where(known, (f["x_pais"] == f["y_pais"]).to_numpy(dtype=float), np.nan)
+        return np.where((place == 0.0) | (name < 0.5), 0.0, weighted([(0.85, name), (0.15, place)]))
+
+    near = neighbours(records, "keys", ["land"], lambda x, y: ~(same_code(x["land"], y["land"]) == 0.0), window)
+    return assign(scored(near, records, ["nombre", "pais"], score, least))
 
 
 _ITEM = re.compile(r'"title"\s*:\s*"([^"]+)"\s*,\s*"value"\s*:\s*(\{[^{}]*\}|"(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?)')
@@ -358,6 +393,19 @@ def height_cm(text: str | None) -> int | None:
     return int(m[3]) if m[3] else int(m[1]) * 100 + int(m[2].ljust(2, "0"))
 
 
+def profile(text: str) -> Column:
+    """pais, edad, altura, pie of a profile's information, in Arrow batches; what is missing is null or empty."""
+
+    @pandas_udf("struct<pais: string, edad: int, altura: int, pie: string>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        got = [profile_fields(t) for t in s]
+        ages = ["".join(c for c in g.get("age", "") if c.isdigit()) for g in got]
+        whole = lambda xs: pd.array(xs, "Int32")
+        return pd.DataFrame({"pais": [country(g.get("country")) for g in got], "edad": whole([int(a) if a and len(a) < 3 else None for a in ages]), "altura": whole([height_cm(g.get("height")) for g in got]), "pie": [g.get("preferred foot", "").lower() for g in got]})
+
+    return run(text)
+
+
 def match_people(people: DataFrame, window: int = 12, least: float = 0.77) -> DataFrame:
     """One-to-one ``a``, ``b``, ``confianza`` of people given as side, ent, nombre (tokens), paises (by '|'), nacido, altura, pie, rol.
 
@@ -377,5 +425,24 @@ def match_people(people: DataFrame, window: int = 12, least: float = 0.77) -> Da
         F.when(full, F.concat_ws("|", place, born, tall, last)), F.when(full, F.concat_ws("|", place, born, bones, given)), F.concat_ws("|", bones, given, place),
         F.when(place != "", F.concat_ws("|", place, F.coalesce(F.get(tokens, F.lit(1)), last), born)), F.when(born != "", F.concat_ws("|", given, born, tall, last)), F.when(born != "", F.concat_ws("|", last, born, tall, given)),
     )
-    records = written(people.select("side", "ent", "nombre", "paises", "nacido", "altura", "pie", "rol", keys.alias("keys")).distinct(), "mt-people")
-    return assign(neighbours(records, "keys", ["nombre", "paises", "nacido", "altura", "pie", "rol"], compare_people, window, least))
+    code = lambda c: F.when(F.col(c) != "", F.pmod(F.xxhash64(c), F.lit(1 << 40)).cast("double"))
+    lands = F.array_remove(F.split("paises", r"\|"), "")
+    land = lambda i: F.pmod(F.xxhash64(F.get(F.col("lands"), F.lit(i))), F.lit(1 << 40)).cast("double")
+    base = people.select("side", "ent", "nombre", lands.alias("lands"), F.col("nacido").cast("double").alias("nacido"), F.col("altura").cast("double").alias("altura"), code("pie").alias("pie_c"), code("rol").alias("rol_c"), keys.alias("keys")).distinct()
+    n = F.size("lands")
+    records = written(base.select(F.monotonically_increasing_id().alias("rid"), "*", F.when(n > 0, land(0)).alias("l0"), F.when(n > 1, land(1)).alias("l1"), (n > 2).cast("double").alias("more")), "mt-people")
+
+    def possible(x: dict, y: dict) -> np.ndarray:
+        known = ~np.isnan(x["l0"]) & ~np.isnan(y["l0"])
+        shared = (x["l0"] == y["l0"]) | (x["l0"] == y["l1"]) | (x["l1"] == y["l0"]) | (x["l1"] == y["l1"]) | (x["more"] + y["more"] > 0)
+        return people_confidence(1.0, np.where(known, shared.astype(float), np.nan), x, y) >= least - 1e-9
+
+    def score(f: pd.DataFrame) -> np.ndarray:
+        known = (f["x_lands"].map(len) > 0).to_numpy() & (f["y_lands"].map(len) > 0).to_numpy()
+        shared = np.fromiter((not set(p).isdisjoint(q) for p, q in zip(f["x_lands"], f["y_lands"])), bool, len(f))
+        sides = [{c: f[f"{s}_{c}"].to_numpy(dtype=float) for c in ("nacido", "altura", "pie_c", "rol_c")} for s in "xy"]
+        name = _likeness(name_likeness, f["x_nombre"], f["y_nombre"])
+        return np.where(name > 0, people_confidence(name, np.where(known, shared.astype(float), np.nan), *sides), 0.0)
+
+    near = neighbours(records, "keys", ["l0", "l1", "more", "nacido", "altura", "pie_c", "rol_c"], possible, window)
+    return assign(scored(near, records, ["nombre", "lands", "nacido", "altura", "pie_c", "rol_c"], score, least))

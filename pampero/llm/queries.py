@@ -53,9 +53,7 @@ def _clubs(spark: SparkSession, d: str) -> DataFrame:
 def _people(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """People of both sources, and which ids of plata are one person: the same name and country, birth years and heights that agree."""
     p, f = table(spark, d, "plata"), table(spark, d, "fotmob")
-    tokens = F.udf(lambda v: " ".join(mt.person_tokens(v)), "string", useArrow=True)
-    same = F.udf(lambda v: mt.country(v), "string", useArrow=True)
-    role = F.udf(lambda v: mt.role_class(v), "string", useArrow=True)
+    tokens, same, role = mt.mapped(lambda v: " ".join(mt.person_tokens(v)), "string"), mt.mapped(mt.country, "string"), mt.mapped(mt.role_class, "string")
     born = F.substring("temporada_fichaje", 1, 4).try_cast("int") - F.when(F.col("edad_al_fichaje").between(14, 45), F.col("edad_al_fichaje"))
     ids = p.select(plain_digits(p.jugador_tm_id).alias("id"), "nombre", "nacionalidad", "nacionalidad_2", born.alias("nacido"), "altura_cm", "pie", "posicion_tm").where("id is not null and nombre is not null")
     one = ids.groupBy("id").agg(F.mode("nombre", True).alias("nombre"), F.mode("nacionalidad", True).alias("n1"), F.mode("nacionalidad_2", True).alias("n2"), F.mode("nacido", True).alias("nacido"), F.mode("altura_cm", True).alias("altura"), F.mode("pie", True).alias("pie"), F.mode("posicion_tm", True).alias("pos"))
@@ -71,13 +69,7 @@ def _people(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     a = keyed.groupBy("persona").agg(F.min("nombre").alias("nombre"), F.min("paises").alias("paises"), F.max("nacido").alias("nacido"), F.max("h").alias("altura"), F.max("pie").alias("pie"), F.max("rol").alias("rol"))
     a = a.select(F.lit("a").alias("side"), F.col("persona").alias("ent"), "nombre", "paises", F.col("nacido").cast("int"), F.col("altura").cast("int"), "pie", "rol")
 
-    @F.udf("struct<pais: string, edad: int, altura: int, pie: string>", useArrow=True)
-    def facts(text):
-        got = mt.profile_fields(text)
-        age = "".join(c for c in got.get("age", "") if c.isdigit())
-        return {"pais": mt.country(got.get("country")), "edad": int(age) if age and len(age) < 3 else None, "altura": mt.height_cm(got.get("height")), "pie": got.get("preferred foot", "").lower()}
-
-    b = f.select(plain_digits(f.jugador_fotmob_id).alias("ent"), tokens("nombre_fotmob").alias("nombre"), facts("playerinformation").alias("x"), F.year("extraido_el").alias("y"), role(F.regexp_extract("positiondescription", r'"label"\s*:\s*"([^"]*)', 1)).alias("rol"))
+    b = f.select(plain_digits(f.jugador_fotmob_id).alias("ent"), tokens("nombre_fotmob").alias("nombre"), mt.profile("playerinformation").alias("x"), F.year("extraido_el").alias("y"), role(F.regexp_extract("positiondescription", r'"label"\s*:\s*"([^"]*)', 1)).alias("rol"))
     b = b.select(F.lit("b").alias("side"), "ent", "nombre", F.coalesce("x.pais", F.lit("")).alias("paises"), (F.col("y") - F.col("x.edad")).alias("nacido"), F.col("x.altura").alias("altura"), F.coalesce("x.pie", F.lit("")).alias("pie"), F.coalesce("rol", F.lit("")).alias("rol"))
     return a.unionByName(b), members
 
@@ -100,13 +92,8 @@ def silver(spark: SparkSession, d: str) -> DataFrame:
     people, members = _people(spark, d)
     tied = written(mt.match_people(people).join(members, F.col("a") == members.persona).select(F.col("id").alias("jugador_tm_id"), F.col("b").alias("jugador_fotmob_id"), "confianza"), "silver-players")
 
-    @F.udf("struct<altura: int, pie: string>", useArrow=True)
-    def facts(text):
-        got = mt.profile_fields(text)
-        return {"altura": mt.height_cm(got.get("height")), "pie": got.get("preferred foot", "").lower() or None}
-
-    f = table(spark, d, "fotmob").select(plain_digits(F.col("jugador_fotmob_id")).alias("jugador_fotmob_id"), facts("playerinformation").alias("x"), F.nullif(F.regexp_extract("positiondescription", r'"label"\s*:\s*"([^"]*)', 1), F.lit("")).alias("posicion_fotmob"), "extraido_el", "registro_id")
-    profiles = keep_one(f, ["jugador_fotmob_id"], [F.col("extraido_el"), F.col("registro_id")]).select("jugador_fotmob_id", F.col("x.altura").alias("altura_cm"), F.col("x.pie").alias("pie"), "posicion_fotmob")
+    f = table(spark, d, "fotmob").select(plain_digits(F.col("jugador_fotmob_id")).alias("jugador_fotmob_id"), mt.profile("playerinformation").alias("x"), F.nullif(F.regexp_extract("positiondescription", r'"label"\s*:\s*"([^"]*)', 1), F.lit("")).alias("posicion_fotmob"), "extraido_el", "registro_id")
+    profiles = keep_one(f, ["jugador_fotmob_id"], [F.col("extraido_el"), F.col("registro_id")]).select("jugador_fotmob_id", F.col("x.altura").alias("altura_cm"), F.nullif("x.pie", F.lit("")).alias("pie"), "posicion_fotmob")
     best = keep_one(tied, ["jugador_tm_id"], [F.col("confianza"), F.col("jugador_fotmob_id")]).drop("confianza")
     return consolidate(spark, d, players=best.join(profiles, "jugador_fotmob_id", "left"))
 

@@ -306,30 +306,49 @@ def brute_total(gain):
 
 @settings(max_examples=150, deadline=None)
 @given(st.integers(1, 4), st.integers(1, 4), st.integers(0, 10_000))
-def test_assignment_is_best(n, m, seed):
+def test_the_auction_is_within_its_step_of_the_best(n, m, seed):
     r = np.random.default_rng(seed)
     gain = np.where(r.random((n, m)) < 0.6, r.integers(1, 10, (n, m)) / 10, 0.0)
-    got = mt.best_pairs(gain)
-    assert len({i for i, _ in got}) == len(got) == len({j for _, j in got})
-    assert sum(gain[i, j] for i, j in got) == pytest.approx(brute_total(gain))
+    links = [(i, j, gain[i, j]) for i in range(n) for j in range(m) if gain[i, j] > 0]
+    got = mt.local_auction(*map(list, zip(*links)), 0.001) if links else []
+    assert len({i for i, _, _ in got}) == len(got) == len({j for _, j, _ in got})
+    assert sum(g for _, _, g in got) >= brute_total(gain) - 0.001 * min(n, m) - 1e-9 and all(gain[i, j] == g for i, j, g in got)
 
 
-def test_auction_and_exact_agree(spark):
+def test_the_auction_in_tasks_and_over_tables(spark):
     r = np.random.default_rng(4)
     edges = [(f"a{i}", f"b{j}", float(r.integers(50, 100)) / 100) for i in range(7) for j in range(5) if r.random() < 0.5]
+    edges += [("x" * 20_000 + str(i), "y" * 20_000 + str(j), 0.9 if i == j else 0.8) for i in range(2) for j in range(2)] + [("a0", "b0", 0.1)]
     df = spark.createDataFrame(edges, "a string, b string, confianza double")
-    exact, bids = mt.assign(df).collect(), mt.assign(df, bound=0).collect()
-    assert abs(sum(x["confianza"] for x in exact) - sum(x["confianza"] for x in bids)) <= 0.01 * 7 + 1e-9
-    for got in (exact, bids):
+    tasks, tables = mt.assign(df, step=0.01).collect(), mt.assign(df, step=0.01, links=0).collect()
+    assert abs(sum(x["confianza"] for x in tasks) - sum(x["confianza"] for x in tables)) <= 0.01 * 9 + 1e-9
+    for got in (tasks, tables):
         assert len({x["a"] for x in got}) == len(got) == len({x["b"] for x in got})
+        assert sum(len(x["a"]) > 20_000 for x in got) == 2
     assert mt.assign(df.limit(0)).count() == 0
 
 
 def test_neighbours_cross_block_borders_and_survive_one_hot_key(spark):
-    recs = [("a", f"a{i:03d}", f"n{i}", ["same", f"{i:03d}"]) for i in range(60)] + [("b", f"b{i:03d}", f"n{i}", ["same", f"{i:03d}"]) for i in range(60)]
-    df = spark.createDataFrame(recs, "side string, ent string, name string, keys array<string>")
-    got = mt.neighbours(df, "keys", ["name"], lambda x, y: float(x == y), window=2, block=10)
-    assert rows(got, "a", "b") == [(f"a{i:03d}", f"b{i:03d}") for i in range(60)]
+    recs = [(2 * i + k, side, ["same", f"{i:03d}"], float(i)) for i in range(60) for k, side in enumerate("ab")]
+    df = spark.createDataFrame(recs, "rid bigint, side string, keys array<string>, n double")
+    got = rows(mt.neighbours(df, "keys", ["n"], lambda x, y: x["n"] == y["n"], window=2, block=10), "a", "b")
+    assert got == sorted([(2 * i, 2 * i + 1) for i in range(60)], key=str)
+    every = mt.neighbours(df, "keys", [], None, window=3, block=7)
+    want = {(x, y) for x in range(0, 120, 2) for y in range(1, 120, 2) if abs(x - y) <= 3}
+    assert {tuple(r) for r in every.collect()} == want and every.count() == len(want)
+
+
+def test_confidence_of_many_pairs_as_of_one():
+    r = random.Random(3)
+
+    def one(x, y):
+        parts = [(0.4, 0.9), (0.16, x["l"]), *((w, None if x[k] is None or y[k] is None else s.get(abs(x[k] - y[k]), 0.0)) for k, w, s in (("nacido", 0.18, {0: 1.0, 1: 0.9, 2: 0.3}), ("altura", 0.14, {0: 1.0, 1: 0.85, 2: 0.5}))), *((w, None if x[k] is None or y[k] is None else float(x[k] == y[k])) for k, w in (("pie_c", 0.05), ("rol_c", 0.07)))]
+        return sum(w * s if s is not None else w / 2 * 0.6 for w, s in parts) / sum(w if s is not None else w / 2 for w, s in parts)
+
+    some = lambda *v: r.choice([None, *v])
+    people = [[{"l": some(0.0, 1.0), "nacido": some(1990, 1991, 1994), "altura": some(180, 182, 190), "pie_c": some(1, 2), "rol_c": some(1, 2)} for _ in range(200)] for _ in range(2)]
+    x, y = ({k: np.array([p[k] if p[k] is not None else np.nan for p in side], float) for k in side[0]} for side in people)
+    assert mt.people_confidence(0.9, x["l"], x, y) == pytest.approx([one(a, b) for a, b in zip(*people)])
 
 
 def test_clubs(spark):
