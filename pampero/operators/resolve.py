@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import difflib
+import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from pampero.operators.stats import one_row
+from pampero.session import written
+
 #: Tokens that don't identify a club (fixed values).
 NOISE = "fc cf afc ac sc cd ss ssc as us ud sv vfb vfl tsg fsv bsc sk fk nk hnk gnk bk if ik cfr rc rcd sd club clube cp sl scp kv kaa rsc krc kvc ogc osc sco pfc pfk cs csm mks ks fcs ca kf tsv acf asd ssd the de ii r psv".split()
 #: Reserve and youth sides (fixed values).
@@ -36,14 +40,38 @@ def sequence_ratio(a: str, b: str) -> Column:
     return ratio(a, b)
 
 
+def grams(text: Column, size: int) -> Column:
+    """The different runs of ``size`` characters of a text; a shorter text is its own."""
+    n = F.length(text)
+    return F.array_distinct(F.when(n <= size, F.array(text)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))))
+
+
+def common_run(ratio: float, longest: int = 400) -> int:
+    """A length of run that any two different texts of at least a sequence ratio have in common.
+
+    With M characters matched of a + b, at most D = a + b - 2 M are left over; these part the match
+    into at most D + 1 runs, of which one has M / (D + 1) characters or more. For long texts that
+    tends to ratio / (2 - 2 ratio); short ones are gone through.
+    """
+    least = math.floor(ratio / (2 - 2 * ratio))
+    for a in range(1, longest):
+        for b in range(a, min(longest, math.floor(a * (2 - ratio) / ratio) + 1)):
+            m = math.ceil(ratio * (a + b) / 2 - 1e-9)
+            if m <= a and (a, b) != (m, m):
+                least = min(least, math.ceil(m / (a + b - 2 * m + 1)))
+    return max(1, least)
+
+
 def resolve(names: DataFrame, aliases: DataFrame, near: float = 0.82, far: float = 0.93) -> DataFrame:
     """``id``, ``destino``, ``metodo`` of every name: (id, block, tokens) against (destino, pos, block, tokens).
 
     Exact token lists, then containment either way (within a block only), then the best sequence
     ratio of at least ``near`` within a block or ``far`` where the block is unknown or has no
     aliases. Each stage takes the residue of the one before; the smallest ``pos`` wins ties.
-    Names are resolved once a different (block, tokens). Unblocked names meet the aliases that
-    share a token's first three letters with them: a bounded key, not all of them.
+    Names are resolved once a different (block, tokens). Nothing that the ratios allow is lost:
+    one list contains another only if they share a token, and names without a block meet all
+    aliases that share with them a run of characters which any pair of that ratio has in common
+    (``common_run``); lengths too far apart for the ratio are left out before it is taken.
     Names without tokens are ``sin_nombre``, others without a hit ``sin_match``.
     """
     key = lambda c: F.array_join(c, " ")
@@ -57,13 +85,16 @@ def resolve(names: DataFrame, aliases: DataFrame, near: float = 0.82, far: float
     exact = best(ask.join(al, (F.col("k") == F.col("ak")) & (same | ~F.col("known"))), "pos", "destino").select("block", "k", F.col("m.destino").alias("destino"), F.lit("exacto").alias("metodo"))
     rest = ask.join(exact.select("block", "k"), (ask.block.eqNullSafe(exact.block)) & (ask.k == exact.k), "left_anti")
     inside = (F.size(F.array_except("tokens", "at")) == 0) | (F.size(F.array_except("at", "tokens")) == 0)
-    within = rest.where("known").join(al, F.col("block") == F.col("ablock"))
+    shown = al.withColumn("t", F.explode(F.array_distinct("at")))
+    within = rest.where("known").withColumn("_t", F.explode(F.array_distinct("tokens"))).join(shown, (F.col("block") == F.col("ablock")) & (F.col("_t") == F.col("t")))
     subset = best(within.where(inside), "pos", "destino").select("block", "k", F.col("m.destino").alias("destino"), F.lit("subconjunto").alias("metodo"))
     left = rest.join(subset.select("block", "k"), (rest.block.eqNullSafe(subset.block)) & (rest.k == subset.k), "left_anti")
-    start = lambda c: F.array_distinct(F.transform(c, lambda t: F.substring(t, 1, 3)))
-    loose = left.where("not known").withColumn("s", F.explode(start("tokens"))).join(al.withColumn("s", F.explode(start("at"))), "s").select("block", "k", "destino", "pos", "ak", F.lit(far).alias("floor")).distinct()
+    run = common_run(far)
+    loose = left.where("not known").withColumn("s", F.explode(grams(F.col("k"), run))).join(al.withColumn("s", F.explode(grams(F.col("ak"), run))), "s").select("block", "k", "destino", "pos", "ak", F.lit(far).alias("floor")).distinct()
     close = left.where("known").join(al, F.col("block") == F.col("ablock")).select("block", "k", "destino", "pos", "ak", F.lit(near).alias("floor"))
-    scored = close.union(loose).withColumn("ratio", sequence_ratio("k", "ak")).where("ratio >= floor")
+    x, y = F.length("k"), F.length("ak")
+    likely = close.union(loose).where(2 * F.least(x, y) >= F.col("floor") * (x + y) - 1e-9)
+    scored = likely.withColumn("ratio", sequence_ratio("k", "ak")).where("ratio >= floor")
     approx = best(scored, -F.col("ratio"), "pos", "destino").select("block", "k", F.col("m.destino").alias("destino"), F.format_string("aproximado:%.2f", F.col("m.ratio")).alias("metodo"))
     all_ = exact.union(subset).union(approx)
     got = base.alias("n").join(all_.alias("r"), F.col("n.block").eqNullSafe(F.col("r.block")) & (F.col("n.k") == F.col("r.k")), "left")
@@ -71,7 +102,55 @@ def resolve(names: DataFrame, aliases: DataFrame, near: float = 0.82, far: float
 
 
 def one_target(matches: DataFrame, order: Column) -> DataFrame:
-    """Of the sources that fell on one target the first keeps it; the others become ``duplicado:<method>``."""
-    w = Window.partitionBy("destino").orderBy(order, "id")
-    first = F.col("destino").isNull() | (F.row_number().over(w) == 1)
-    return matches.withColumn("_f", first).select("id", F.when(F.col("_f"), F.col("destino")).alias("destino"), F.when(F.col("_f"), F.col("metodo")).otherwise(F.concat(F.lit("duplicado:"), "metodo")).alias("metodo"))
+    """Of the sources that fell on one target the first keeps it; the others become ``duplicado:<method>``.
+
+    The first of a target is an aggregate; sources without a target, however many, go by untouched.
+    """
+    there, none = matches.where("destino is not null"), matches.where("destino is null")
+    first = there.groupBy("destino").agg(F.min_by("id", F.struct(order.alias("o"), F.col("id").alias("i"))).alias("_first"))
+    own = F.col("id") == F.col("_first")
+    kept = there.join(first, "destino").select("id", F.when(own, F.col("destino")).alias("destino"), F.when(own, F.col("metodo")).otherwise(F.concat(F.lit("duplicado:"), "metodo")).alias("metodo"))
+    return kept.unionByName(none.select("id", "destino", "metodo"))
+
+
+def catalogue(sources: DataFrame, aliases: DataFrame, ranks: DataFrame, tope: int | None = None, none: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(catalogue, report of what found no place): sources tied to targets one to one, in order of the target's rank.
+
+    ``sources`` hold id, orden, block, tokens and otros_tokens: the first row of an id by ``orden``
+    counts; a name that finds nothing is tried once more under the other one; of several sources on
+    one target the first keeps it. ``ranks`` hold destino, puesto. Targets without a rank stand at
+    the end; ``tope`` cuts by rank. The report has id and metodo, ``duplicado:`` ones included.
+    """
+    first = sources.groupBy("id").agg(F.min_by(F.struct("orden", "block", "tokens", "otros_tokens"), F.struct("orden", F.array_join("tokens", " "))).alias("s")).select("id", "s.*")
+    once = written(resolve(first.select("id", "block", "tokens"), aliases), "catalogue")
+    again = first.join(once.where("destino is null").select("id"), "id", "left_semi")
+    second = resolve(again.select("id", "block", F.col("otros_tokens").alias("tokens")), aliases).select("id", F.col("destino").alias("d2"), F.col("metodo").alias("m2"))
+    both = once.join(second, "id", "left").select("id", F.coalesce("destino", "d2").alias("destino"), F.when(F.col("destino").isNull() & F.col("m2").isNotNull() & (F.col("m2") != "sin_nombre"), F.col("m2")).otherwise(F.col("metodo")).alias("metodo"))
+    tied = written(one_target(both.join(first.select("id", "orden"), "id"), F.col("orden")), "catalogue")
+    place = F.coalesce("puesto", F.lit(none))
+    out = tied.where("destino is not null").join(ranks, "destino", "left").withColumn("lugar", place)
+    if tope is not None:
+        out = out.where(F.col("lugar") <= tope)
+    return out.orderBy("lugar", "destino"), tied.where("destino is null").select("id", "metodo")
+
+
+def match_coverage(catalogue_: DataFrame, report: DataFrame) -> DataFrame:
+    """One row: cruzados, sin_cruce and cobertura over the different sources, duplicates of a target left out."""
+    n = catalogue_.agg(F.count_distinct("id").alias("cruzados"))
+    m = report.agg(F.count_distinct(F.when(~F.col("metodo").startswith("duplicado"), F.col("id"))).alias("sin_cruce"))
+    return one_row(n, m).select("*", F.round(F.try_divide("cruzados", F.col("cruzados") + F.col("sin_cruce")), 6).alias("cobertura"))
+
+
+def pick_homonym(candidates: DataFrame, by: list[str]) -> DataFrame:
+    """One candidate a group by points: 3 for a token in common with the destination's club, 2 with the origin's, else 0; then score, then position.
+
+    ``candidates`` hold candidato, equipo, destino, origen (token arrays), puntos_fuente, pos; the
+    method says what decided: club_destino, club_origen, unica_sugerencia or primera_sugerencia.
+    An aggregate with map-side combine; null and empty token lists share nothing.
+    """
+    shares = lambda a, b: F.coalesce(F.arrays_overlap(F.col(a), F.col(b)), F.lit(False))
+    points = F.when(shares("equipo", "destino"), 3).when(shares("equipo", "origen"), 2).otherwise(0)
+    order = F.struct(F.col("_p"), F.coalesce("puntos_fuente", F.lit(float("-inf"))), (-F.col("pos")).alias("x"))
+    best = candidates.withColumn("_p", points).groupBy(*by).agg(F.max_by(F.struct("candidato", "_p"), order).alias("m"), F.count_distinct("candidato").alias("candidatos"))
+    method = F.when(F.col("m._p") == 3, "club_destino").when(F.col("m._p") == 2, "club_origen").when(F.col("candidatos") == 1, "unica_sugerencia").otherwise("primera_sugerencia")
+    return best.select(*by, F.col("m.candidato").alias("candidato"), method.alias("metodo"), "candidatos")

@@ -4,6 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pampero.session import written
+
+
+def running(df: DataFrame, by: list[str], order: list[Column], sums: list[str]) -> DataFrame:
+    """``df`` with ``upto_<name>``, the running totals of ``sums`` in an order within groups; the order must be unique in a group.
+
+    Rows are laid in range partitions by group and order, so a group that holds most rows spreads
+    over many; totals run within a partition and start from those of the partitions before, of
+    which there is one row a partition and group. Null groups are groups.
+    """
+    parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = written(df.repartitionByRange(parts, *[F.col(b) for b in by], *order).withColumn("_part", F.spark_partition_id()), "running")
+    per = placed.groupBy("_part", *by).agg(*[F.sum(s).alias(f"_s_{s}") for s in sums])
+    down = Window.partitionBy(*by).orderBy("_part")
+    before = per.select("_part", *by, *[(F.sum(f"_s_{s}").over(down) - F.col(f"_s_{s}")).alias(f"_b_{s}") for s in sums]).alias("b")
+    inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    p = placed.select("*", *[F.sum(s).over(inside).alias(f"_i_{s}") for s in sums]).alias("p")
+    on = [F.col(f"p.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in ["_part", *by]]
+    return p.join(before, on).select(*[F.col(f"p.`{c}`") for c in df.columns], *[(F.col(f"_i_{s}") + F.col(f"_b_{s}")).alias(f"upto_{s}") for s in sums])
+
+
+def one_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """``df`` with the columns of a frame of one row, an aggregate without groups, beside every row."""
+    return df.crossJoin(F.broadcast(row))
+
+
+def quantiles(df: DataFrame, by: list[str], value: Column, at: list[float]) -> DataFrame:
+    """``by``, q, valor, n: exact quantiles with linear interpolation of the values that are neither null nor NaN.
+
+    Equal values are counted first; the order statistics are found by running totals over the
+    different values, so no task holds a whole group.
+    """
+    v = value.cast("double")
+    counted = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*by, (F.col("_v") + F.lit(0.0)).alias("_v")).agg(F.count("*").alias("_c"))
+    run = running(counted, by, [F.col("_v")], ["_c"])
+    sizes = run.groupBy(*by).agg(F.sum("_c").alias("n")).alias("s")
+    r = run.alias("r")
+    both = (r.join(sizes, [F.col(f"r.`{b}`").eqNullSafe(F.col(f"s.`{b}`")) for b in by]) if by else one_row(r, sizes)).select(*[F.col(f"r.`{b}`") for b in by], "_v", "_c", "upto__c", "n")
+    place = lambda q: q * (F.col("n") - 1)
+    here = lambda rank: (rank + 1 > F.col("upto__c") - F.col("_c")) & (rank + 1 <= F.col("upto__c"))
+    asked = F.filter(F.array(*[F.lit(float(q)) for q in at]), lambda q: here(F.floor(place(q))) | here(F.ceil(place(q))))
+    hits = both.select("*", F.explode(asked).alias("q"))
+    x = place(F.col("q"))
+    low, high = F.floor(x), F.ceil(x)
+    got = hits.groupBy(*by, "q", "n").agg(F.max(F.when(here(low), F.col("_v"))).alias("_lo"), F.max(F.when(here(high), F.col("_v"))).alias("_hi"))
+    return got.select(*by, "q", F.when(low == high, F.col("_lo")).otherwise((high - x) * F.col("_lo") + (x - low) * F.col("_hi")).alias("valor"), "n")
+
 
 def number(name: str) -> Column:
     """A numeric column with NaN as missing."""
@@ -17,10 +64,11 @@ def skew_corrected(c: Column) -> Column:
     return F.when(n > 2, F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def separation(c: Column, positive: Column) -> Column:
-    """Difference of the two groups' means over the root of their mean variance."""
+def separation(c: Column, positive: Column, least: int = 10) -> Column:
+    """Distance of the two groups' means over the root of their mean variance; null if either has fewer than ``least`` values."""
     a, b = F.when(positive, c), F.when(~positive, c)
-    return (F.avg(a) - F.avg(b)) / F.sqrt((F.var_samp(a) + F.var_samp(b)) / 2)
+    d = F.abs(F.avg(a) - F.avg(b)) / F.nullif(F.sqrt((F.var_samp(a) + F.var_samp(b)) / 2), F.lit(0.0))
+    return F.when(F.least(F.count(a), F.count(b)) >= least, d)
 
 
 def zone(c: Column, low: float, high: float) -> Column:
@@ -29,22 +77,17 @@ def zone(c: Column, low: float, high: float) -> Column:
 
 
 def eta_squared(df: DataFrame, value: Column, group: str) -> DataFrame:
-    """One row ``eta2``: the share of the value's variance between groups; two aggregates, no row is read twice."""
+    """One row ``eta2``, ``n``: the share of the value's variance between groups, by squared deviations of the groups' means."""
     per = df.select(F.col(group).alias("g"), value.alias("v")).where("v is not null and g is not null").groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s"))
-    tot = per.agg(F.sum("n").alias("N"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("M"), F.sum(F.col("n") * F.col("s")).alias("w"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"))
-    between = F.col("q") - F.col("N") * F.col("M") * F.col("M")
-    return tot.select(F.round(F.try_divide(between, between + F.col("w")), 6).alias("eta2"), F.col("N").alias("n"))
+    whole = per.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("middle"))
+    tot = one_row(per, whole).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("s")).alias("w"), F.sum(F.col("n") * (F.col("m") - F.col("middle")) ** 2).alias("b"))
+    return tot.select(F.round(F.try_divide("b", F.col("b") + F.col("w")), 6).alias("eta2"), F.col("rows").alias("n"))
 
 
 def ranked(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Average ranks of a column over all rows.
-
-    Ranks come from the counts of the different values, whose running total is the only global
-    window; rows are never brought into one task.
-    """
-    per = df.groupBy(col).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.orderBy(col))
-    return df.join(per.select(col, (upto - F.col("_c") + (F.col("_c") + 1) / 2).alias(out)), col)
+    """Average ranks of a column over all rows, from the running counts of its different values."""
+    per = running(df.groupBy(col).agg(F.count("*").alias("_c")), [], [F.col(col)], ["_c"])
+    return df.join(per.select(col, (F.col("upto__c") - F.col("_c") + (F.col("_c") + 1) / 2).alias(out)), col)
 
 
 def cut(c: Column, edges: list[float], labels: list[str], lowest: bool = False) -> Column:
@@ -56,13 +99,12 @@ def cut(c: Column, edges: list[float], labels: list[str], lowest: bool = False)
 
 
 def quantile_bins(df: DataFrame, col: str, labels: list[str], out: str) -> DataFrame:
-    """``df`` with a label by exact quantile edges, right-closed; null stays null. The edges are one row."""
+    """``df`` with a label by exact quantile edges, right-closed; null and NaN have none. The edges are one row."""
     n = len(labels)
-    edges = df.agg(F.percentile(F.col(col), F.array(*[F.lit(i / n) for i in range(1, n)])).alias("e")).first()["e"] or [None] * (n - 1)
-    label = F
-    for i in range(n - 1):
-        label = label.when(F.col(col) <= F.lit(edges[i]), F.lit(labels[i]))
-    return df.withColumn(out, label.when(F.col(col).isNotNull(), F.lit(labels[-1])))
+    edges = quantiles(df, [], F.col(col), [i / n for i in range(1, n)]).agg(F.array_sort(F.collect_list(F.struct("q", "valor"))).alias("_edges"))
+    below = F.size(F.filter("_edges", lambda e: e["valor"] < F.col(col)))
+    label = F.when(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")), F.get(F.array(*map(F.lit, labels)), below))
+    return one_row(df, edges).withColumn(out, label).drop("_edges")
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:
@@ -72,10 +114,19 @@ def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int)
     return per.withColumn("densidad", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()) / ((high - low) / bins), 9))
 
 
-def zscore(value: Column, by: list[str]) -> Column:
-    """Standard score within a group; null where the group has no spread."""
-    w = Window.partitionBy(*by)
-    return (value - F.avg(value).over(w)) / F.nullif(F.stddev_samp(value).over(w), F.lit(0.0))
+def zscores(df: DataFrame, cols: dict[str, Column], by: list[str], fitted_on: Column | None = None) -> DataFrame:
+    """``df`` with standard scores within a group, null where the group has no spread.
+
+    The groups' means and deviations are aggregates joined back, so a group that holds most rows
+    is never in one task; ``fitted_on`` restricts the rows that they are learnt from.
+    """
+    names = list(cols)
+    base = df.select("*", *[cols[n].alias(f"_v_{n}") for n in names])
+    learnt = base if fitted_on is None else base.where(fitted_on)
+    per = learnt.groupBy(*by).agg(*[f(f"_v_{n}").alias(f"_{k}_{n}") for n in names for k, f in (("m", F.avg), ("s", F.stddev_samp))]).alias("g")
+    x = base.alias("x")
+    both = x.join(per, [F.col(f"x.`{b}`").eqNullSafe(F.col(f"g.`{b}`")) for b in by], "left")
+    return both.select(*[F.col(f"x.`{c}`") for c in df.columns if c not in names], *[((F.col(f"_v_{n}") - F.col(f"_m_{n}")) / F.nullif(f"_s_{n}", F.lit(0.0))).alias(n) for n in names])
 
 
 def row_mean(cols: list[Column]) -> Column:

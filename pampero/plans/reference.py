@@ -123,11 +123,11 @@ def reserve_regex(spark, d):
     return table(spark, d, "plata").groupBy(rel.flag(F.col("club_origen").rlike(RESERVE)).alias("filial")).agg(F.count("*").alias("n"), F.count_distinct("club_origen").alias("clubes"))
 
 
-@query("""with i as (select archivo_id, list_sort(list_distinct(regexp_extract_all(html, '/spieler/([0-9]+)', 1)))[1:120] ids from bronce where html is not null)
+@query("""with a as (select archivo_id, regexp_extract_all(html, '/spieler/([0-9]+)', 1) l from bronce where html is not null), i as (select archivo_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:120] ids from a)
 select archivo_id, len(ids)::int jugadores, substr(sha256(array_to_string(ids, ',')), 1, 16) huella from i""")
 def latest_fingerprint(spark, d):
-    """A page's fingerprint by the ordered distinct ids in it."""
-    ids = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit("/spieler/([0-9]+)"), F.lit(1)))), 1, 120)
+    """A page's fingerprint by the first distinct ids in it, in the page's order."""
+    ids = F.slice(F.array_distinct(F.regexp_extract_all("html", F.lit("/spieler/([0-9]+)"), F.lit(1))), 1, 120)
     return table(spark, d, "bronce").where("html is not null").select("archivo_id", F.size(ids).alias("jugadores"), F.substring(F.sha2(F.array_join(ids, ","), 256), 1, 16).alias("huella"))
 
 
@@ -294,7 +294,7 @@ def pearson_spearman(spark, d):
     return r.agg(F.round(F.corr("x", "y"), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman"), F.count("*").alias("n"))
 
 
-_SEP = "(avg(v) filter (t) - avg(v) filter (not t)) / sqrt((var_samp(v) filter (t) + var_samp(v) filter (not t)) / 2)"
+_SEP = "case when least(count(v) filter (t), count(v) filter (not t)) >= 10 then abs(avg(v) filter (t) - avg(v) filter (not t)) / sqrt((var_samp(v) filter (t) + var_samp(v) filter (not t)) / 2) end"
 
 
 @query(f"select round({_SEP}, 6) separacion, case when abs({_SEP}) >= 0.8 then 'alto' when abs({_SEP}) >= 0.2 then 'medio' else 'bajo' end zona from (select club_origen_pais_coeficiente_uefa v, es_destino_top_20 t from modelo where club_origen_pais_coeficiente_uefa is not null and not isnan(club_origen_pais_coeficiente_uefa))")
@@ -319,7 +319,7 @@ def eta_squared(spark, d):
 select g rol, count(z) n, round(sum(abs(z)), 3) suma_abs, round(max(z), 6) mayor from z where g is not null group by 1""")
 def zscore_by_group(spark, d):
     m = table(spark, d, "modelo").where("grupo_posicion is not null").select("grupo_posicion", st.number("stat_minutes").alias("v"))
-    return m.withColumn("z", st.zscore(F.col("v"), ["grupo_posicion"])).groupBy(F.col("grupo_posicion").alias("rol")).agg(F.count("z").alias("n"), F.round(F.sum(F.abs("z")), 3).alias("suma_abs"), F.round(F.max("z"), 6).alias("mayor"))
+    return st.zscores(m, {"z": F.col("v")}, ["grupo_posicion"]).groupBy(F.col("grupo_posicion").alias("rol")).agg(F.count("z").alias("n"), F.round(F.sum(F.abs("z")), 3).alias("suma_abs"), F.round(F.max("z"), 6).alias("mayor"))
 
 
 _ZC = ["stat_minutes", "stat_goals", "stat_assists", "stat_tackles"]
@@ -329,7 +329,8 @@ _ZC = ["stat_minutes", "stat_goals", "stat_assists", "stat_tackles"]
 def role_score(spark, d):
     """Mean of the scores that a row has within its role."""
     m = table(spark, d, "modelo").where("grupo_posicion is not null").select("operacion_id", "grupo_posicion", *[st.number(c).alias(c) for c in _ZC])
-    return m.select("operacion_id", F.round(st.row_mean([st.zscore(F.col(c), ["grupo_posicion"]) for c in _ZC]), 5).alias("puntaje"))
+    z = st.zscores(m, {f"z_{c}": F.col(c) for c in _ZC}, ["grupo_posicion"])
+    return z.select("operacion_id", F.round(st.row_mean([F.col(f"z_{c}") for c in _ZC]), 5).alias("puntaje"))
 
 
 @query("select n_name pais, rank() over (order by round(avg(o_totalprice), 4) desc)::int puesto, round(avg(o_totalprice), 4) media from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1")
@@ -360,16 +361,15 @@ def hist_density(spark, d):
 
 @query("select rol, q, round(v, 6) valor from (select grupo_posicion rol, unnest(range(11)) q, unnest(quantile_cont(stat_minutes, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1])) v from modelo where not isnan(stat_minutes) and grupo_posicion is not null group by 1)")
 def quantile_table(spark, d):
-    m = table(spark, d, "modelo").where("grupo_posicion is not null").select("grupo_posicion", st.number("stat_minutes").alias("v")).where("v is not null")
-    q = m.groupBy(F.col("grupo_posicion").alias("rol")).agg(F.percentile("v", F.array(*[F.lit(i / 10) for i in range(11)])).alias("q"))
-    return q.select("rol", F.posexplode("q").alias("q", "v")).select("rol", F.col("q").cast("bigint").alias("q"), F.round("v", 6).alias("valor"))
+    q = st.quantiles(table(spark, d, "modelo").where("grupo_posicion is not null"), ["grupo_posicion"], F.col("stat_minutes"), [i / 10 for i in range(11)])
+    return q.select(F.col("grupo_posicion").alias("rol"), F.round(F.col("q") * 10).cast("bigint").alias("q"), F.round("valor", 6).alias("valor"))
 
 
 @query("""with t as (select quantile_cont(c_acctbal, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]) q from customer), x as (select s_suppkey, s_acctbal x, q, len([v for v in q if v <= s_acctbal]) b from supplier, t)
 select s_suppkey, round(case when x <= q[1] then 0 when b >= 11 then 100 else (b - 1 + (x - q[b]) / (q[b + 1] - q[b])) * 10 end, 4) percentil from x""")
 def percentile_of_score(spark, d):
-    q = table(spark, d, "customer").agg(F.percentile("c_acctbal", F.array(*[F.lit(i / 10) for i in range(11)])).alias("q")).first()["q"]
-    return table(spark, d, "supplier").select("s_suppkey", F.round(st.percentile_of(F.array(*map(F.lit, q)), F.col("s_acctbal")), 4).alias("percentil"))
+    q = st.quantiles(table(spark, d, "customer"), [], F.col("c_acctbal"), [i / 10 for i in range(11)]).agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "valor"))), lambda x: x["valor"]).alias("q"))
+    return st.one_row(table(spark, d, "supplier"), q).select("s_suppkey", F.round(st.percentile_of(F.col("q"), F.col("s_acctbal")), 4).alias("percentil"))
 
 
 @query("unpivot (select operacion_id, stat_goals, stat_assists, stat_matches from modelo) on stat_goals, stat_assists, stat_matches into name metrica value valor")
@@ -388,7 +388,8 @@ def pivot_wide(spark, d):
 def union_reference_rows(spark, d):
     p = table(spark, d, "part")
     cases = p.where(F.col("p_partkey").isin(1, 7, 20)).select(F.lit("caso").alias("tipo"), F.col("p_type").alias("grupo"), F.col("p_partkey").cast("string").alias("clave"), F.round("p_retailprice", 4).alias("precio"))
-    return cases.unionByName(p.groupBy(F.col("p_type").alias("grupo")).agg(F.round(F.median("p_retailprice"), 4).alias("precio")).withColumn("tipo", F.lit("mediana")), allowMissingColumns=True)
+    middle = st.quantiles(p, ["p_type"], F.col("p_retailprice"), [0.5]).select(F.col("p_type").alias("grupo"), F.round("valor", 4).alias("precio"), F.lit("mediana").alias("tipo"))
+    return cases.unionByName(middle, allowMissingColumns=True)
 
 
 @query("""with c as (select p_type t, count(*) n from part group by 1), o as (select unnest(['A', 'B', 'PROMO', 'STANDARD', 'ECONOMY']) nivel)
@@ -397,10 +398,11 @@ def runner_up_and_bounds(spark, d):
     """A fixed list of levels with gaps filled, the greatest count of any other level, and the bounds."""
     levels = ["A", "B", "PROMO", "STANDARD", "ECONOMY"]
     c = table(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n"))
-    best = c.agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "p_type"))), 1, 2).alias("t"), F.min("n").alias("minimo")).first()  # one row a level
-    other = [next((-t["m"] for t in best["t"] if t["p_type"] != v), None) for v in levels]
-    base = spark.createDataFrame(list(zip(levels, other, [best["minimo"]] * len(levels))), "nivel string, mayor_otro bigint, minimo bigint")
-    return base.join(c, base.nivel == c.p_type, "left").select("nivel", F.coalesce("n", F.lit(0)).alias("n"), "mayor_otro", "minimo")
+    best = c.agg(F.max_by("p_type", F.struct("n", "p_type")).alias("t"), F.max("n").alias("m"), F.min("n").alias("minimo"))
+    rest = st.one_row(c, best).where("p_type <> t").agg(F.max("n").alias("m2"))
+    base = st.one_row(st.one_row(spark.createDataFrame([(v,) for v in levels], "nivel string"), best), rest)
+    other = F.when(F.col("nivel") == F.col("t"), F.col("m2")).otherwise(F.col("m"))
+    return base.join(c, base.nivel == c.p_type, "left").select("nivel", F.coalesce("n", F.lit(0)).alias("n"), other.alias("mayor_otro"), "minimo")
 
 
 _FOLD = "(('0x' || substr(md5(cast({0} as varchar)), 1, 8))::bigint % 5)"
@@ -423,8 +425,8 @@ select operacion_id, round((coalesce(v, 0) - m) / s, 6) v, f falta from l, s""")
 def impute_indicator(spark, d):
     """Log scale, constant for missing with an indicator, scaled by mean and population deviation."""
     l = table(spark, d, "modelo").select("operacion_id", F.log1p("club_origen_pais_coeficiente_uefa").alias("v"))
-    s = l.agg(F.avg(F.coalesce("v", F.lit(0.0))).alias("m"), F.stddev_pop(F.coalesce("v", F.lit(0.0))).alias("s")).first()
-    return l.select("operacion_id", F.round((F.coalesce("v", F.lit(0.0)) - F.lit(s["m"])) / F.lit(s["s"]), 6).alias("v"), F.col("v").isNull().cast("int").alias("falta"))
+    s = l.agg(F.avg(F.coalesce("v", F.lit(0.0))).alias("m"), F.stddev_pop(F.coalesce("v", F.lit(0.0))).alias("s"))
+    return st.one_row(l, s).select("operacion_id", F.round((F.coalesce("v", F.lit(0.0)) - F.col("m")) / F.col("s"), 6).alias("v"), F.col("v").isNull().cast("int").alias("falta"))
 
 
 _THR = [0.1, 0.3, 0.5, 0.7]
@@ -518,9 +520,9 @@ def scalar_suite(spark, d):
 @query("""with c as (select c_custkey, c_nationkey, rank() over (order by c_acctbal desc) rk from customer), s as (select s_suppkey, s_nationkey, rank() over (order by s_acctbal desc) rk from supplier)
 select l_orderkey, l_linenumber, l_partkey, l_suppkey, c_nationkey = s_nationkey domestico, (nullif(s.rk, 0) - nullif(c.rk, 0))::bigint salto, (s.rk - c.rk) > 0 sube, s.rk <= 20 top_20 from lineitem join orders on l_orderkey = o_orderkey join c on o_custkey = c_custkey join s on l_suppkey = s_suppkey""")
 def pair_derivations(spark, d):
-    ranks = lambda t, k, n, v: table(spark, d, t).groupBy(v).agg(F.count("*").alias("n")).select(F.col(v).alias("v"), (F.sum("n").over(Window.orderBy(F.desc(v))) - F.col("n") + 1).alias("rk"))
-    c = table(spark, d, "customer").join(ranks("customer", "", "", "c_acctbal"), F.col("c_acctbal") == F.col("v")).select("c_custkey", "c_nationkey", F.col("rk").alias("rc"))
-    s = table(spark, d, "supplier").join(ranks("supplier", "", "", "s_acctbal"), F.col("s_acctbal") == F.col("v")).select("s_suppkey", "s_nationkey", F.col("rk").alias("rs"))
+    ranks = lambda t, v: st.running(table(spark, d, t).groupBy(v).agg(F.count("*").alias("n")), [], [F.desc(v)], ["n"]).select(F.col(v).alias("v"), (F.col("upto_n") - F.col("n") + 1).alias("rk"))
+    c = table(spark, d, "customer").join(ranks("customer", "c_acctbal"), F.col("c_acctbal") == F.col("v")).select("c_custkey", "c_nationkey", F.col("rk").alias("rc"))
+    s = table(spark, d, "supplier").join(ranks("supplier", "s_acctbal"), F.col("s_acctbal") == F.col("v")).select("s_suppkey", "s_nationkey", F.col("rk").alias("rs"))
     j = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     jump = F.nullif("rs", F.lit(0)) - F.nullif("rc", F.lit(0))
     return j.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("c_nationkey") == F.col("s_nationkey")).alias("domestico"), jump.alias("salto"), (jump > 0).alias("sube"), (F.col("rs") <= 20).alias("top_20"))
@@ -545,8 +547,9 @@ def name_variants(spark, d):
 
 @query("""select c_mktsegment segmento, count(*) n, round(avg(c_acctbal), 4) media, round(median(c_acctbal), 4) mediana, round(stddev_samp(c_acctbal), 4) desvio, min(c_acctbal) menor, max(c_acctbal) mayor, count(distinct c_nationkey) paises from customer group by 1""")
 def group_profile(spark, d):
-    v = F.col("c_acctbal")
-    return table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("segmento")).agg(F.count("*").alias("n"), F.round(F.avg(v), 4).alias("media"), F.round(F.median(v), 4).alias("mediana"), F.round(F.stddev_samp(v), 4).alias("desvio"), F.min(v).alias("menor"), F.max(v).alias("mayor"), F.count_distinct("c_nationkey").alias("paises"))
+    v, c = F.col("c_acctbal"), table(spark, d, "customer")
+    middle = st.quantiles(c, ["c_mktsegment"], v, [0.5]).select(F.col("c_mktsegment").alias("segmento"), F.round("valor", 4).alias("mediana"))
+    return c.groupBy(F.col("c_mktsegment").alias("segmento")).agg(F.count("*").alias("n"), F.round(F.avg(v), 4).alias("media"), F.round(F.stddev_samp(v), 4).alias("desvio"), F.min(v).alias("menor"), F.max(v).alias("mayor"), F.count_distinct("c_nationkey").alias("paises")).join(middle, "segmento")
 
 
 @query("""with s as (select p_type t, avg(p_retailprice) m, stddev_samp(p_retailprice) d from part where p_partkey % 5 <> 0 group by 1) select p_partkey, p_partkey % 5 = 0 prueba, round((p_retailprice - m) / nullif(d, 0), 5) z from part left join s on t = p_type""")
@@ -585,7 +588,7 @@ def serving_lookup(spark, d):
 @query(f"""with b as (select es_destino_top_20 t, edad_al_fichaje e, grupo_posicion g, stat_matches m from modelo where stat_matches is not null and not isnan(stat_matches)),
 x as (select m, e, avg(m) over (partition by g) mg, avg(m) over () mt from b where g is not null)
 select 'edad' columna, 'correlacion' medida, round(corr(e, m), 6) valor from b where e is not null union all select 'grupo_posicion', 'eta2', round(sum((mg - mt) * (mg - mt)) / sum((m - mt) * (m - mt)), 6) from x
-union all select 'es_destino_top_20', 'separacion', round((avg(m) filter (t) - avg(m) filter (not t)) / sqrt((var_samp(m) filter (t) + var_samp(m) filter (not t)) / 2), 6) from b""")
+union all select 'es_destino_top_20', 'separacion', round(abs(avg(m) filter (t) - avg(m) filter (not t)) / sqrt((var_samp(m) filter (t) + var_samp(m) filter (not t)) / 2), 6) from b""")
 def measure_dispatch(spark, d):
     """The measure of association by the kind of each column: numeric, many-valued, two-valued."""
     b = table(spark, d, "modelo").select(F.col("es_destino_top_20").alias("t"), F.col("edad_al_fichaje").alias("e"), "grupo_posicion", st.number("stat_matches").alias("m")).where("m is not null")

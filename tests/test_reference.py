@@ -35,9 +35,10 @@ def test_tokens_and_resolution(spark):
 def test_bins_scores_and_effects(spark):
     df = spark.createDataFrame([(float(x), x % 2 == 0) for x in [20, 21, 50, 51, 1000, 1001]] + [(None, True)], "v double, t boolean")
     assert [r[0] for r in df.select(st.cut(F.col("v"), [20, 50, 100, 1000], ["a", "b", "c"])).collect()] == [None, "a", "a", "b", "c", None, None]
-    z = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), ("b", None), (None, 2.0)], "g string, v double").withColumn("z", st.zscore(F.col("v"), ["g"]))
+    z = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), ("b", None), (None, 2.0)], "g string, v double")
+    z = st.zscores(z, {"z": F.col("v")}, ["g"])
     assert [None if r["z"] is None else round(r["z"], 6) for r in z.orderBy("g", "v").collect()] == [None, -0.707107, 0.707107, None, None]
-    assert df.agg(st.separation(F.col("v"), F.col("t"))).first()[0] is not None
+    assert df.agg(st.separation(F.col("v"), F.col("t"), 3)).first()[0] > 0 and df.agg(st.separation(F.col("v"), F.col("t"))).first()[0] is None
     assert df.limit(0).agg(st.separation(F.col("v"), F.col("t")), st.skew_corrected(F.col("v"))).first()[0] is None
     s = spark.createDataFrame([(x,) for x in (1.0, 2.0, 2.0, 9.0)], "v double")
     assert rows(st.ranked(s, "v", "r"), "r") == [(1.0,), (2.5,), (2.5,), (4.0,)]
