@@ -142,7 +142,7 @@ def impute(df: DataFrame, plan: Plan, rank: int = 6, iterations: int = 15, ridge
 
 
 #: The seven roles (fixed values).
-ROLES = ["Arquero", "Defensor central", "Lateral", "Mediocampo defensivo", "Mediocampo ofensivo", "Delantero extremo", "Delantero centro"]
+ROLES = ["Arquero", "Defensor central", "Lateral", "Mediocampo defensivo", "Mediocampo ofensivo", "Delantero centro", "Delantero extremo"]
 
 
 def model_plan() -> Plan:

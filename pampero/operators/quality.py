@@ -31,6 +31,30 @@ def at_least(name: str, found: Column, least: int) -> Check:
     return Check(name, F.greatest(F.lit(least) - found, F.lit(0)))
 
 
+def empty_columns(columns: list[str]) -> list[Check]:
+    """A violation for each column without any value."""
+    return [Check(f"columna_vacia:{c}", (F.count(F.col(f"`{c}`")) == 0).cast("int")) for c in columns]
+
+
+def columns_at_least(df: DataFrame, least: int) -> Check:
+    return Check("columnas_minimas", F.max(F.lit(max(0, least - len(df.columns)))))
+
+
+def missing_columns(df: DataFrame, wanted: list[str]) -> Check:
+    """How many columns of the contract a table lacks."""
+    return Check("columnas_que_faltan", F.max(F.lit(len(set(wanted) - set(df.columns)))))
+
+
+def unmapped(name: str, value: Column, mapping: dict) -> Check:
+    """Rows whose value stands in no entry of a mapping; a missing value needs none."""
+    return rows_where(name, value.isNotNull() & ~value.isin(list(mapping)))
+
+
+def same_flag(name: str, flag: Column, expected: Column) -> Check:
+    """Rows where a flag is not what it follows from; unknown counts as false on both sides."""
+    return rows_where(name, F.coalesce(flag, F.lit(False)) != F.coalesce(expected, F.lit(False)))
+
+
 def report(df: DataFrame, checks: list[Check]) -> DataFrame:
     """(control, violaciones), all in one pass."""
     row = df.agg(*[c.violations.cast("bigint").alias(f"c{i}") for i, c in enumerate(checks)])

@@ -71,3 +71,35 @@ def first_match(branches: list[tuple[Column, str]], default: str) -> Column:
     for cond, label in branches:
         out = out.when(cond, F.lit(label))
     return out.otherwise(F.lit(default))
+
+
+def profile(df: DataFrame) -> DataFrame:
+    """(columna, tipo, no_nulos, distintos, vacia, constante, minimo, metrica) of every column in one aggregate; NaN counts as missing.
+
+    ``metrica`` marks the columns named ``stat_``; the minimum is that of numbers only.
+    """
+    kinds = {c: "numero" if t in ("double", "float", "int", "bigint", "smallint", "tinyint") or t.startswith("decimal") else "booleano" if t == "boolean" else "fecha" if t in ("date", "timestamp", "timestamp_ntz") else "texto" for c, t in df.dtypes}
+    types = dict(df.dtypes)
+    value = {c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) if types[c] in ("double", "float") else F.col(f"`{c}`") for c in df.columns}
+    aggs = []
+    for i, c in enumerate(df.columns):
+        low = F.min(value[c].cast("double")) if kinds[c] == "numero" else F.max(F.lit(None).cast("double"))
+        aggs += [F.count(value[c]).alias(f"n{i}"), F.count_distinct(value[c]).alias(f"d{i}"), low.alias(f"m{i}")]
+    cells = [F.struct(F.lit(c).alias("columna"), F.lit(kinds[c]).alias("tipo"), F.col(f"n{i}").alias("no_nulos"), F.col(f"d{i}").alias("distintos"), (F.col(f"n{i}") == 0).alias("vacia"), (F.col(f"d{i}") <= 1).alias("constante"), F.col(f"m{i}").alias("minimo"), F.lit(c.startswith("stat_")).alias("metrica")) for i, c in enumerate(df.columns)]
+    return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+
+
+def indicators(col: Column, levels: list[str]) -> list[Column]:
+    """A 0/1 column a level; unknown values have none."""
+    return [F.coalesce((col == v).cast("int"), F.lit(0)) for v in levels]
+
+
+def transposed(df: DataFrame, key: str, columns: list[str], levels: list[str], name: str) -> DataFrame:
+    """A row for each of ``columns`` and a column for each of the ``levels`` of ``key``, which is unique."""
+    return df.unpivot([key], columns, name, "_v").groupBy(name).pivot(key, levels).agg(F.max("_v"))
+
+
+def name_forms(words: Column) -> Column:
+    """A name's forms to try in turn: whole, first and last word, last word; folded case, each once."""
+    whole, ends, last = F.array_join(words, " "), F.concat_ws(" ", words[0], F.element_at(words, -1)), F.element_at(words, -1)
+    return F.array_distinct(F.transform(F.array(whole, ends, last), F.lower))

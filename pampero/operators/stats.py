@@ -142,3 +142,46 @@ def percentile_of(table: Column, x: Column) -> Column:
     lo, hi = F.get(table, below - 1), F.get(table, below)
     step = F.lit(100.0) / (n - 1)
     return F.when(x <= table[0], F.lit(0.0)).when(below >= n, F.lit(100.0)).otherwise((below - 1 + F.try_divide(x - lo, hi - lo)) * step)
+
+
+def snapped(value: Column, step: Column) -> Column:
+    """The multiple of a step next to a value, the even one on a tie."""
+    return F.bround(value / step) * step
+
+
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, r, n) of every pair of columns on the rows that have both, all in one aggregate."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    v = {c: number(c) for c in columns}
+    row = df.agg(*[f.alias(f"{k}{i}") for i, (a, b) in enumerate(pairs) for k, f in (("r", F.corr(v[a], v[b])), ("n", F.count_if(v[a].isNotNull() & v[b].isNotNull())))])
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(f"r{i}", 6).alias("r"), F.col(f"n{i}").alias("n")) for i, (a, b) in enumerate(pairs)]
+    return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+
+
+def dispatch(df: DataFrame, target: Column, profile: DataFrame, excluded: list[str], many: int = 60, few: int = 12) -> DataFrame:
+    """(columna, medida, valor): every column's association with a two-valued target by the measure fit for it.
+
+    Numbers of more than ``few`` values are measured by the separation of both classes, other
+    columns by the share of the target's variance between their values (missing is a value); of
+    constant, excluded and many-valued columns nothing is measured. The profile, a row a column, is
+    read first; then one aggregate has all separations and one all groups.
+    """
+    kinds = {r["columna"]: (r["tipo"], r["distintos"]) for r in profile.collect()}
+    y, said = F.coalesce(target, F.lit(False)), {}
+    for c in df.columns:
+        kind, n = kinds[c]
+        said[c] = "no se mide" if c in excluded else "constante" if n <= 1 else "separacion" if kind == "numero" and n > few else "demasiadas categorias" if kind != "numero" and n > many else "eta2"
+    schema = "columna string, medida string, valor double"
+    out = df.sparkSession.createDataFrame([(c, m, None) for c, m in said.items() if m not in ("separacion", "eta2")], schema)
+    apart = [c for c, m in said.items() if m == "separacion"]
+    if apart:
+        row = df.agg(*[separation(number(c), y).alias(f"s{i}") for i, c in enumerate(apart)])
+        out = out.union(row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("columna"), F.lit("separacion").alias("medida"), F.round(f"s{i}", 6).alias("valor")) for i, c in enumerate(apart)])).alias("x")).select("x.*"))
+    groups = [c for c, m in said.items() if m == "eta2"]
+    if groups:
+        long = df.select(y.cast("double").alias("_y"), F.explode(F.array(*[F.struct(F.lit(c).alias("columna"), F.col(f"`{c}`").cast("string").alias("g")) for c in groups])).alias("x")).select("_y", "x.*")
+        per = long.groupBy("columna", "g").agg(F.count("*").alias("n"), F.avg("_y").alias("m"), F.var_pop("_y").alias("s"))
+        whole = per.groupBy("columna").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("middle"))
+        b, w = F.sum(F.col("n") * (F.col("m") - F.col("middle")) ** 2), F.sum(F.col("n") * F.col("s"))
+        out = out.union(per.join(whole, "columna").groupBy("columna").agg(F.round(F.try_divide(b, b + w), 6).alias("valor")).select("columna", F.lit("eta2"), "valor"))
+    return out
