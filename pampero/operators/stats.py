@@ -58,6 +58,12 @@ def number(name: str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def corr(x: Column, y: Column) -> Column:
+    """Linear correlation on the rows that have both; null where either has no spread."""
+    a, b = F.when(y.isNotNull(), x.cast("double")), F.when(x.isNotNull(), y.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def skew_corrected(c: Column) -> Column:
     """Skewness with the correction for small samples; null under three values."""
     n = F.count(c).cast("double")
@@ -153,7 +159,7 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r, n) of every pair of columns on the rows that have both, all in one aggregate."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     v = {c: number(c) for c in columns}
-    row = df.agg(*[f.alias(f"{k}{i}") for i, (a, b) in enumerate(pairs) for k, f in (("r", F.corr(v[a], v[b])), ("n", F.count_if(v[a].isNotNull() & v[b].isNotNull())))])
+    row = df.agg(*[f.alias(f"{k}{i}") for i, (a, b) in enumerate(pairs) for k, f in (("r", corr(v[a], v[b])), ("n", F.count_if(v[a].isNotNull() & v[b].isNotNull())))])
     cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(f"r{i}", 6).alias("r"), F.col(f"n{i}").alias("n")) for i, (a, b) in enumerate(pairs)]
     return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 

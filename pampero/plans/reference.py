@@ -291,7 +291,7 @@ select round(corr(x, y), 6) pearson, round(corr(rx, ry), 6) spearman, count(*) n
 def pearson_spearman(spark, d):
     p = table(spark, d, "modelo").select(st.number("stat_minutes").alias("x"), st.number("stat_matches").alias("y")).where("x is not null and y is not null")
     r = st.ranked(st.ranked(p, "x", "rx"), "y", "ry")
-    return r.agg(F.round(F.corr("x", "y"), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman"), F.count("*").alias("n"))
+    return r.agg(F.round(st.corr(F.col("x"), F.col("y")), 6).alias("pearson"), F.round(st.corr(F.col("rx"), F.col("ry")), 6).alias("spearman"), F.count("*").alias("n"))
 
 
 _SEP = "case when least(count(v) filter (t), count(v) filter (not t)) >= 10 then abs(avg(v) filter (t) - avg(v) filter (not t)) / sqrt((var_samp(v) filter (t) + var_samp(v) filter (not t)) / 2) end"
@@ -475,7 +475,7 @@ def block_importance(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     s = ev.shifted_block(o, "o_orderkey", ["o_totalprice", "o_orderstatus"], -1)
     j = o.select("o_orderkey", F.col("o_totalprice").alias("x")).join(s.select("o_orderkey", F.col("o_totalprice").alias("x2")), "o_orderkey")
-    return j.agg(F.round(F.avg("x"), 4).alias("media"), F.round(F.avg("x2"), 4).alias("media_permutada"), F.round(F.corr("x", "x2"), 6).alias("correlacion"))
+    return j.agg(F.round(F.avg("x"), 4).alias("media"), F.round(F.avg("x2"), 4).alias("media_permutada"), F.round(st.corr(F.col("x"), F.col("x2")), 6).alias("correlacion"))
 
 
 def silver_checks() -> list[Check]:
@@ -592,7 +592,7 @@ union all select 'es_destino_top_20', 'separacion', round(abs(avg(m) filter (t)
 def measure_dispatch(spark, d):
     """The measure of association by the kind of each column: numeric, many-valued, two-valued."""
     b = table(spark, d, "modelo").select(F.col("es_destino_top_20").alias("t"), F.col("edad_al_fichaje").alias("e"), "grupo_posicion", st.number("stat_matches").alias("m")).where("m is not null")
-    out = b.agg(F.round(F.corr("e", "m"), 6).alias("c"), F.round(st.separation(F.col("m"), F.col("t")), 6).alias("s"))
+    out = b.agg(F.round(st.corr(F.col("e"), F.col("m")), 6).alias("c"), F.round(st.separation(F.col("m"), F.col("t")), 6).alias("s"))
     two = out.select(F.explode(F.array(F.struct(F.lit("edad").alias("columna"), F.lit("correlacion").alias("medida"), F.col("c").alias("valor")), F.struct(F.lit("es_destino_top_20").alias("columna"), F.lit("separacion").alias("medida"), F.col("s").alias("valor")))).alias("x")).select("x.*")
     return two.unionByName(st.eta_squared(b, F.col("m"), "grupo_posicion").select(F.lit("grupo_posicion").alias("columna"), F.lit("eta2").alias("medida"), F.col("eta2").alias("valor")))
 

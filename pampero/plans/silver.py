@@ -52,7 +52,7 @@ def _tournament_metrics(spark: SparkSession, d: str) -> DataFrame:
     items = flat_table(bridge, store, F.col("clave") == "items", {"titulo": "title", "valor": "statValue"}).where("titulo is not null")
     v = F.regexp_replace("valor", "%$", "").try_cast("double")
     long = items.select("registro", F.regexp_extract("ruta", r"^(statSeasons/\d+)", 1).alias("s"), F.regexp_extract("ruta", r"^(statSeasons/\d+/tournaments/\d+)", 1).alias("t"), F.concat(F.lit("stat_"), F.lower(F.replace("titulo", F.lit(" "), F.lit("_")))).alias("metrica"), v.alias("v"), "ruta").where("v is not null")
-    one = long.groupBy("registro", "s", "t", "metrica").agg(F.max_by("v", "ruta").alias("v"))
+    one = long.groupBy("registro", "s", "t", "metrica").agg(F.max_by("v", F.struct(F.col("ruta").contains("/statsSection/"), "ruta")).alias("v"))
     return one.join(seasons, ["registro", "s"]).join(newest.select(F.col("registro_id").alias("registro"), "jugador_fotmob_id"), "registro")
 
 
@@ -65,7 +65,8 @@ def player_metrics(spark: SparkSession, d: str) -> DataFrame:
     """jugador_fotmob_id, temporada, metrica, valor of every profile: the newest fetch, summed or averaged over tournaments.
 
     Metrics are the items of a tournament's blocks that have a number; within a tournament the
-    last block's value of a title stands. Seasons may be labelled by one year or two.
+    detailed section's value of a title stands before the summary's, else the last block's. Seasons
+    may be labelled by one year or two.
     """
     return _consolidated(_tournament_metrics(spark, d))
 

@@ -87,7 +87,7 @@ def repeated_entities(spark, d):
 _PAIRS = [(a, b) for i, a in enumerate(ALL_METRICS) for b in ALL_METRICS[i + 1 :]]
 
 
-@query("select * from (" + " union all ".join(f"select '{a}' a, '{b}' b, round(corr({_num(a)}, {_num(b)}), 6) r, count(*) filter (where {_num(a)} is not null and {_num(b)} is not null) n from modelo" for a, b in _PAIRS) + ") where abs(r) > 0.5")
+@query("select * from (" + " union all ".join(f"select '{a}' a, '{b}' b, round(corr({_num(a)}, {_num(b)}), 6) r, count(*) filter (where {_num(a)} is not null and {_num(b)} is not null) n from modelo" for a, b in _PAIRS) + ") where abs(r) > 0.5 and not isnan(r)")
 def correlated_pairs(spark, d):
     """Pairs of metrics with a correlation over 0.5 on the rows that have both: all pairs in one aggregate."""
     return st.correlations(table(spark, d, "modelo"), ALL_METRICS).where(F.abs("r") > 0.5)
@@ -99,7 +99,7 @@ def rank_gap(spark, d):
     """Distance of the rank correlation from the linear one, and the pairs behind them."""
     p = table(spark, d, "modelo").select(st.number("stat_minutes").alias("x"), st.number("stat_goals").alias("y")).where("x is not null and y is not null")
     r = st.ranked(st.ranked(p, "x", "rx"), "y", "ry")
-    a, b = F.corr("x", "y"), F.corr("rx", "ry")
+    a, b = st.corr(F.col("x"), F.col("y")), st.corr(F.col("rx"), F.col("ry"))
     return r.agg(F.round(a, 6).alias("pearson"), F.round(b, 6).alias("spearman"), F.round(F.abs(b - a), 6).alias("brecha"), F.count("*").alias("n"))
 
 
@@ -387,7 +387,7 @@ def permuted_columns(spark, d):
     """A block of columns shuffled by a seeded permutation: the same values, no longer tied to their rows."""
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     p = ev.permuted_block(o, "o_orderkey", ["o_totalprice", "o_orderstatus"], "7").select("o_orderkey", F.col("o_totalprice").alias("x2"), F.col("o_orderstatus").alias("y2"))
-    return o.join(p, "o_orderkey").agg(F.round(F.avg("x2"), 4).alias("media"), F.round(F.corr("o_totalprice", "x2"), 6).alias("correlacion"), F.count("*").alias("n"), F.min("y2").alias("menor"))
+    return o.join(p, "o_orderkey").agg(F.round(F.avg("x2"), 4).alias("media"), F.round(st.corr(F.col("o_totalprice"), F.col("x2")), 6).alias("correlacion"), F.count("*").alias("n"), F.min("y2").alias("menor"))
 
 
 _ERR = """case when not t and s >= 0.5 then 'FP' when t and s < 0.5 then 'FN' end"""

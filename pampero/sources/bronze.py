@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
+from pampero.operators.relational import keep_one
+
 
 def partition_value(path: Column, key: str) -> Column:
     """A ``key=value`` part of a path, null where there is none; '-' in a season stands for '/'."""
@@ -29,9 +31,39 @@ def read_pages(spark: SparkSession, root: str, schema: str, **wanted: list) -> D
     return df
 
 
+def unreadable(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """``_ruta`` of the files below ``root`` that give no row: broken, cut off or empty ones, for the log; one listing and one read."""
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("_ruta"))
+    read = spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").json(root).select(F.col("_metadata.file_path").alias("_ruta")).distinct()
+    plain = lambda df: df.withColumn("_k", F.regexp_replace("_ruta", "^[a-z0-9]+:/*", "/"))
+    return plain(there).join(plain(read).select("_k"), "_k", "left_anti").select("_ruta")
+
+
+def write_texts(texts: DataFrame, root: str, by: list[str], text: str = "texto") -> None:
+    """Whole texts as gzip text files, one row a file in the partitions ``by``; the partition names the text."""
+    rows = texts.select(*by, F.col(text).alias("value"))
+    rows.write.mode("append").partitionBy(*by).option("compression", "gzip").option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(root)
+
+
+def last_of_key(pages: DataFrame, key: list[str], path: str = "_ruta") -> DataFrame:
+    """The row of each key in the file that comes last by its path; an aggregate with map-side combine."""
+    return keep_one(pages, key, [F.col(path)])
+
+
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A CSV table with a header: by its schema, or all text where none is given; quotes may hold line breaks."""
+    reader = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
+    return (reader.schema(schema) if schema else reader.option("inferSchema", "false")).csv(path)
+
+
+def write_table(df: DataFrame, path: str, files: int | None = None) -> None:
+    """A table as CSV with a header, replacing what was there; ``files`` bounds their number."""
+    (df.coalesce(files) if files else df).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+
+
 def read_whole_texts(spark: SparkSession, glob: str) -> DataFrame:
     """(ruta, texto) of whole, possibly compressed, text files."""
-    return spark.read.option("ignoreCorruptFiles", "true").text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("ruta"), F.col("value").alias("texto"))
+    return spark.read.option("ignoreCorruptFiles", "true").text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("ruta"), F.regexp_replace("value", "\x00$", "").alias("texto"))
 
 
 def land(new: DataFrame, landed: DataFrame | None, key: list[str], text: str, closed: Column | None = None) -> DataFrame:

@@ -106,8 +106,120 @@ def test_raw_layer(spark, tmp_path):
     assert bronze.first_readable(spark, [str(tmp_path / "no"), root], "json").count() >= 3
 
 
-def test_queries_and_sql_have_the_same_columns(spark):
+def test_tables_texts_and_last_files(spark, tmp_path):
+    root = str(tmp_path / "texts")
+    bronze.write_texts(spark.createDataFrame([("1", "a\nb"), ("2", "ñ"), ("3", "")], "club string, texto string"), root, ["club"])
+    back = bronze.read_whole_texts(spark, f"{root}/club=*/*.gz").select(bronze.partition_value(F.col("ruta"), "club").alias("club"), "texto")
+    assert rows(back.where("texto <> ''")) == [("1", "a\nb"), ("2", "ñ")]
+    t = spark.createDataFrame([(1, 'x, "y"\nz', None), (2, "", 1.5)], "k int, s string, v double")
+    bronze.write_table(t, str(tmp_path / "csv"), 1)
+    bronze.write_table(t, str(tmp_path / "csv"), 1)
+    assert rows(bronze.read_table(spark, str(tmp_path / "csv"), "k int, s string, v double"), "k", "v") == [(1, None), (2, 1.5)]
+    assert bronze.read_table(spark, str(tmp_path / "csv")).where("k = '1'").first()["s"] == 'x, "y"\nz'
+    pages = spark.createDataFrame([("p", "/a/2", "old"), ("p", "/b/1", "new"), ("q", "/a/1", "one")], "k string, _ruta string, v string")
+    assert rows(bronze.last_of_key(pages, ["k"]), "k", "v") == [("p", "new"), ("q", "one")]
+    raw = str(tmp_path / "raw")
+    bronze.write_pages(spark.createDataFrame([("1", "x")], "club string, html string"), raw, ["club"])
+    with open(os.path.join(raw, "club=1", "broken.json.gz"), "wb") as f:
+        f.write(b"not gzip")
+    assert [os.path.basename(r[0]) for r in bronze.unreadable(spark, raw, "html string").collect()] == ["broken.json.gz"]
+
+
+def test_ranking_pages_and_members(spark):
+    from pampero.sources.ranking import CLUB_FIELDS, association_rows, club_rows, parsed_rankings, ranking_rows
+
+    row = '<tr><td>1</td><td class="zentriert hauptlink"><a title="{t}" href="/{s}/startseite/verein/{i}">{x}</a></td><td><img class="flaggenrahmen" title="Spain"></td></tr>'
+    page = '<table class="items x"><thead><tr><td class="hauptlink"><a href="/h/verein/0">H</a></td></tr></thead><tbody>' + row.format(t="Alfa FC", s="alfa", i=7, x="Alfa") + row.format(t="Beta", s="beta", i=8, x="<img>") + row.format(t="", s="alfa", i=7, x="again") + '<tr><td class="hauptlink">no link</td></tr><tr><td class="hauptlink"><a href="/x/spieler/9">p</a></td></tr>' + row.format(t="", s="gama", i=9, x="Gama &amp; Co") + "</tbody></table>"
+    want = [("7", "alfa", "Alfa", "Alfa FC", "Spain"), ("8", "beta", "Beta", "Beta", "Spain"), ("9", "gama", "Gama & Co", "Gama & Co", "Spain")]
+    assert ranking_rows(page) == want and ranking_rows(None) == ranking_rows("") == ranking_rows("<table class='items'>") == []
+    df = spark.createDataFrame([(1, page, "q"), (2, None, "q"), (3, page, "q")], "pagina bigint, html string, pos string")
+    assert rows(parsed_rankings(df), "pagina", *CLUB_FIELDS) == sorted([(p, *w) for p in (1, 3) for w in want], key=str) and parsed_rankings(df.limit(0)).count() == 0
+    raw = spark.createDataFrame([('{"miembros": [{"member": {"id": "5", "displayName": "A", "countryName": "", "countryCode": "ESP"}, "overallRanking": {"position": 1, "totalValue": 9.5, "trend": "UP"}}, {"member": {"id": "6", "countryName": "Italy"}}, {}]}',), ("{broken",), (None,)], "json string")
+    assert rows(club_rows(raw), "uefa_club_id", "uefa_nombre", "uefa_ranking", "uefa_coeficiente") == [("5", "A", 1, 9.5), ("6", None, None, None), (None, None, None, None)]
+    assert rows(association_rows(raw), "pais", "pais_codigo", "pais_ranking_uefa") == [("A", "ESP", 1), ("Italy", None, None), (None, None, None)]
+
+
+def test_the_resolver_loses_nothing_that_the_ratio_allows(spark):
+    import itertools
+    import random
+
+    from pampero.operators.resolve import common_run, grams
+
+    r = random.Random(5)
+    words = ["internazionale", "deportivo alaves", "sparta praha", "olympique lyonnais", "real"]
+    base = {w for x in words for w in {x, *("".join(c for i, c in enumerate(x) if i != k) for k in range(len(x))), *(x[:k] + "qx"[k % 2] + x[k + 1 :] for k in range(len(x)))}}
+    base = sorted(base, key=lambda _: r.random())[:70]
+    for near in (0.82, 0.93):
+        n = common_run(near)
+        for a, b in itertools.combinations(base, 2):
+            m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+            if m.ratio() >= near:
+                assert max(x.size for x in m.get_matching_blocks()) >= n, (a, b)
+    names = spark.createDataFrame([(x, None, x.split()) for x in base], "id string, block string, tokens array<string>")
+    aliases = spark.createDataFrame([(x, i, "z", x.split()) for i, x in enumerate(words)], "destino string, pos int, block string, tokens array<string>")
+    got = {x["id"]: x["destino"] for x in resolve(names, aliases).collect()}
+    for a in base:
+        best = max((difflib.SequenceMatcher(None, a, w, autojunk=False).ratio(), -i, w) for i, w in enumerate(words))
+        assert got[a] == (a if a in words else best[2] if best[0] >= 0.93 else None)
+    g = spark.createDataFrame([("abcab",), ("ab",), ("",), (None,)], "t string").select(grams(F.col("t"), 3))
+    assert [x[0] for x in g.collect()] == [["abc", "bca", "cab"], ["ab"], [""], [None]]  # a null meets nothing in a join
+
+
+def test_catalogue_and_homonyms(spark):
+    from pampero.operators.resolve import catalogue, match_coverage, pick_homonym
+
+    al = spark.createDataFrame([("a", 1, "x", ["alfa"]), ("b", 2, "x", ["beta", "norte"]), ("c", 3, "x", ["gama"])], "destino string, pos int, block string, tokens array<string>")
+    src = spark.createDataFrame([("1", 1, "x", ["alfa"], ["otro"]), ("1", 9, "x", ["gama"], ["gama"]), ("2", 2, "x", ["zzz"], ["beta", "norte"]), ("3", 3, "x", ["alfa"], []), ("4", 4, "x", ["qqq"], ["www"]), ("5", 5, "x", ["gama"], [])], "id string, orden int, block string, tokens array<string>, otros_tokens array<string>")
+    ranks = spark.createDataFrame([("a", 30), ("b", 2), ("c", None)], "destino string, puesto int")
+    cat, rest = catalogue(src, al, ranks)
+    assert [tuple(x) for x in cat.select("id", "destino", "metodo", "lugar").collect()] == [("2", "b", "exacto", 2), ("1", "a", "exacto", 30), ("5", "c", "exacto", 10_000)]
+    assert rows(rest) == [("3", "duplicado:exacto"), ("4", "sin_match")]
+    assert rows(catalogue(src, al, ranks, 10)[0], "id") == [("2",)] and tuple(match_coverage(cat, rest).first()) == (3, 1, 0.75)
+    c = spark.createDataFrame([("p", "x", ["a"], ["b"], ["c"], 9.0, 0), ("p", "y", ["b", "z"], ["b"], ["c"], 1.0, 1), ("q", "x", None, ["b"], None, None, 0), ("r", "x", [], ["b"], ["c"], 1.0, 0), ("r", "y", ["k"], [], ["c"], 1.0, 1), ("s", "x", ["c"], ["b"], ["c"], 0.0, 0), ("s", "y", ["k"], ["b"], ["c"], 5.0, 1)], "g string, candidato string, equipo array<string>, destino array<string>, origen array<string>, puntos_fuente double, pos int")
+    assert rows(pick_homonym(c, ["g"])) == [("p", "y", "club_destino", 2), ("q", "x", "unica_sugerencia", 1), ("r", "x", "primera_sugerencia", 2), ("s", "x", "club_origen", 2)]
+
+
+def test_exact_quantiles_and_running_totals(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    data = [(g, float(v)) for g, n in (("a", 3000), (None, 40), ("b", 1), ("c", 2)) for v in np.round(r.exponential(20, n), 1)] + [("a", None), ("a", float("nan"))]
+    df = spark.createDataFrame(data, "g string, v double")
+    at = [0.0, 0.1, 1 / 3, 0.5, 0.99, 1.0]
+    got = {(x["g"], x["q"]): x["valor"] for x in st.quantiles(df, ["g"], F.col("v"), at).collect()}
+    for g in ("a", None, "b", "c"):
+        x = [v for k, v in data if k == g and v is not None and v == v]
+        for q in at:
+            assert got[g, q] == pytest.approx(np.quantile(x, q))
+    assert st.quantiles(df.limit(0), ["g"], F.col("v"), at).count() == 0 and st.quantiles(df.limit(0), [], F.col("v"), at).count() == 0
+    n = spark.range(500).select((F.col("id") % 3).alias("g"), "id", F.lit(1).alias("c"))
+    assert n.count() == st.running(n, ["g"], [F.desc("id")], ["c"]).where("upto_c = cast((499 - id) / 3 as int) + 1").count()
+    bins = st.quantile_bins(df, "v", ["x", "y", "z"], "t")
+    assert bins.where("v is null or isnan(v)").where("t is not null").count() == 0 and bins.where("t is null").count() == 2
+    assert st.quantile_bins(df.limit(0), "v", ["x", "y"], "t").count() == 0
+
+
+def test_shuffles_folds_and_gate_checks(spark):
+    from pampero.operators import quality as ql
+
+    df = spark.range(400).select("id", (F.col("id") * 2).alias("a"), (F.col("id") * 3).alias("b"), (F.col("id") % 10 == 0).alias("t"))
+    one, same, other = (sorted(map(tuple, ev.permuted_block(df, "id", ["a", "b"], s).collect())) for s in ("1", "1", "2"))
+    assert one == same != other and all(x[1] * 3 == x[2] * 2 for x in one) and sorted(x[1] for x in one) == [2 * i for i in range(400)]
+    per = ev.stratified_rows(df, "id", F.col("t"), 4).groupBy("fold").agg(F.count_if("t").alias("p"), F.count("*").alias("n")).collect()
+    assert len(per) == 4 and all(5 <= x["p"] <= 15 and 80 <= x["n"] <= 120 for x in per)
+    t = spark.createDataFrame([("x", 5, True, None), ("y", None, None, None)], "k string, r int, f boolean, e string")
+    checks = [*ql.empty_columns(["k", "e"]), ql.columns_at_least(t, 6), ql.missing_columns(t, ["k", "zz"]), ql.unmapped("mapa", F.col("k"), {"x": 1}), ql.same_flag("bandera", F.col("f"), F.col("r") <= 3)]
+    assert dict(rows(report(t, checks))) == {"columna_vacia:k": 0, "columna_vacia:e": 1, "columnas_minimas": 2, "columnas_que_faltan": 1, "mapa": 1, "bandera": 1}
+
+
+def _values(cells):
+    return tuple(None if v is None else "nan" if isinstance(v, float) and math.isnan(v) else float(f"{v:.6g}") if isinstance(v, float) else float(v) if type(v).__name__ == "Decimal" else v for v in cells)
+
+
+def test_every_query_equals_its_sql(spark):
+    """Rows, columns and values of all queries of the core beside their SQL."""
     import duckdb
+    from collections import Counter
 
     from pampero.plans import catalogue
 
@@ -117,11 +229,14 @@ def test_queries_and_sql_have_the_same_columns(spark):
         pytest.skip("no test data")
     for p in os.listdir(d):
         con.sql(f"create view {p[:-8]} as select * from '{d}/{p}'")
-    for name in ("season_rates", "quality_report", "p1_found", "p6_found", "eta_squared", "later_departure"):
-        df, want = catalogue.QUERIES[name](spark, d), con.sql(catalogue.SQL[name])
-        assert sorted(df.columns) == sorted(want.columns)
-        assert df.count() == len(want.fetchall())
-    assert set(catalogue.SQL) <= set(catalogue.QUERIES)
+    assert set(catalogue.SQL) <= set(catalogue.QUERIES) and len(catalogue.SQL) > 100
+    for name, sql in catalogue.SQL.items():
+        df, want = catalogue.QUERIES[name](spark, d), con.sql(sql)
+        cols = sorted(df.columns)
+        assert cols == sorted(want.columns), name
+        there = [want.columns.index(c) for c in cols]
+        got = Counter(_values(r[c] for c in cols) for r in df.collect())
+        assert got == Counter(_values(r[i] for i in there) for r in want.fetchall()), name
 
 
 def test_core_stands_without_the_llm_subpackage():

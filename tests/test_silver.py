@@ -49,3 +49,15 @@ def test_destination_is_the_club_of_the_history(spark, silver):
     p = spark.read.parquet(f"{D}/plata.parquet").select(plain_digits(F.col("operacion_id")).alias("operacion_id"), F.col("es_destino_top_20").alias("dicho"), F.col("club_destino_pais").alias("pais")).where("dicho is not null").dropDuplicates(["operacion_id"])
     both = silver.join(p, "operacion_id")
     assert both.count() > 1000 and both.where("club_destino_pais <> pais").count() == 0
+
+
+def test_the_detail_stands_before_the_summary(spark, tmp_path):
+    import json
+
+    from pampero.plans.silver import player_metrics
+
+    block = lambda *kv: {"items": [{"title": k, "statValue": v} for k, v in kv]}
+    doc = [{"seasonName": "2024/2025", "tournaments": [{"name": "L", "topStatCards": block(("Goals", 3), ("Rating", "7.1"), ("Bad", "x")), "statsSection": {"items": [{"title": "A", **block(("Goals", 4))}]}}, {"name": "C", "topStatCard": block(("Goals", 2), ("Rating", 6.1))}]}]
+    spark.createDataFrame([(1, "9", json.dumps(doc), "2025-01-01"), (2, "9", "[]", "2024-01-01")], "registro_id bigint, jugador_fotmob_id string, statseasons string, t string").selectExpr("*", "cast(t as timestamp) extraido_el").write.parquet(str(tmp_path / "fotmob.parquet"))
+    got = {r["metrica"]: r["valor"] for r in player_metrics(spark, str(tmp_path)).collect()}
+    assert got == {"stat_goals": 6.0, "stat_rating": 6.6}
