@@ -63,7 +63,7 @@ def _matrix(batch: pa.RecordBatch, column: int, width: int) -> np.ndarray:
     return np.asarray(flat, dtype=float).reshape(-1, width)
 
 
-def impute(df: DataFrame, plan: Plan, rank: int = 6, iterations: int = 15, ridge: float = 6.0, seed: int = 7) -> DataFrame:
+def impute(df: DataFrame, plan: Plan, rank: int = 6, iterations: int = 15, ridge: float = 6.0, seed: int = 7, settled: float = 0.001) -> DataFrame:
     """Every column of ``df`` with the planned numeric and categorical ones filled, and ``<name>_imputado`` beside each.
 
     Records and features form one matrix of standardised cells (numbers, flags, one cell per
@@ -71,6 +71,8 @@ def impute(df: DataFrame, plan: Plan, rank: int = 6, iterations: int = 15, ridge
     regressions: an iteration is one pass over the encoded records, in which each task solves its
     rows and adds up, per feature, the normal equations; those sums, features x rank^2/2 numbers
     however many records there are, give the feature factors. Nothing else reaches the driver.
+    It ends after ``iterations``, or once an iteration makes the squared residual less by no more
+    than the share ``settled``.
 
     A filled number is taken back to its scale, rounded if whole and held to its bounds; a filled
     level is the one of greatest estimate. Cells with a usable value keep it. A cell counts as
@@ -89,7 +91,7 @@ def impute(df: DataFrame, plan: Plan, rank: int = 6, iterations: int = 15, ridge
     mean = np.array([sums[f"m{i}"] or 0.0 for i in range(width)])
     std = np.array([sums[f"s{i}"] or 1.0 for i in range(width)])
     upper = np.triu_indices(rank)
-    names_out = ["j", *[f"a{i}" for i in range(len(upper[0]))], *[f"b{i}" for i in range(rank)], "n"]
+    names_out = ["j", *[f"a{i}" for i in range(len(upper[0]))], *[f"b{i}" for i in range(rank)], "e"]
     schema = "j int, " + ", ".join(f"{n} double" for n in names_out[1:])
     factors = np.random.default_rng(seed).normal(0, 0.3, (width, rank))
 
@@ -103,12 +105,14 @@ def impute(df: DataFrame, plan: Plan, rank: int = 6, iterations: int = 15, ridge
                 u = _solve(x, v, ridge)
                 seen = (~np.isnan(x)).astype(float)
                 total[:, : len(upper[0])] += seen.T @ (u[:, upper[0]] * u[:, upper[1]])
-                total[:, len(upper[0]) : -1] += np.where(seen > 0, x, 0.0).T @ u
-                total[:, -1] += seen.sum(0)
+                x = np.where(seen > 0, x, 0.0)
+                total[:, len(upper[0]) : -1] += x.T @ u
+                total[:, -1] += (seen * (x - u @ v.T) ** 2).sum(0)
             yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), *[pa.array(total[:, i]) for i in range(total.shape[1])]], names=names_out)
 
         return run
 
+    residual = float("inf")
     for _ in range(iterations):
         rows = base.select(xs).mapInArrow(sums_of(factors), schema).groupBy("j").agg(*[F.sum(n).alias(n) for n in names_out[1:]]).collect()
         for r in rows:
@@ -116,6 +120,10 @@ def impute(df: DataFrame, plan: Plan, rank: int = 6, iterations: int = 15, ridge
             left[upper] = [r[f"a{i}"] for i in range(len(upper[0]))]
             left = left + np.triu(left, 1).T + 0.1 * np.eye(rank)
             factors[r["j"]] = np.linalg.solve(left, [r[f"b{i}"] for i in range(rank)])
+        now = sum(r["e"] for r in rows)
+        if not rows or residual - now <= settled * residual < float("inf"):
+            break
+        residual = now
 
     def estimate(batches):
         for batch in batches:
