@@ -40,11 +40,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", shortcuts: int = 2)
     return parent.select("node", F.col("parent").alias("component"))
 
 
-def pairs_within(members: DataFrame, node: str, component: str) -> DataFrame:
-    """Every pair of different nodes of a component, smaller first: only where pairs are the result asked for."""
+def pairs_within(members: DataFrame, node: str, component: str, block: int = 1_000) -> DataFrame:
+    """Every pair of different nodes of a component, smaller first: only where pairs are the result asked for.
+
+    A component is cut by hash into blocks of about ``block`` nodes and each pair of blocks is a
+    key of its own, so the pairs of a very large one are made by many tasks.
+    """
     m = members.select(F.col(node).alias("n"), F.col(component).alias("c")).distinct()
     # components of one have no pairs and needn't be shuffled twice
-    many = m.groupBy("c").count().where("count > 1").select("c")
-    kept = m.join(many, "c")
-    x, y = kept.select("c", F.col("n").alias("a")), kept.select("c", F.col("n").alias("b"))
-    return x.join(y, "c").where("a < b").select("a", "b")
+    many = m.groupBy("c").count().where("count > 1").select("c", F.ceil(F.col("count") / block).alias("k"))
+    kept = m.join(many, "c").withColumn("own", F.pmod(F.xxhash64("n"), "k"))
+    first = kept.select("c", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("k") - 1)).alias("j"), F.col("n").alias("x"))
+    second = kept.select("c", F.explode(F.sequence(F.lit(0).cast("bigint"), "own")).alias("i"), F.col("own").alias("j"), F.col("n").alias("y"))
+    return first.join(second, ["c", "i", "j"]).where("i <> j or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

@@ -406,12 +406,8 @@ def profile(text: str) -> Column:
     return run(text)
 
 
-def match_people(people: DataFrame, window: int = 12, least: float = 0.77) -> DataFrame:
-    """One-to-one ``a``, ``b``, ``confianza`` of people given as side, ent, nombre (tokens), paises (by '|'), nacido, altura, pie, rol.
-
-    Missing attributes count neither for nor against; entities without a name or a counterpart of
-    at least ``least`` stay alone; several rows of an entity are several records of it.
-    """
+def people_records(people: DataFrame) -> DataFrame:
+    """Numbered records of people with sort keys and codes for the neighbourhood."""
     known = ("paises", "pie", "rol")
     people = people.where("nombre <> '' and ent is not null").select("side", "ent", "nombre", "nacido", "altura", *[F.coalesce(c, F.lit("")).alias(c) for c in known])
     tokens = F.split("nombre", " ")
@@ -430,19 +426,40 @@ def match_people(people: DataFrame, window: int = 12, least: float = 0.77) -> Da
     land = lambda i: F.pmod(F.xxhash64(F.get(F.col("lands"), F.lit(i))), F.lit(1 << 40)).cast("double")
     base = people.select("side", "ent", "nombre", lands.alias("lands"), F.col("nacido").cast("double").alias("nacido"), F.col("altura").cast("double").alias("altura"), code("pie").alias("pie_c"), code("rol").alias("rol_c"), keys.alias("keys")).distinct()
     n = F.size("lands")
-    records = written(base.select(F.monotonically_increasing_id().alias("rid"), "*", F.when(n > 0, land(0)).alias("l0"), F.when(n > 1, land(1)).alias("l1"), (n > 2).cast("double").alias("more")), "mt-people")
+    return written(base.select(F.monotonically_increasing_id().alias("rid"), "*", F.when(n > 0, land(0)).alias("l0"), F.when(n > 1, land(1)).alias("l1"), (n > 2).cast("double").alias("more")), "mt-people")
 
-    def possible(x: dict, y: dict) -> np.ndarray:
-        known = ~np.isnan(x["l0"]) & ~np.isnan(y["l0"])
-        shared = (x["l0"] == y["l0"]) | (x["l0"] == y["l1"]) | (x["l1"] == y["l0"]) | (x["l1"] == y["l1"]) | (x["more"] + y["more"] > 0)
-        return people_confidence(1.0, np.where(known, shared.astype(float), np.nan), x, y) >= least - 1e-9
 
-    def score(f: pd.DataFrame) -> np.ndarray:
-        known = (f["x_lands"].map(len) > 0).to_numpy() & (f["y_lands"].map(len) > 0).to_numpy()
-        shared = np.fromiter((not set(p).isdisjoint(q) for p, q in zip(f["x_lands"], f["y_lands"])), bool, len(f))
-        sides = [{c: f[f"{s}_{c}"].to_numpy(dtype=float) for c in ("nacido", "altura", "pie_c", "rol_c")} for s in "xy"]
-        name = _likeness(name_likeness, f["x_nombre"], f["y_nombre"])
-        return np.where(name > 0, people_confidence(name, np.where(known, shared.astype(float), np.nan), *sides), 0.0)
-
-    near = neighbours(records, "keys", ["l0", "l1", "more", "nacido", "altura", "pie_c", "rol_c"], possible, window)
-    return assign(scored(near, records, ["nombre", "lands", "nacido", "altura", "pie_c", "rol_c"], score, least))
+def possible_people(x: dict, y: dict, least: float) -> np.ndarray:
+    """Which pairs would reach a confidence if their names were equal, by their codes."""
+    known = ~np.isnan(x["l0"]) & ~np.isnan(y["l0"])
+    shared = (x["l0"] == y["l0"]) | (x["l0"] == y["l1"]) | (x["l1"] == y["l0"]) | (x["l1"] == y["l1"]) | (x["more"] + y["more"] > 0)
+    return people_confidence(1.0, np.where(known, shared.astype(float), np.nan), x, y) >= least - 1e-9
+
+
+def score_people(f: pd.DataFrame) -> np.ndarray:
+    """Confidence of a batch of pairs."""
+    known = (f["x_lands"].map(len) > 0).to_numpy() & (f["y_lands"].map(len) > 0).to_numpy()
+    shared = np.fromiter((not set(p).isdisjoint(q) for p, q in zip(f["x_lands"], f["y_lands"])), bool, len(f))
+    sides = [{c: f[f"{s}_{c}"].to_numpy(dtype=float) for c in ("nacido", "altura", "pie_c", "rol_c")} for s in "xy"]
+    name = _likeness(name_likeness, f["x_nombre"], f["y_nombre"])
+    return np.where(name > 0, people_confidence(name, np.where(known, shared.astype(float), np.nan), *sides), 0.0)
+
+
+#: What tells at once that two people can't be one, and what their confidence is made of.
+CODES = ["l0", "l1", "more", "nacido", "altura", "pie_c", "rol_c"]
+PEOPLE = ["nombre", "lands", "nacido", "altura", "pie_c", "rol_c"]
+
+
+def people_pairs(records: DataFrame, window: int, least: float) -> DataFrame:
+    """All pairs of the neighbourhood with at least a confidence, before the assignment."""
+    near = neighbours(records, "keys", CODES, lambda x, y: possible_people(x, y, least), window)
+    return scored(near, records, PEOPLE, score_people, least)
+
+
+def match_people(people: DataFrame, window: int = 12, least: float = 0.77) -> DataFrame:
+    """One-to-one ``a``, ``b``, ``confianza`` of people given as side, ent, nombre (tokens), paises (by '|'), nacido, altura, pie, rol.
+
+    Missing attributes count neither for nor against; entities without a name or a counterpart of
+    at least ``least`` stay alone; several rows of an entity are several records of it.
+    """
+    return assign(people_pairs(people_records(people), window, least))

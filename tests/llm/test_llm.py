@@ -42,7 +42,10 @@ def test_components_edges_with_nulls_and_none(spark):
     assert rows(components(df)) == [(1, 1), (2, 2), (3, 3), (4, 3)]
     assert components(df.limit(0)).count() == 0
     m = spark.createDataFrame([(1, "x"), (2, "x"), (2, "x"), (3, "y"), (5, "x")], "n int, c string")
-    assert rows(pairs_within(m, "n", "c")) == [(1, 2), (1, 5), (2, 5)]
+    assert rows(pairs_within(m, "n", "c")) == rows(pairs_within(m, "n", "c", 1)) == [(1, 2), (1, 5), (2, 5)]
+    big = spark.range(60).select("id", F.lit("x").alias("c"))
+    got = pairs_within(big, "id", "c", 7)
+    assert got.count() == got.distinct().count() == got.where("a < b").count() == 60 * 59 // 2
 
 
 @settings(max_examples=200, deadline=None)
