@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pampero.session import written
+
 
 def canonical_hash(values: list[Column]) -> Column:
     """SHA-256 of the values as text; a null has a mark of its own, so null and empty differ."""
@@ -31,10 +33,11 @@ def snapshot_changes(df: DataFrame, snapshot: Column, key: Column, latest_by: li
     base = df.select(snapshot.alias("_s"), key.alias("_k"), F.struct(*latest_by).alias("_o"), F.struct(*[compared[n].alias(n) for n in names]).alias("_v")).where("_s is not null and _k is not null")
     kept = base.groupBy("_s", "_k").agg(F.max_by("_v", "_o").alias("_v"))
     values = [(derived or {}).get(n, lambda c: c)(F.col(f"_v.{n}")) for n in names]
-    rows = kept.select("_s", "_k", canonical_hash(values).alias("_h"))
+    # both sides of the join read them: hashed once
+    rows = written(kept.select("_s", "_k", canonical_hash(values).alias("_h")), "snapshots")
     # one row per snapshot: the window sees as many rows as there were deliveries
     whole = Window.orderBy("_s")
-    dates = base.select("_s").distinct().select("_s", F.lead("_s").over(whole).alias("_next"), F.lag("_s").over(whole).alias("_prev"))
+    dates = rows.select("_s").distinct().select("_s", F.lead("_s").over(whole).alias("_next"), F.lag("_s").over(whole).alias("_prev"))
     before = rows.join(dates.where("_next is not null").select("_s", "_next"), "_s").select(F.col("_next").alias("_s"), "_k", F.col("_h").alias("hash_before"))
     after = rows.join(dates.where("_prev is not null").select("_s"), "_s").select("_s", "_k", F.col("_h").alias("hash_after"))
     change = F.when(F.col("hash_before").isNull(), "alta").when(F.col("hash_after").isNull(), "baja").when(F.col("hash_before") != F.col("hash_after"), "cambio")
