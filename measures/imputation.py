@@ -50,7 +50,7 @@ def run(df: DataFrame, field: str, tenth: int, setting: dict) -> tuple[float, fl
         overall = known.agg(F.percentile(field, F.lit(0.5))).first()[0]
         by_role = known.groupBy(F.col("grupo_posicion").alias("_g")).agg(F.percentile(field, F.lit(0.5)).alias("_m"))
     filled = impute(rest, model_plan(), **setting).where("_hide")
-    got = written(filled.select("grupo_posicion", field, "_truth"), "measure")
+    got = written(filled.select(field, "_truth"), "measure")
     base = got.withColumn("_b", F.lit(overall))
     grouped = error(field, marked.where("_hide").join(by_role, F.col("grupo_posicion").eqNullSafe(F.col("_g")), "left").withColumn("_b", F.coalesce("_m", F.lit(overall))), "_b") if by_role is not None else error(field, base, "_b")
     return error(field, got, field), error(field, base, "_b"), grouped

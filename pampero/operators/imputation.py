@@ -63,7 +63,7 @@ def _matrix(batch: pa.RecordBatch, column: int, width: int) -> np.ndarray:
     return np.asarray(flat, dtype=float).reshape(-1, width)
 
 
-def impute(df: DataFrame, plan: Plan, rank: int = 6, iterations: int = 15, ridge: float = 6.0, seed: int = 7, settled: float = 0.001) -> DataFrame:
+def impute(df: DataFrame, plan: Plan, rank: int = 4, iterations: int = 15, ridge: float = 2.0, seed: int = 7, settled: float = 0.001) -> DataFrame:
     """Every column of ``df`` with the planned numeric and categorical ones filled, and ``<name>_imputado`` beside each.
 
     Records and features form one matrix of standardised cells (numbers, flags, one cell per
