@@ -99,7 +99,7 @@ def consolidate(spark: SparkSession, d: str, seasons: list[str] | None = None, t
     pages = table(spark, d, "bronce").withColumn("temporada", partition_value(F.col("ruta_tm_altas"), "temporada")).withColumn("club", partition_value(F.col("ruta_tm_altas"), "club"))
     if seasons:
         pages = pages.where(F.col("temporada").isin(seasons))
-    rows = parsed_pages(pages).join(pages.select("archivo_id", "temporada", F.col("club").alias("club_destino_id"), "aterrizado_el"), "archivo_id")
+    rows = parsed_pages(pages.withColumn("club_destino_id", F.col("club")), ["temporada", "club_destino_id", "aterrizado_el"])
     euros, kind = operation(F.col("coste_fichaje_texto"))
     signings = rows.withColumn("coste_fichaje_eur", euros).withColumn("tipo_operacion", kind).where(~F.col("tipo_operacion").isin(NO_SIGNING))
     kept = written(keep_one(signings, ["operacion_id"], [F.col("aterrizado_el"), F.col("archivo_id")]), "silver-rows")

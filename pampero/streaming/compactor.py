@@ -16,18 +16,21 @@ TARGET_BYTES = 128 << 20
 ARRIVALS = "archivo_id bigint, " + ", ".join(f"{f} {'int' if f == 'edad_al_fichaje' else 'string'}" for f in FIELDS)
 
 
-def parsed_pages(pages: DataFrame) -> DataFrame:
-    """One row per closed arrival row of each page (``archivo_id``, ``html``); pages without any give none."""
+def parsed_pages(pages: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """One row per closed arrival row of each page (``archivo_id``, ``html``), with the page's ``carried`` columns; pages without any give none."""
+    carried = carried or []
+    kinds = [pa.int32() if f == "edad_al_fichaje" else pa.string() for f in FIELDS]
 
     def run(batches):
         for batch in batches:
-            out = [(i, *row) for i, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for row in arrivals(page)]
-            if out:
-                cols = list(zip(*out))
-                types = [pa.int64(), *[pa.int32() if f == "edad_al_fichaje" else pa.string() for f in FIELDS]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["archivo_id", *FIELDS])
-
-    return pages.select(F.col("archivo_id").cast("bigint"), "html").mapInArrow(run, ARRIVALS)
+            found = [(i, row) for i, page in enumerate(batch.column(1).to_pylist()) for row in arrivals(page)]
+            if found:
+                at = pa.array([i for i, _ in found], pa.int64())
+                fields = [pa.array(c, t) for c, t in zip(zip(*(row for _, row in found)), kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *fields, *[batch.column(2 + k).take(at) for k in range(len(carried))]], names=["archivo_id", *FIELDS, *carried])
+
+    schema = ARRIVALS + "".join(f", `{c}` {pages.schema[c].dataType.simpleString()}" for c in carried)
+    return pages.select(F.col("archivo_id").cast("bigint"), "html", *carried).mapInArrow(run, schema)
 
 
 def first_of_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
