@@ -94,14 +94,22 @@ def numbered(ws: list[str], numbers: dict[str, tuple[int, int]]) -> np.ndarray:
 
 
 def rolled(columns: list[np.ndarray], width: int) -> np.ndarray:
-    """A hash of every window of ``width`` places over one or more sequences."""
-    n = max(0, len(columns[0]) - width + 1)
-    h = np.zeros(n, np.uint64)
+    """A hash of every window of ``width`` places over one or more sequences: a polynomial over mixed numbers, built from windows of half the width."""
+    seq = np.zeros(len(columns[0]), np.uint64)
     with np.errstate(over="ignore"):
-        for seq, seed in zip(columns, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
-            for k in range(width):
-                h = (h ^ (seq[k : k + n] * np.uint64(seed))) * np.uint64(0x100000001B3) + (h >> np.uint64(29))
-    return h
+        for col, seed in zip(columns, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+            x = (col + np.uint64(1)) * np.uint64(seed)
+            seq += x ^ (x >> np.uint64(31))
+        base, power, done, out, size = 0x100000001B3, seq, 0, None, 1
+        while width >> (size.bit_length() - 1):
+            if width & size:
+                n = max(0, len(seq) - done - size + 1)
+                out = power[:n] if out is None else out[:n] * np.uint64(pow(base, size, 1 << 64)) + power[done : done + n]
+                done += size
+            n = max(0, len(power) - size)
+            power = power[:n] * np.uint64(pow(base, size, 1 << 64)) + power[size : size + n]
+            size *= 2
+    return out
 
 
 def _laid(parts: list[np.ndarray]) -> Windows:

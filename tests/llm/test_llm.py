@@ -232,6 +232,20 @@ def test_items_in_many_blocks_and_one_scan(spark):
     assert leaks(df, "k", "t", it, "q", "t", block_words=100)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
 
 
+def test_windows_are_equal_where_their_words_are():
+    from pampero.llm.leaks import rolled
+
+    r = np.random.default_rng(0)
+    for n, width in ((200, 3), (200, 15), (40, 8), (5, 15), (15, 15), (0, 3), (400, 1)):
+        x, y = (r.integers(0, 3, n).astype(np.uint64) for _ in range(2))
+        h = rolled([x, y], width)
+        assert len(h) == max(0, n - width + 1)
+        seen = {}
+        for i, v in enumerate(h.tolist()):
+            assert seen.setdefault(v, (x[i : i + width].tolist(), y[i : i + width].tolist())) == (x[i : i + width].tolist(), y[i : i + width].tolist())
+        assert len(seen) == len({(*x[i : i + width].tolist(), *y[i : i + width].tolist()) for i in range(len(h))})
+
+
 def test_a_document_that_repeats_an_item_many_times():
     ws = words(ITEM) * 300
     assert [m[:3] for m in matches_of(ws, build_index([(1, ITEM)], 3))] == [(0, "pasaje", len(words(ITEM)))]
