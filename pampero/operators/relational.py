@@ -103,3 +103,8 @@ def name_forms(words: Column) -> Column:
     """A name's forms to try in turn: whole, first and last word, last word; folded case, each once."""
     whole, ends, last = F.array_join(words, " "), F.concat_ws(" ", words[0], F.element_at(words, -1)), F.element_at(words, -1)
     return F.array_distinct(F.transform(F.array(whole, ends, last), F.lower))
+
+
+def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """``df`` with columns in the kinds of a contract; a value that isn't of the kind is missing, columns that aren't there are passed over."""
+    return df.select(*[F.col(f"`{c}`").try_cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in df.columns])

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pampero.functions.text import fold_text, plain_date, plain_digits
 from pampero.operators.nested import flat_table, occurrences, stored
-from pampero.operators.relational import first_match, flag, keep_one, recode
+from pampero.operators.quality import Check, empty_columns, report, rows_where, same_flag
+from pampero.operators.relational import first_match, flag, keep_one, recode, typed
 from pampero.operators.resolve import RESERVE, name_tokens, resolve
+from pampero.operators.stats import one_row
 from pampero.plans.datasets import ARRAY_KEYS
 from pampero.session import table, written
 from pampero.sources.bronze import partition_value
@@ -23,6 +25,8 @@ COLUMNS = {c: [c] for c in "stat_aerials_won_% stat_assists stat_big_chances_cre
 COUNTRIES = {"czech republic": "czechia", "bosnia herzegovina": "bosnia and herzegovina", "ireland": "republic of ireland", "monaco": "france", "turkey": "turkiye"}
 #: Codes of the five great leagues (fixed values).
 TOP5 = ["GB1", "ES1", "IT1", "L1", "FR1"]
+#: Kinds of the columns that the contract names (fixed values).
+KINDS = dict.fromkeys(["edad_al_fichaje", "altura_cm", "club_destino_ranking_uefa", "club_origen_ranking_uefa", "salto_ranking_uefa"], "int") | {"coste_fichaje_eur": "bigint"} | dict.fromkeys(["es_destino_top_20", "club_origen_es_europeo", "club_origen_es_top_20", "club_origen_es_top_50", "club_origen_liga_es_top5", "club_origen_es_filial", "traspaso_domestico", "tiene_historial", "cruce_dudoso"], "boolean")
 #: Operations that are no signing: a player who returns to the own club (fixed values).
 NO_SIGNING = ["fin_de_cesion"]
 
@@ -43,6 +47,23 @@ def operation(text: Column) -> tuple[Column, Column]:
     return F.when(kind.isin("compra", "cesion_con_cargo"), euros), kind
 
 
+def arrival_rows(spark: SparkSession, d: str, seasons: list[str] | None = None) -> DataFrame:
+    """Every arrival row of every page: what the page says, its destination and season, the fee and kind, and what the origin is.
+
+    Pages of other seasons are left out before they are parsed. Rows of all kinds and repeated
+    ones stay; see ``compact_arrivals`` for each operation once.
+    """
+    pages = table(spark, d, "bronce").withColumn("temporada", partition_value(F.col("ruta_tm_altas"), "temporada")).withColumn("club_destino_id", partition_value(F.col("ruta_tm_altas"), "club"))
+    if seasons:
+        pages = pages.where(F.col("temporada").isin(seasons))
+    rows = parsed_pages(pages, ["temporada", "club_destino_id", "aterrizado_el"])
+    euros, kind = operation(F.col("coste_fichaje_texto"))
+    return rows.withColumns({
+        "coste_fichaje_eur": euros, "tipo_operacion": kind,
+        "club_origen_es_filial": flag(F.col("club_origen").rlike(RESERVE)), "club_origen_liga_es_top5": flag(F.col("club_origen_liga_id").isin(TOP5)),
+    })
+
+
 def _tournament_metrics(spark: SparkSession, d: str) -> DataFrame:
     """jugador_fotmob_id, temporada, metrica, v of every tournament in the newest fetch of a profile."""
     f = table(spark, d, "fotmob")
@@ -96,12 +117,7 @@ def consolidate(spark: SparkSession, d: str, seasons: list[str] | None = None, t
     altura_cm, pie, posicion_fotmob. A player's metrics are those of the season before the signing;
     ``metricas`` holds all of them. Without ``players`` that history is unknown (null).
     """
-    pages = table(spark, d, "bronce").withColumn("temporada", partition_value(F.col("ruta_tm_altas"), "temporada")).withColumn("club", partition_value(F.col("ruta_tm_altas"), "club"))
-    if seasons:
-        pages = pages.where(F.col("temporada").isin(seasons))
-    rows = parsed_pages(pages.withColumn("club_destino_id", F.col("club")), ["temporada", "club_destino_id", "aterrizado_el"])
-    euros, kind = operation(F.col("coste_fichaje_texto"))
-    signings = rows.withColumn("coste_fichaje_eur", euros).withColumn("tipo_operacion", kind).where(~F.col("tipo_operacion").isin(NO_SIGNING))
+    signings = arrival_rows(spark, d, seasons).where(~F.col("tipo_operacion").isin(NO_SIGNING))
     kept = written(keep_one(signings, ["operacion_id"], [F.col("aterrizado_el"), F.col("archivo_id")]), "silver-rows")
     u = table(spark, d, "uefa").withColumn("dia", plain_date(F.col("actualizacion")))
     newest = u.agg(F.max("dia").alias("dia"))
@@ -115,7 +131,7 @@ def consolidate(spark: SparkSession, d: str, seasons: list[str] | None = None, t
     base = kept.withColumns({c: plain_digits(F.col(c)) for c in ("club_destino_id", "club_origen_id", "jugador_tm_id")}).join(targets, "club_destino_id", "left").join(known, "club_origen_id", "left")
     no_league = F.col("club_origen_liga_id").isNull()
     base = base.withColumns({
-        "club_origen_es_filial": flag(F.col("club_origen").rlike(RESERVE)), "club_origen_pais": F.coalesce("club_origen_pais", "pais"),
+        "club_origen_pais": F.coalesce("club_origen_pais", "pais"),
         "club_origen_liga": F.when(no_league, F.coalesce("club_origen_liga", "liga.club_origen_liga")).otherwise(F.col("club_origen_liga")), "club_origen_liga_id": F.coalesce("club_origen_liga_id", "liga.club_origen_liga_id"),
     }).drop("pais", "liga")
     base = written(base, "silver-base")
@@ -135,19 +151,39 @@ def consolidate(spark: SparkSession, d: str, seasons: list[str] | None = None, t
     else:
         history = written(players.join(season_history(spark, d), "jugador_fotmob_id"), "silver-history")
         out = out.join(history, ["jugador_tm_id", "temporada_stats"], "left").withColumn("tiene_historial", F.col("metricas").isNotNull())
-    out = out.crossJoin(F.broadcast(written(newest, "silver-day").select(F.date_format("dia", "yyyy-MM-dd").alias("uefa_actualizado_el"))))
+    # countries of the ranking are European; a handful of rows
+    lands = aliases.select(F.col("block").alias("_land")).where("_land is not null").distinct().withColumn("_eu", F.lit(True))
+    out = out.withColumn("_land", country_key(F.col("club_origen_pais"))).join(lands, "_land", "left")
+    stamp = F.date_format(F.coalesce("dia", F.current_date()), "yyyy-MM-dd")
+    out = one_row(out, written(newest, "silver-day").select(stamp.alias("uefa_actualizado_el")))
     jump = F.col("club_origen_ranking_uefa") - F.col("club_destino_ranking_uefa")
     doubtful = lambda x: flag(F.col(f"_m{x}").startswith("aproximado"))
     method = lambda x: F.coalesce(f"_m{x}", F.lit("sin_nombre"))
-    return out.select(
+    final = out.select(
         "jugador_tm_id", "jugador_fotmob_id", F.col("jugador_nombre").alias("nombre"), "temporada_fichaje", "temporada_stats", "operacion_id", "archivo_id", "coste_fichaje_eur", "tipo_operacion", "coste_fichaje_texto",
         F.coalesce("club_destino", "club_destino_id").alias("club_destino"), "club_destino_id", "club_destino_pais", "club_destino_ranking_uefa", "club_destino_coeficiente_uefa", flag(F.col("club_destino_ranking_uefa") <= tope).alias("es_destino_top_20"),
-        "club_origen", "club_origen_id", "club_origen_es_filial", "club_origen_pais", "club_origen_liga", "club_origen_liga_id", flag(F.col("club_origen_liga_id").isin(TOP5)).alias("club_origen_liga_es_top5"), "club_origen_ranking_uefa", "club_origen_coeficiente_uefa", flag(F.col("club_origen_ranking_uefa") <= tope).alias("club_origen_es_top_20"), flag(F.col("club_origen_ranking_uefa") <= 50).alias("club_origen_es_top_50"),
+        "club_origen", "club_origen_id", "club_origen_slug", "club_origen_es_filial", "club_origen_pais", flag(F.col("_eu")).alias("club_origen_es_europeo"), "club_origen_liga", "club_origen_liga_id", flag(F.col("club_origen_liga_id").isin(TOP5)).alias("club_origen_liga_es_top5"), "club_origen_ranking_uefa", "club_origen_coeficiente_uefa", flag(F.col("club_origen_ranking_uefa") <= tope).alias("club_origen_es_top_20"), flag(F.col("club_origen_ranking_uefa") <= 50).alias("club_origen_es_top_50"),
         flag(F.col("club_origen_pais") == F.col("club_destino_pais")).alias("traspaso_domestico"), jump.alias("salto_ranking_uefa"), (jump > 0).alias("sube_de_categoria"),
         "edad_al_fichaje", "nacionalidad", "nacionalidad_2", "posicion_tm", "posicion_fotmob", "altura_cm", "pie", "tiene_historial",
         method("destino").alias("cruce_destino_metodo"), F.when(F.col("club_origen_es_filial"), "filial").otherwise(method("origen")).alias("cruce_metodo"), (doubtful("destino") | doubtful("origen")).alias("cruce_dudoso"), "uefa_actualizado_el", F.col("aterrizado_el").alias("extraido_el"),
         *[F.coalesce(*[F.col("metricas")[t] for t in titles]).alias(c) for c, titles in COLUMNS.items()], "metricas",
     )
+    return typed(final, KINDS)
+
+
+def gate(wanted: list[str], tope: int = 20) -> list[Check]:
+    """What must hold of the consolidated table beyond its keys and ranges: its columns, its target and its history."""
+    rank = F.col("club_destino_ranking_uefa")
+    return [
+        same_flag("objetivo_sigue_al_ranking", F.col("es_destino_top_20"), rank <= tope), rows_where("destino_sin_ranking", rank.isNull()),
+        same_flag("historial_si_y_solo_si_metricas", F.col("tiene_historial"), F.size("metricas") > 0), rows_where("tipo_excluido", F.col("tipo_operacion").isin(NO_SIGNING)), *empty_columns(wanted),
+    ]
+
+
+def silver_gate(spark: SparkSession, d: str) -> DataFrame:
+    """The gate's report on the consolidated table without players, whose history is then unknown."""
+    df = consolidate(spark, d)
+    return report(df, [c for c in gate(["operacion_id", "club_destino", "club_destino_ranking_uefa", "club_origen", "tipo_operacion"]) if c.name != "historial_si_y_solo_si_metricas"])
 
 
-QUERIES = {"player_metrics": player_metrics, "silver": consolidate}
+QUERIES = {"player_metrics": player_metrics, "arrival_rows": arrival_rows, "silver": consolidate, "silver_gate": silver_gate}

@@ -16,7 +16,7 @@ _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 _TRANSFER = re.compile(r"transfer_id/(\d+)")
 _SPACE = re.compile(r"\s+")
 
-FIELDS = ["jugador_nombre", "jugador_tm_id", "posicion_tm", "edad_al_fichaje", "nacionalidad", "nacionalidad_2", "club_origen", "club_origen_id", "club_origen_pais", "club_origen_liga", "club_origen_liga_id", "coste_fichaje_texto", "operacion_id"]
+FIELDS = ["jugador_nombre", "jugador_tm_id", "posicion_tm", "edad_al_fichaje", "nacionalidad", "nacionalidad_2", "club_origen", "club_origen_id", "club_origen_slug", "club_origen_pais", "club_origen_liga", "club_origen_liga_id", "coste_fichaje_texto", "operacion_id"]
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -64,6 +64,8 @@ def _row(cells: list[str], operation: str) -> tuple:
         league = next((x for x in clubs if "/wettbewerb/" in x.get("href", "")), None)
         if club:
             out["club_origen"], out["club_origen_id"] = club.get("title") or club["_text"] or None, _id_after("verein", club["href"])
+            parts = club["href"].split("/")
+            out["club_origen_slug"] = parts[1] if len(parts) > 2 and parts[1] else None
         if league:
             out["club_origen_liga"], out["club_origen_liga_id"] = league.get("title") or league["_text"] or None, _id_after("wettbewerb", league["href"])
         out["club_origen_pais"] = next(iter(_flags(cells[-2])), None)

@@ -7,7 +7,7 @@ import __spark_entry__
 from pampero.functions.text import plain_digits
 from pampero.operators.quality import report
 from pampero.plans.reference import silver_checks
-from pampero.plans.silver import operation
+from pampero.plans.silver import gate, operation
 
 D = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no test data")
@@ -35,6 +35,23 @@ def test_the_gate_applies_and_history_means_metrics(silver):
     assert silver.where("tiene_historial <> (coalesce(size(metricas), 0) > 0)").count() == 0
 
 
+def test_the_gate_of_target_columns_and_history(silver):
+    wanted = ["operacion_id", "club_destino", "stat_goals"]
+    got = {r["control"]: r["violaciones"] for r in report(silver, gate(wanted)).collect()}
+    assert {k: v for k, v in got.items() if k != "destino_sin_ranking"} == dict.fromkeys([k for k in got if k != "destino_sin_ranking"], 0)
+    assert got["destino_sin_ranking"] == silver.where("club_destino_ranking_uefa is null").count()
+    broken = {r["control"]: r["violaciones"] for r in report(silver.withColumn("es_destino_top_20", F.lit(True)).withColumn("stat_goals", F.lit(None)), gate(wanted)).collect()}
+    assert broken["objetivo_sigue_al_ranking"] > 0 and broken["columna_vacia:stat_goals"] == 1
+    eu = silver.where("club_origen_es_europeo").select("club_origen_pais").distinct().count()
+    assert 0 < eu < silver.select("club_origen_pais").distinct().count() and dict(silver.dtypes)["salto_ranking_uefa"] == "int"
+
+
+def test_arrival_rows_have_all_fields(spark):
+    got = __spark_entry__.queries()["arrival_rows"](spark, "/root/testdata/sf0.001")
+    assert {"club_origen_slug", "club_destino_id", "temporada", "tipo_operacion", "coste_fichaje_eur", "club_origen_es_filial", "club_origen_liga_es_top5"} <= set(got.columns)
+    assert got.where("club_origen_slug is not null and club_destino_id is not null").count() > 0
+
+
 def test_pair_columns_follow_from_both_clubs(silver):
     n = silver.agg(
         F.count_if(F.expr("club_destino_ranking_uefa is not null")).alias("destino"), F.count_if(F.expr("es_destino_top_20")).alias("top"), F.count_if(F.expr("traspaso_domestico")).alias("casa"), F.count_if(F.expr("tiene_historial")).alias("historial"), F.count_if(F.expr("salto_ranking_uefa is not null")).alias("salto"),
