@@ -54,7 +54,13 @@ def _flat(key_condition: str, fields: dict[str, str], keep: str | None = None):
     return query
 
 
-p2_informacion = _flat("clave = 'playerInformation'", {"titulo": "title", "valor": "value"})
+def p2_informacion(spark: SparkSession, d: str) -> DataFrame:
+    """Items of information; a value that is an object or array is ``anidado`` and stands in rows of its own."""
+    got = _flat("clave = 'playerInformation'", {"titulo": "title", "valor": "value"})(spark, d)
+    nested = F.coalesce(F.col("valor").rlike("^#[0-9a-f]{32}$"), F.lit(False))
+    return got.withColumns({"anidado": nested, "valor": F.when(~nested, F.col("valor"))})
+
+
 p2_temporadas = _flat("clave = 'statSeasons'", {"temporada": "seasonName"})
 p2_torneos = _flat("clave = 'tournaments'", {"nombre": "name", "entrada_id": "entryId", "torneo_id": "tournamentId", "detalle": "hasDeepStats"})
 p2_bloques = _flat("clave in ('topStatCards', 'topStatCard', 'statsSection', 'items')", {"titulo": "title"}, "clave <> 'items' or contenido like '%\"items\":#%'")
@@ -121,6 +127,15 @@ _NESTED = f"coalesce(json_type({_ARRAY.format(k=repr('items'), v='(v -> ' + repr
 _ROLES = "('Arquero','Defensor central','Lateral','Mediocampo defensivo','Mediocampo ofensivo','Delantero extremo','Delantero centro')"
 SQL = {
     "p1_found": _P1,
+    "p1_changes": f"""
+with r as (select {_DAY.format('actualizacion')} s, {_ID.format('uefa_club_id')} k, aterrizado_el, fila_id, sha256(concat_ws(chr(31), coalesce('=' || uefa_ranking::varchar, '~'), coalesce('=' || (round(uefa_coeficiente, 3) + 0.0)::double::varchar, '~'),
+             coalesce('=' || regexp_replace(nfc_normalize(uefa_nombre), '[\\s\\x{{00a0}}\\x{{2000}}-\\x{{200d}}\\x{{202f}}\\x{{3000}}\\x{{feff}}]+', '', 'g'), '~'))) h from uefa),
+l as (select * from r where s is not null and k is not null qualify row_number() over (partition by s, k order by aterrizado_el desc nulls last, fila_id desc) = 1),
+dt as (select s, lead(s) over (order by s) nx, lag(s) over (order by s) pv from (select distinct s from l)),
+b as (select dt.nx s, k, h from l join dt using (s) where dt.nx is not null), a as (select l.s, k, h from l join dt on l.s = dt.s where dt.pv is not null)
+select coalesce(a.s, b.s) snapshot, coalesce(a.k, b.k) "key", case when b.k is null then 'alta' when a.k is null then 'baja' else 'cambio' end change, b.h hash_before, a.h hash_after
+from b full join a on a.s = b.s and a.k = b.k where a.h is distinct from b.h""",
+    "p2_informacion": f"{_TREE} select tabla, registro, ruta, padre_ruta, clave, ordinal, v ->> '$.title' titulo, case when coalesce(json_type(v, '$.value'), '') not in ('OBJECT', 'ARRAY') then v ->> '$.value' end valor, coalesce(json_type(v, '$.value') in ('OBJECT', 'ARRAY'), false) anidado from t where json_type(v) = 'OBJECT' and clave = 'playerInformation'",
     "p2_found": f"{_TREE} select tabla, registro, ruta from t where elem",
     "p2_temporadas": _flat_sql("clave = 'statSeasons'", {"temporada": "seasonName"}),
     "p2_torneos": _flat_sql("clave = 'tournaments'", {"nombre": "name", "entrada_id": "entryId", "torneo_id": "tournamentId", "detalle": "hasDeepStats"}),

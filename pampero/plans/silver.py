@@ -10,7 +10,7 @@ from pampero.operators.quality import Check, empty_columns, report, rows_where,
 from pampero.operators.relational import first_match, flag, keep_one, recode, typed
 from pampero.operators.resolve import RESERVE, name_tokens, resolve
 from pampero.operators.stats import one_row
-from pampero.plans.datasets import ARRAY_KEYS
+from pampero.plans.datasets import ARRAY_KEYS, _TREE
 from pampero.session import table, written
 from pampero.sources.bronze import partition_value
 from pampero.streaming.compactor import parsed_pages
@@ -186,4 +186,12 @@ def silver_gate(spark: SparkSession, d: str) -> DataFrame:
     return report(df, [c for c in gate(["operacion_id", "club_destino", "club_destino_ranking_uefa", "club_origen", "tipo_operacion"]) if c.name != "historial_si_y_solo_si_metricas"])
 
 
+_AVERAGED = ", ".join(f"'{c}'" for c in AVERAGED)
+SQL = {
+    "player_metrics": rf"""{_TREE}, f as (select jugador_fotmob_id, max_by(registro_id, (extraido_el, registro_id)) registro from fotmob group by 1),
+s as (select registro, ruta, v ->> '$.seasonName' temporada from t where tabla = 'fotmob' and clave = 'statSeasons' and json_type(v) = 'OBJECT'),
+i as (select registro, regexp_extract(ruta, '^(statSeasons/\d+)', 1) s, regexp_extract(ruta, '^(statSeasons/\d+/tournaments/\d+)', 1) tt, ruta, 'stat_' || lower(replace(v ->> '$.title', ' ', '_')) metrica, try_cast(regexp_replace(v ->> '$.statValue', '%$', '') as double) v from t where tabla = 'fotmob' and clave = 'items' and json_type(v) = 'OBJECT' and v ->> '$.title' is not null),
+o as (select registro, s, tt, metrica, max_by(v, (contains(ruta, '/statsSection/'), ruta)) v from i where v is not null group by all)
+select jugador_fotmob_id, temporada, metrica, round(case when metrica in ({_AVERAGED}) then avg(v) else sum(v) end, 6) valor from o join s on s.registro = o.registro and s.ruta = o.s join f on f.registro = o.registro group by 1, 2, 3""",
+}
 QUERIES = {"player_metrics": player_metrics, "arrival_rows": arrival_rows, "silver": consolidate, "silver_gate": silver_gate}
