@@ -13,6 +13,7 @@ from pampero.llm.residue import residue
 from pampero.llm.splits import assign_splits
 from pampero.llm.tokenizer import encode
 from pampero.operators.relational import keep_one
+from pampero.operators.stats import one_row
 from pampero.plans.silver import consolidate
 from pampero.session import table, written
 
@@ -37,6 +38,16 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return assign_splits(m, "operacion_id", plain_digits(m.jugador_tm_id), _links(spark, d), F.col("es_destino_top_20"), shares)
 
 
+def p3_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, share and share of the positive class of each split, and how many groups stand in more than one (none may)."""
+    split = written(p3_splits(spark, d), "balance")
+    m = table(spark, d, "modelo").select("operacion_id", F.coalesce(F.col("es_destino_top_20").cast("int"), F.lit(0)).alias("p"))
+    both = split.groupBy("componente").agg(F.count_distinct("particion").alias("k")).agg(F.count_if(F.col("k") > 1).alias("grupos_partidos"))
+    per = split.join(m, "operacion_id").groupBy("particion").agg(F.count("*").alias("filas"), F.round(F.avg("p"), 6).alias("positivos"))
+    whole = per.agg(F.sum("filas").alias("todas"))
+    return one_row(one_row(per, whole), both).select("particion", "filas", F.round(F.col("filas") / F.col("todas"), 6).alias("proporcion"), "positivos", "grupos_partidos")
+
+
 def _clubs(spark: SparkSession, d: str) -> DataFrame:
     """Club names of both sources; reserve and youth sides are left out."""
     p, u = table(spark, d, "plata"), table(spark, d, "uefa")
@@ -140,7 +151,7 @@ def p10_reasons(spark: SparkSession, d: str) -> DataFrame:
     return residue(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p4_found, p4_matches, silver, p7_percentiles, p7_by_season, p7_joined, p8_ids, p9_found, p9_passages, p10_found, p10_reasons)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_splits, p3_balance, p4_found, p4_matches, silver, p7_percentiles, p7_by_season, p7_joined, p8_ids, p9_found, p9_passages, p10_found, p10_reasons)}
 
 _ID = r"try_cast(regexp_extract({0}, '^\D*(\d+)(?:\.\d+)?\D*$', 1) as bigint)"
 
@@ -159,4 +170,9 @@ m as (select distinct {_ID.format('jugador_tm_id')} id from modelo)
 select distinct a jugador_tm_id_a, b jugador_tm_id_b from r join m x on r.a = x.id join m y on r.b = y.id where a < b""",
     "p7_percentiles": _quantiles("grupo_posicion"),
     "p7_by_season": _quantiles("grupo_posicion, temporada_fichaje"),
+    "p7_joined": f"""
+with r as (select grupo_posicion g, temporada_fichaje s, stat_minutes v, row_number() over (partition by g, s order by stat_minutes) rn, count(*) over (partition by g, s) n from modelo where stat_minutes is not null and not isnan(stat_minutes)),
+k as (select g, s, v, rn from r where rn % greatest(1, floor(0.01 * n)::bigint) = 0 or rn = n), w as (select g, v, rn - coalesce(lag(rn) over (partition by g, s order by rn), 0) w from k),
+p as (select g, v, sum(w) w from w group by 1, 2), u as (select g, v, sum(w) over (partition by g order by v) upto, sum(w) over (partition by g) n from p)
+select g grupo_posicion, q::double percentil, n::bigint n, min(v) valor, 0.01::double error_rango from u, (select unnest({PERCENTILES}) q) where upto >= greatest(1, ceil(q * n)) group by 1, 2, 3""",
 }

@@ -456,3 +456,27 @@ def test_density_and_context():
     assert rs.reasons("Un gol, dos goles, gol gol gol gol gritó la grada en la tarde de Ana y de Luis.") == []
     code = "`" + "".join(f"{{{{x{i}}}}}" for i in range(60)) + "`"
     assert rs.reasons("{{ name }} `code` and " + code) == ["slot"] and rs.reasons(code) == []
+
+
+def test_balance_of_the_splits_and_sql_by_value(spark):
+    import os
+
+    import duckdb
+
+    from pampero.llm import queries as q
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test data")
+    got = {r["particion"]: r for r in q.QUERIES["p3_balance"](spark, d).collect()}
+    want = dict(rows(spark.read.parquet(f"{d}/particion_objetivo.parquet"), "particion", "proporcion"))
+    assert set(got) == set(want) and all(abs(got[k]["proporcion"] - want[k]) < 0.03 and got[k]["grupos_partidos"] == 0 for k in want)
+    con = duckdb.connect()
+    for p in os.listdir(d):
+        con.sql(f"create view {p[:-8]} as select * from '{d}/{p}'")
+    for name, sql in q.SQL.items():
+        df, want = q.QUERIES[name](spark, d), con.sql(sql)
+        cols = sorted(df.columns)
+        assert cols == sorted(want.columns), name
+        value = lambda r: tuple(float(f"{v:.9g}") if isinstance(v, float) else v for v in r)
+        assert sorted((value(r[c] for c in cols) for r in df.collect()), key=str) == sorted((value(r[want.columns.index(c)] for c in cols) for r in want.fetchall()), key=str), name
