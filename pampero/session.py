@@ -50,7 +50,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Runs the plan once, writes it to the shared folder and reads it back: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._pampero_path = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes the tables behind frames of ``written`` that nothing will read again; other frames are passed over."""
+    for df in frames:
+        path = df.__dict__.pop("_pampero_path", None)
+        if path:
+            made = df.sparkSession.sparkContext.__dict__.get("_pampero_scratch", [])
+            if path in made:
+                made.remove(path)
+            drop_path(df.sparkSession, path)
 
 
 def path_bytes(spark: SparkSession, path: str) -> int:
