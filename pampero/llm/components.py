@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pampero.session import written
+from pampero.session import forget, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", shortcuts: int = 2) -> DataFrame:
@@ -32,11 +32,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", shortcuts: int = 2)
             up = hook.select(F.col("a").alias("h"), F.col("h").alias("hh"))
             hook = hook.join(up, "h", "left").select("a", F.coalesce("hh", "h").alias("h"))
         hook = written(hook, "cc-hook")
+        was = parent, live
         parent = written(parent.join(hook, parent.parent == hook.a, "left").select("node", F.coalesce("h", "parent").alias("parent")), "cc-parent")
         left = live.join(hook, "a", "left").select(F.coalesce("h", "a").alias("a"), "b")
         right = hook.select(F.col("a").alias("b"), "h")
         moved = left.join(right, "b", "left").select("a", F.coalesce("h", "b").alias("b"))
         live = written(moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-links")
+        forget(hook, *was)  # both tables are complete anew
     return parent.select("node", F.col("parent").alias("component"))
 
 

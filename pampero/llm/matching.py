@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from pampero.llm.components import components
-from pampero.session import written
+from pampero.session import forget, written
 
 
 def mapped(f: Callable, kind: str) -> Callable[[Column], Column]:
@@ -122,10 +122,11 @@ def auction(pairs: DataFrame, step: float) -> DataFrame:
         won = written(bids.groupBy("b").agg(F.max_by("a", F.struct("price", "a")).alias("a"), F.max("price").alias("price")).select("a", "b", "price"), "au-won")
         if won.isEmpty():
             return held.join(pairs, ["a", "b"]).select("a", "b", "confianza")
-        kept = held.join(won, "b", "left_anti")
+        kept, was = held.join(won, "b", "left_anti"), (held, active)
         held = written(kept.unionByName(won), "au-held")
         # who bid or was freed and holds nothing tries again; who found nothing above its price never will
         active = written(live.select("a").distinct().join(held, "a", "left_anti").unionByName(won.join(pairs, "b").select(pairs.a)).distinct().join(held, "a", "left_anti"), "au-active")
+        forget(won, *was)
 
 
 def assign(pairs: DataFrame, step: float = 0.001, links: int = 20_000) -> DataFrame:
