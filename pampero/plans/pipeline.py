@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pampero.operators.quality import Check, validate
-from pampero.session import path_bytes
+from pampero.session import changed_at, path_bytes
 
 
 @dataclass(frozen=True)
@@ -73,6 +73,38 @@ def latest_published(spark: SparkSession, root: str, fallback: str | None = None
     raise FileNotFoundError(root)
 
 
+class Served:
+    """Frames for serving, cached until one of the paths they are made of changes."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    def get(self, name: str, paths: list[str], load: Callable[[], DataFrame]) -> DataFrame:
+        """The cached frame, or a new one if a path was written since; the old one is let go."""
+        mark = tuple((p, changed_at(self.spark, p)) for p in paths)
+        if name not in self.held or self.held[name][0] != mark:
+            if name in self.held:
+                self.held[name][1].unpersist()
+            self.held[name] = (mark, load().cache())
+        return self.held[name][1]
+
+
+def ready(probes: dict[str, Callable[[], bool]], tries: int = 6, wait: Callable[[], None] = lambda: None) -> dict[str, bool]:
+    """Which sources answer: each probe is asked again up to ``tries`` times with a ``wait`` between; an error counts as no."""
+    said = dict.fromkeys(probes, False)
+    for i in range(tries):
+        for name, probe in probes.items():
+            if not said[name]:
+                try:
+                    said[name] = bool(probe())
+                except Exception:
+                    said[name] = False
+        if all(said.values()) or i == tries - 1:
+            break
+        wait()
+    return said
+
+
 def run(spark: SparkSession, build: Callable[[Scope], DataFrame], sources: dict, scope: Scope, checks: list[Check], root: str, state: str, day: str, fallback: str | None = None) -> str:
     """'sin_cambios', 'publicado' or 'respaldo'.
 

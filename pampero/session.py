@@ -79,6 +79,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def changed_at(spark: SparkSession, path: str) -> int:
+    """The newest modification time, in milliseconds, of a path or what lies directly in it; 0 where there is none."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jpath):
+        return 0
+    return max([fs.getFileStatus(jpath).getModificationTime(), *[s.getModificationTime() for s in fs.listStatus(jpath)]])
+
+
 def list_dir(spark: SparkSession, path: str) -> list[str]:
     """Names directly below a path of any Hadoop file system, sorted; none where there is no such path."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -87,6 +87,18 @@ def test_gate_and_runs(spark, tmp_path):
     assert pl.Scope.trial().labels(2025) == ["2025/2026"] and pl.fingerprint({"b": 1, "a": 2}, pl.Scope()) == "a=2|b=1|require_stats=False|seasons=5|top=200|year=2027"
 
 
+def test_serving_and_readiness(spark, tmp_path):
+    path, served, loads = str(tmp_path / "t"), pl.Served(spark), []
+    load = lambda: (loads.append(1), spark.read.parquet(path))[1]
+    spark.range(3).write.parquet(path)
+    assert served.get("t", [path], load).count() == served.get("t", [path], load).count() == 3 and len(loads) == 1
+    os.utime(path, (2_000_000_000, 2_000_000_000))
+    assert served.get("t", [path], load).count() == 3 and len(loads) == 2
+    asked = []
+    probes = {"a": lambda: True, "b": lambda: asked.append(1) or len(asked) > 2, "c": lambda: 1 / 0}
+    assert pl.ready(probes, 4) == {"a": True, "b": True, "c": False} and len(asked) == 3
+
+
 def test_raw_layer(spark, tmp_path):
     root = str(tmp_path / "raw")
     pages = spark.createDataFrame([("1", 2024, "x"), ("1", 2025, "y"), ("2", 2025, None)], "club string, temporada int, html string")
