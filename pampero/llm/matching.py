@@ -169,6 +169,9 @@ def token_similarity(x: str, y: str) -> float:
         return 0.85 if len(x) == 1 else 0.95 if len(x) >= 3 else 0.8
     if len(x) < 3 or abs(len(x) - len(y)) > 4:
         return 0.0
+    # no more characters can be in common than those of one that the other has at all
+    if 2 * sum(map(y.__contains__, x)) < 0.7 * (len(x) + len(y)):
+        return 0.0
     match = difflib.SequenceMatcher(None, x, y, autojunk=False)
     if match.real_quick_ratio() < 0.7 or match.quick_ratio() < 0.7:
         return 0.0
@@ -185,10 +188,10 @@ def soft_overlap(x: list[tuple[str, float]], y: list[tuple[str, float]]) -> floa
     total = sum(w for _, w in x) + sum(w for _, w in y)
     if not total:
         return 0.0
-    links = sorted(((token_similarity(a, b) * min(wa, wb), token_similarity(a, b), i, j) for i, (a, wa) in enumerate(x) for j, (b, wb) in enumerate(y)), reverse=True)
+    links = [(s * min(wa, wb), s, i, j) for i, (a, wa) in enumerate(x) for j, (b, wb) in enumerate(y) if (s := token_similarity(a, b))]
     left, right, got = set(), set(), 0.0
-    for _, s, i, j in links:
-        if s and i not in left and j not in right:
+    for _, s, i, j in sorted(links, reverse=True):
+        if i not in left and j not in right:
             left.add(i)
             right.add(j)
             got += s * (x[i][1] + y[j][1])
@@ -224,7 +227,6 @@ def same_code(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 COUNTRIES = {"turkiye": "turkey", "bosnia and herzegovina": "bosnia-herzegovina", "republic of ireland": "ireland", "czechia": "czech republic", "usa": "united states", "south korea": "korea, south", "korea republic": "korea, south", "cote d'ivoire": "ivory coast", "macedonia": "north macedonia", "holland": "netherlands", "uae": "united arab emirates", "cabo verde": "cape verde", "dr congo": "congo dr", "the gambia": "gambia", "faroes": "faroe islands", "faroe isles": "faroe islands"}
 #: Forms of club kinds (fixed values), after folding.
 KINDS = {"football club": "fc", "futbol club": "fc", "sport klub": "sk", "sports klub": "sk", "sporting club": "sc", "sport club": "sc", "idrottsforening": "if", "idrottsforeningen": "if", "fudbalski klub": "fk", "fotbal klub": "fk", "athletic club": "ac", "associazione calcio": "ac", "club de futbol": "cf", "union deportiva": "ud", "associazione sportiva": "as", "association sportive": "as", "boldklub": "bk", "boldklubben": "bk", "club deportivo": "cd"}
-ABBREVIATIONS = {"wand": "wanderers", "wan": "wanderers", "lok": "lokomotiv", "atl": "atletico", "dinamo": "dynamo", "dyn": "dynamo", "dep": "deportivo", "un": "union", "rac": "racing", "oli": "olimpia", "spa": "spartak", "for": "fortuna", "rap": "rapid"}
 RESERVE = r"(?i)(?:\bu-?\d{2}\b|\bii\b|\biii\b|\bb\s*$|\breserves?\b|\byouth\b|\bjuvenil\b|\bjuniors?\b|\bacademy\b|\bprimavera\b)"
 ROLE_CLASSES = {"goalkeeper": "g", "keeper": "g", "back": "d", "defender": "d", "winger": "a", "striker": "a", "forward": "a", "midfield": "m", "midfielder": "m"}
 
@@ -237,13 +239,13 @@ def country(name: str | None) -> str:
 
 
 def club_tokens(name: str | None) -> list[str]:
-    """Tokens of a club's name: folded, kinds and abbreviations in one form, years left out."""
+    """Tokens of a club's name: folded, kinds in one form, years left out; abbreviations are met by their similarity."""
     from pampero.functions.text import fold
 
     t = re.sub(r"[^a-z0-9]+", " ", fold(name or "")).strip()
     for long, short in KINDS.items():
         t = re.sub(rf"\b{long}\b", short, t)
-    return [ABBREVIATIONS.get(x, x) for x in t.split() if not re.fullmatch(r"(?:18|19|20)\d{2}", x)]
+    return [x for x in t.split() if not re.fullmatch(r"(?:18|19|20)\d{2}", x)]
 
 
 def person_tokens(name: str | None) -> list[str]:
@@ -272,11 +274,18 @@ def name_likeness(x: str, y: str) -> float:
     if not a or not b:
         return 0.0
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    free, total = list(long), 0.0
+    free, total, left = list(long), 0.0, len(short)
     for t in short:
-        best = max(free, key=lambda u: token_similarity(t, u))
-        total += token_similarity(t, best)
-        free.remove(best)
+        at, best = 0, 0.0
+        for i, u in enumerate(free):
+            got = token_similarity(t, u)
+            if got > best:
+                at, best = i, got
+        total += best
+        left -= 1
+        if total + left < 0.6 * len(short):
+            return 0.0  # even equal tokens can't make up for it
+        del free[at]
     name = total / len(short)
     return 0.0 if name < 0.6 else name * (1.0 if len(long) == len(short) else 0.95 if len(short) > 1 else 0.88)
 
