@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from itertools import product
 from urllib.parse import unquote
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
@@ -15,17 +16,21 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _TRANSFER = re.compile(r"transfer_id/(\d+)")
 _SPACE = re.compile(r"\s+")
+_ANY = re.compile(r"<[^>]*>")
+
+#: The tags that the scanner follows, in any case.
+_NAMES = {"".join(x): n for n in ("div", "h2", "table", "tr", "td", "th", "a") for x in product(*((c, c.upper()) for c in n))}
 
 FIELDS = ["jugador_nombre", "jugador_tm_id", "posicion_tm", "edad_al_fichaje", "nacionalidad", "nacionalidad_2", "club_origen", "club_origen_id", "club_origen_slug", "club_origen_pais", "club_origen_liga", "club_origen_liga_id", "coste_fichaje_texto", "operacion_id"]
 
 
 def attributes(text: str) -> dict[str, str]:
     """The attributes of a tag, entities and percent signs resolved."""
-    return {m[1].lower(): _html.unescape(next(v for v in m.groups()[1:] if v is not None)) for m in _ATTR.finditer(text)}
+    return {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)} if text else {}
 
 
 def _plain(markup: str) -> str:
-    return _SPACE.sub(" ", _html.unescape(re.sub(r"<[^>]*>", " ", markup))).strip()
+    return _SPACE.sub(" ", _html.unescape(_ANY.sub(" ", markup))).strip()
 
 
 def _id_after(word: str, href: str) -> str | None:
@@ -33,11 +38,25 @@ def _id_after(word: str, href: str) -> str | None:
     return m[1] if m else None
 
 
-def _links(markup: str) -> list[dict[str, str]]:
-    return [attributes(m[3]) | {"_text": _plain(markup[m.end() :].split("</", 1)[0])} for m in _TAG.finditer(markup) if m[2].lower() == "a" and not m[1]]
+class _Link(dict):
+    """A link's attributes; its text is read off the markup only where it is asked for."""
+
+    def __init__(self, attrs: dict, markup: str, at: int):
+        super().__init__(attrs)
+        self.markup, self.at = markup, at
+
+    def text(self) -> str | None:
+        end = self.markup.find("</", self.at)
+        return _plain(self.markup[self.at : end if end >= 0 else len(self.markup)]) or None
+
+
+def _links(markup: str) -> list[_Link]:
+    return [_Link(attributes(m[3]), markup, m.end()) for m in _TAG.finditer(markup) if m[2] in "aA" and not m[1]] if "<a" in markup or "<A" in markup else []
 
 
 def _flags(markup: str) -> list[str]:
+    if "flaggenrahmen" not in markup:
+        return []
     return [a["title"] for m in _TAG.finditer(markup) if m[2].lower() == "img" and "flaggenrahmen" in (a := attributes(m[3])).get("class", "") and a.get("title")]
 
 
@@ -49,7 +68,7 @@ def _row(cells: list[str], operation: str) -> tuple:
     player = next((x for x in links if "/profil/spieler/" in x.get("href", "")), None)
     if player:
         out["jugador_tm_id"] = _id_after("spieler", player["href"])
-        out["jugador_nombre"] = player.get("title") or player["_text"] or None
+        out["jugador_nombre"] = player.get("title") or player.text()
     if len(cells) >= 5:
         own = next((i for i, c in enumerate(cells) if "/profil/spieler/" in c), 1)
         inner = re.split(r"(?i)<tr\b[^>]*>", cells[own])
@@ -63,11 +82,11 @@ def _row(cells: list[str], operation: str) -> tuple:
         club = next((x for x in clubs if "/verein/" in x.get("href", "")), None)
         league = next((x for x in clubs if "/wettbewerb/" in x.get("href", "")), None)
         if club:
-            out["club_origen"], out["club_origen_id"] = club.get("title") or club["_text"] or None, _id_after("verein", club["href"])
+            out["club_origen"], out["club_origen_id"] = club.get("title") or club.text(), _id_after("verein", club["href"])
             parts = club["href"].split("/")
             out["club_origen_slug"] = parts[1] if len(parts) > 2 and parts[1] else None
         if league:
-            out["club_origen_liga"], out["club_origen_liga_id"] = league.get("title") or league["_text"] or None, _id_after("wettbewerb", league["href"])
+            out["club_origen_liga"], out["club_origen_liga_id"] = league.get("title") or league.text(), _id_after("wettbewerb", league["href"])
         out["club_origen_pais"] = next(iter(_flags(cells[-2])), None)
         out["coste_fichaje_texto"] = _plain(cells[-1]) or None
     return tuple(out[f] for f in FIELDS)
@@ -87,14 +106,16 @@ def arrivals(page: str | None) -> list[tuple]:
     rows: list[list] = []  # [table depth, start of the row, operation, cells, start of the open cell]
     depth, heading = 0, None
     for m in _TAG.finditer(page):
-        closing, name = m[1] == "/", m[2].lower()
+        closing, name = m[1] == "/", _NAMES.get(m[2])
+        if name is None:
+            continue
         if name == "div":
             if closing:
                 if divs:
                     divs.pop()
                     rows.clear()
             else:
-                divs.append(["box" in attributes(m[3]).get("class", "").split(), False])
+                divs.append([("box" in m[3] or "&" in m[3]) and "box" in attributes(m[3]).get("class", "").split(), False])
         elif name == "h2":
             if not closing:
                 heading = m.end()
@@ -127,7 +148,7 @@ def arrivals(page: str | None) -> list[tuple]:
                 elif row[4] is not None:
                     row[3].append(page[row[4] : m.start()])
                     row[4] = None
-        elif name == "a" and not closing and rows:
+        elif name == "a" and not closing and rows and ("transfer_id" in m[3] or "&" in m[3] or "%" in m[3]):
             hit = _TRANSFER.search(unquote(attributes(m[3]).get("href", "")))
             if hit:
                 for row in rows:
