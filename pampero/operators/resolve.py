@@ -5,9 +5,9 @@ from __future__ import annotations
 import difflib
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
 
 from pampero.operators.stats import one_row
 from pampero.session import written
@@ -24,22 +24,6 @@ def name_tokens(folded: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda t: (t != "") & ~t.isin(NOISE))
 
 
-def sequence_ratio(a: str, b: str) -> Column:
-    """Ratcliff-Obershelp ratio of two columns in Arrow batches, the first name leading."""
-
-    @pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        known: dict[tuple, float] = {}
-        out = []
-        for p in zip(x, y):
-            if p not in known:
-                known[p] = difflib.SequenceMatcher(None, *p, autojunk=False).ratio() if p[0] and p[1] else 0.0
-            out.append(known[p])
-        return pd.Series(out, dtype="float64")
-
-    return ratio(a, b)
-
-
 def grams(text: Column, size: int) -> Column:
     """The different runs of ``size`` characters of a text; a shorter text is its own."""
     n = F.length(text)
@@ -62,41 +46,130 @@ def common_run(ratio: float, longest: int = 400) -> int:
     return max(1, least)
 
 
-def resolve(names: DataFrame, aliases: DataFrame, near: float = 0.82, far: float = 0.93) -> DataFrame:
+def _profile(texts: list[str], slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, counts of neighbouring pairs of characters and counts of characters, the latter two in hashed slots."""
+    n, size = len(texts), np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    cp = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    row = np.repeat(np.arange(n), size)
+    inner = row[1:] == row[:-1]
+    pair = (cp[:-1] * 37 + cp[1:])[inner] % slots
+    pairs = np.bincount(row[1:][inner] * slots + pair, minlength=n * slots).reshape(n, slots).astype(np.float32)
+    return size, pairs, np.bincount(row * 64 + cp % 64, minlength=n * 64).reshape(n, 64).astype(np.int32)
+
+
+def nearest(names: list[str], aliases: list[str], floor: float, slots: int = 256, rows: int = 128) -> list[tuple[int, int, float]]:
+    """(name, alias, ratio) of the aliases with each name's best sequence ratio, if it is ``floor`` or more; all that tie.
+
+    The ratio is difflib's, the name leading, and is taken only where it can be the best. With M of
+    x + y characters matched in runs, these are at most x + y - 2 M + 1 (a left-over parts two runs),
+    so a pair of the ratio shares M characters and 3 M - x - y - 1 neighbouring pairs of them. What
+    two texts share is at most the product of their counts, also where slots collide; one product of
+    matrices a length counts it for all pairs. The rest goes down from the most shared characters.
+    """
+    x, pn, cn = _profile(names, slots)
+    y, pa, ca = _profile(aliases, slots)
+    order = np.argsort(y, kind="stable")
+    y, pa, ca = y[order], pa[order], ca[order]
+    out = []
+    for size in np.unique(x):
+        at = np.flatnonzero(2 * np.minimum(size, y) >= floor * (size + y) - 1e-9)
+        if not size or not len(at):
+            continue
+        near = slice(at[0], at[-1] + 1)  # lengths are sorted, so these lie together
+        least = np.ceil(floor * (size + y[near]) / 2 - 1e-9).astype(np.int64)
+        shared, own = (3 * least - size - y[near] - 1).astype(np.float32), np.flatnonzero(x == size)
+        for part in (own[i : i + rows] for i in range(0, len(own), rows)):
+            r, c = np.nonzero(pn[part] @ pa[near].T >= shared)
+            most = np.concatenate([np.zeros(0, np.int64), *(np.minimum(cn[part[r[i : i + 65536]]], ca[near][c[i : i + 65536]]).sum(1) for i in range(0, len(r), 65536))])
+            keep = most >= least[c]
+            r, c, bound = r[keep], c[keep], 2.0 * most[keep] / (size + y[near][c[keep]])
+            best, ties, now = floor, [], -1
+            for k in np.lexsort((-bound, r)):
+                if r[k] != now:
+                    out += ties
+                    best, ties, now = floor, [], r[k]
+                if bound[k] < best:
+                    continue
+                i, j = int(part[now]), int(order[near][c[k]])
+                ratio = difflib.SequenceMatcher(None, names[i], aliases[j], autojunk=False).ratio()
+                if ratio >= best:
+                    ties = [*(ties if ratio == best else []), (i, j, ratio)]
+                    best = ratio
+            out += ties
+    return out
+
+
+def _approximate(left: DataFrame, al: DataFrame, near: float, far: float, names: int = 2048, forms: int = 8192) -> DataFrame:
+    """block, k, ak, ratio: the aliases nearest to each name, within its block or, where that isn't known, among all.
+
+    The pairs of a block are cut into tiles of some ``names`` by ``forms``, so no task holds more than these.
+    """
+    inside = F.concat(F.lit("="), F.col("block").cast("string"))
+    ask = left.select("block", "k", "known", F.when(F.col("known"), inside).otherwise("*").alias("g"))
+    offer = al.where("ablock is not null").select(F.col("ablock").alias("block"), "ak").select(inside.alias("g"), "ak").union(al.select(F.lit("*"), "ak")).distinct()
+    tiles = ask.groupBy("g").agg(F.ceil(F.count("*") / names).alias("_i")).join(offer.groupBy("g").agg(F.ceil(F.count("*") / forms).alias("_j")), "g")
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    spark = left.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    x = ask.join(tiles, "g").select("g", of("k", "_i").alias("i"), every("_j").alias("j"), "block", "k", "known").repartition(parts, "g", "i", "j")
+    y = offer.join(tiles, "g").select("g", every("_i").alias("i"), of("ak", "_j").alias("j"), "ak").repartition(parts, "g", "i", "j")
+
+    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        got = nearest(a["k"].tolist(), b["ak"].tolist(), near if len(a) and a["known"].iloc[0] else far) if len(a) and len(b) else []
+        i, j = [t[0] for t in got], [t[1] for t in got]
+        return pd.DataFrame({"block": a["block"].iloc[i].array, "k": a["k"].iloc[i].array, "known": a["known"].iloc[i].array, "ak": b["ak"].iloc[j].array, "ratio": pd.Series([t[2] for t in got], dtype="float64")})
+
+    kind = left.schema["block"].dataType.simpleString()
+    return x.groupBy("g", "i", "j").cogroup(y.groupBy("g", "i", "j")).applyInPandas(tile, f"block {kind}, k string, known boolean, ak string, ratio double")
+
+
+STAGES = ("exacto", "subconjunto", "aproximado")
+
+
+def resolve(names: DataFrame, aliases: DataFrame, near: float = 0.82, far: float = 0.93, stages: tuple = STAGES) -> DataFrame:
     """``id``, ``destino``, ``metodo`` of every name: (id, block, tokens) against (destino, pos, block, tokens).
 
     Exact token lists, then containment either way (within a block only), then the best sequence
     ratio of at least ``near`` within a block or ``far`` where the block is unknown or has no
     aliases. Each stage takes the residue of the one before; the smallest ``pos`` wins ties.
-    Names are resolved once a different (block, tokens). Nothing that the ratios allow is lost:
-    one list contains another only if they share a token, and names without a block meet all
-    aliases that share with them a run of characters which any pair of that ratio has in common
-    (``common_run``); lengths too far apart for the ratio are left out before it is taken.
+    ``stages`` are the first one, two or all of them; what these leave is ``sin_match``.
+    Names are resolved once a different (block, tokens), aliases count once a different (block,
+    tokens), with their first target. Nothing that the ratios allow is lost: a list that contains
+    another has also its rarest token, by which they are joined, and ratios are left out only where
+    they can't be the best (``nearest``).
     Names without tokens are ``sin_nombre``, others without a hit ``sin_match``.
     """
     key = lambda c: F.array_join(c, " ")
-    base = names.withColumn("k", key("tokens"))
+    base = written(names.withColumn("k", key("tokens")), "resolve-names")
+    al = aliases.withColumn("ak", key("tokens")).where("ak <> ''").groupBy(F.col("block").alias("ablock"), F.col("tokens").alias("at"), "ak").agg(F.min(F.struct("pos", "destino")).alias("m"))
+    al = written(al.select("m.destino", "m.pos", "ablock", "at", "ak"), "resolve-aliases")
     ask = base.where("k <> ''").select("block", "tokens", "k").distinct()
-    al = aliases.withColumn("ak", key("tokens")).where("ak <> ''").select("destino", "pos", F.col("block").alias("ablock"), F.col("tokens").alias("at"), "ak")
     blocks = al.select(F.col("ablock").alias("block")).distinct().withColumn("known", F.lit(True))
     ask = ask.join(blocks, "block", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     same = F.col("block").eqNullSafe(F.col("ablock"))
     best = lambda df, *order: df.groupBy("block", "k").agg(F.min_by(F.struct("destino", *[c for c in df.columns if c == "ratio"]), F.struct(*order)).alias("m"))
+    less = lambda df, found: df.join(found.select("block", "k"), (df.block.eqNullSafe(found.block)) & (df.k == found.k), "left_anti")
     exact = best(ask.join(al, (F.col("k") == F.col("ak")) & (same | ~F.col("known"))), "pos", "destino").select("block", "k", F.col("m.destino").alias("destino"), F.lit("exacto").alias("metodo"))
-    rest = ask.join(exact.select("block", "k"), (ask.block.eqNullSafe(exact.block)) & (ask.k == exact.k), "left_anti")
-    inside = (F.size(F.array_except("tokens", "at")) == 0) | (F.size(F.array_except("at", "tokens")) == 0)
-    shown = al.withColumn("t", F.explode(F.array_distinct("at")))
-    within = rest.where("known").withColumn("_t", F.explode(F.array_distinct("tokens"))).join(shown, (F.col("block") == F.col("ablock")) & (F.col("_t") == F.col("t")))
-    subset = best(within.where(inside), "pos", "destino").select("block", "k", F.col("m.destino").alias("destino"), F.lit("subconjunto").alias("metodo"))
-    left = rest.join(subset.select("block", "k"), (rest.block.eqNullSafe(subset.block)) & (rest.k == subset.k), "left_anti")
-    run = common_run(far)
-    loose = left.where("not known").withColumn("s", F.explode(grams(F.col("k"), run))).join(al.withColumn("s", F.explode(grams(F.col("ak"), run))), "s").select("block", "k", "destino", "pos", "ak", F.lit(far).alias("floor")).distinct()
-    close = left.where("known").join(al, F.col("block") == F.col("ablock")).select("block", "k", "destino", "pos", "ak", F.lit(near).alias("floor"))
-    x, y = F.length("k"), F.length("ak")
-    likely = close.union(loose).where(2 * F.least(x, y) >= F.col("floor") * (x + y) - 1e-9)
-    scored = likely.withColumn("ratio", sequence_ratio("k", "ak")).where("ratio >= floor")
-    approx = best(scored, -F.col("ratio"), "pos", "destino").select("block", "k", F.col("m.destino").alias("destino"), F.format_string("aproximado:%.2f", F.col("m.ratio")).alias("metodo"))
-    all_ = exact.union(subset).union(approx)
+    all_ = exact
+    if len(stages) > 1:
+        all_ = exact = written(exact, "resolve-exact")
+        rest = written(less(ask, exact), "resolve-rest")
+        shown = al.withColumn("t", F.explode(F.array_distinct("at")))
+        often = shown.groupBy("ablock", "t").agg(F.count("*").alias("n"))
+        rare = shown.join(often, ["ablock", "t"]).groupBy("ablock", "ak", "at").agg(F.min_by("t", F.struct("n", "t")).alias("t"), F.min(F.struct("pos", "destino")).alias("m")).select("ablock", "at", "t", "m.pos", "m.destino")
+        asked = rest.where("known").withColumn("t", F.explode(F.array_distinct("tokens")))
+        rarest = asked.join(often.withColumnRenamed("ablock", "block"), ["block", "t"], "left").groupBy("block", "tokens", "k").agg(F.min_by("t", F.struct(F.coalesce("n", F.lit(0)), "t")).alias("t"))
+        meet = lambda a, b, inner, outer: a.alias("a").join(b.alias("b"), (F.col("block") == F.col("ablock")) & (F.col("a.t") == F.col("b.t"))).where(F.size(F.array_except(inner, outer)) == 0).select("block", "k", "destino", "pos")
+        subset = best(meet(rarest, shown, "tokens", "at").union(meet(asked, rare, "at", "tokens")), "pos", "destino").select("block", "k", F.col("m.destino").alias("destino"), F.lit("subconjunto").alias("metodo"))
+        if len(stages) > 2:
+            subset = written(subset, "resolve-subset")
+        all_ = all_.union(subset)
+    if len(stages) > 2:
+        scored = _approximate(less(rest, subset), al, near, far)
+        scored = scored.alias("s").join(al.alias("f"), (F.col("s.ak") == F.col("f.ak")) & (same | ~F.col("known"))).select("block", "k", "ratio", "pos", "destino")
+        approx = best(scored, -F.col("ratio"), "pos", "destino").select("block", "k", F.col("m.destino").alias("destino"), F.format_string("aproximado:%.2f", F.col("m.ratio")).alias("metodo"))
+        all_ = all_.union(approx)
     got = base.alias("n").join(all_.alias("r"), F.col("n.block").eqNullSafe(F.col("r.block")) & (F.col("n.k") == F.col("r.k")), "left")
     return got.select("n.id", "r.destino", F.coalesce("r.metodo", F.when(F.col("n.k") == "", "sin_nombre").otherwise("sin_match")).alias("metodo"))
 
@@ -122,6 +195,7 @@ def catalogue(sources: DataFrame, aliases: DataFrame, ranks: DataFrame, tope: in
     the end; ``tope`` cuts by rank. The report has id and metodo, ``duplicado:`` ones included.
     """
     first = sources.groupBy("id").agg(F.min_by(F.struct("orden", "block", "tokens", "otros_tokens"), F.struct("orden", F.array_join("tokens", " "))).alias("s")).select("id", "s.*")
+    first = written(first, "catalogue-first")
     once = written(resolve(first.select("id", "block", "tokens"), aliases), "catalogue")
     again = first.join(once.where("destino is null").select("id"), "id", "left_semi")
     second = resolve(again.select("id", "block", F.col("otros_tokens").alias("tokens")), aliases).select("id", F.col("destino").alias("d2"), F.col("metodo").alias("m2"))

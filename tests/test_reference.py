@@ -177,6 +177,28 @@ def test_the_resolver_loses_nothing_that_the_ratio_allows(spark):
     assert [x[0] for x in g.collect()] == [["abc", "bca", "cab"], ["ab"], [""], [None]]  # a null meets nothing in a join
 
 
+def test_nearest_is_brute_force_with_few_comparisons(monkeypatch):
+    import random
+
+    from pampero.operators import resolve as rs
+
+    r = random.Random(3)
+    name = lambda: " ".join("".join(r.choice(["ba", "ke", "zo", "mi", "tur", "los", "gra", "pe", "a", "é", "日本", "x"]) for _ in range(r.randint(1, 4))) for _ in range(r.randint(1, 3)))
+    a = sorted({name() for _ in range(120)} | {"", "a", "ab"})
+    b = sorted({name() for _ in range(150)} | {"b", "a", "ba"} | {x[:-1] for x in a[:50] if len(x) > 1} | {f"{x}z" for x in a[50:80]})
+    real, calls = difflib.SequenceMatcher, []
+    ratios = [[real(None, x, y, autojunk=False).ratio() for y in b] for x in a]
+    monkeypatch.setattr(rs.difflib, "SequenceMatcher", lambda *p, **k: calls.append(1) or real(*p, **k))
+    for floor, most in ((0.5, 0.5), (0.82, 0.05), (0.93, 0.02), (1.0, 0.01)):
+        want = [(i, j, q) for i, row in enumerate(ratios) if a[i] for j, q in enumerate(row) if q == max(row) and q >= floor]
+        for slots in (256, 8):
+            assert sorted(rs.nearest(a, b, floor, slots, 7)) == want
+        calls.clear()
+        rs.nearest(a, b, floor)
+        assert len(calls) < most * len(a) * len(b)
+    assert rs.nearest([], b, 0.8) == rs.nearest(a, [], 0.8) == []
+
+
 def test_catalogue_and_homonyms(spark):
     from pampero.operators.resolve import catalogue, match_coverage, pick_homonym
 
