@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pampero.functions.text import fold_text
 from pampero.operators import evaluation as ev, relational as rel, stats as st
 from pampero.operators.quality import Check, at_least, report, rows_where, unique_key
-from pampero.operators.resolve import NOISE, RESERVE, name_tokens, resolve
-from pampero.session import table
+from pampero.operators.resolve import NOISE, RESERVE, STAGES, name_tokens, resolve
+from pampero.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -179,8 +179,8 @@ nk as (select id, {_FOLD_SQL.format('c')} b, array_to_string({_TOKENS_SQL.format
 select id, min(destino) destino from nk join ak on nk.k = ak.k and nk.b = ak.b where nk.k <> '' group by 1""")
 def resolve_exact(spark, d):
     """The exact stage of the resolver within a country."""
-    names, aliases = _resolver(spark, d)
-    return resolve(names.where("block is not null"), aliases).where("metodo = 'exacto'").join(aliases.select("block").distinct().join(names, "block").select("id"), "id", "left_semi").select("id", "destino")
+    names, aliases = (written(df, "exact") for df in _resolver(spark, d))
+    return resolve(names.where("block is not null"), aliases, stages=STAGES[:1]).where("metodo = 'exacto'").join(aliases.select("block").distinct().join(names, "block").select("id"), "id", "left_semi").select("id", "destino")
 
 
 @query()

@@ -199,6 +199,24 @@ def test_nearest_is_brute_force_with_few_comparisons(monkeypatch):
     assert rs.nearest([], b, 0.8) == rs.nearest(a, [], 0.8) == []
 
 
+@pytest.mark.parametrize(("module", "query", "stages"), [("reference", "resolve_exact", 1)])
+def test_queries_of_the_first_stages_run_no_other(spark, monkeypatch, module, query, stages):
+    import importlib
+
+    from pampero.operators import resolve as rs
+
+    asked = []
+    module = importlib.import_module(f"pampero.plans.{module}")
+    monkeypatch.setattr(module, "resolve", lambda *a, **k: asked.append(k.get("stages", rs.STAGES)) or rs.resolve(*a, **k))
+    monkeypatch.setattr(rs, "nearest", None)
+    monkeypatch.setattr(rs, "_approximate", None)
+    names = spark.createDataFrame([("1", "x", ["alfa"]), ("2", "x", ["beta", "norte"]), ("3", "x", ["gamma"]), ("4", "w", ["alfa"])], "id string, block string, tokens array<string>")
+    aliases = spark.createDataFrame([("a", 0, "x", ["alfa"]), ("b", 0, "x", ["beta"]), ("c", 0, "x", ["gama"])], "destino string, pos int, block string, tokens array<string>")
+    monkeypatch.setattr(module, "_resolver", lambda *_: (names, aliases))
+    assert [tuple(r)[:2] for r in getattr(module, query)(spark, "").orderBy("id").collect()] == [("1", "a"), ("2", "b")][:stages]
+    assert asked == [rs.STAGES[:stages]]
+
+
 def test_catalogue_and_homonyms(spark):
     from pampero.operators.resolve import catalogue, match_coverage, pick_homonym
 
