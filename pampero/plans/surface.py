@@ -8,7 +8,7 @@ from pampero.functions.text import fold_text, plain_digits
 from pampero.operators import evaluation as ev, relational as rel, stats as st
 from pampero.operators.imputation import ROLES
 from pampero.operators.quality import Check, empty_columns, report, unmapped
-from pampero.operators.resolve import catalogue, match_coverage, name_tokens, pick_homonym, resolve
+from pampero.operators.resolve import STAGES, catalogue, match_coverage, name_tokens, pick_homonym, resolve
 from pampero.plans.datasets import _TREE
 from pampero.plans.reference import METRICS, ROLE_OF, _FOLD, _FOLD_SQL, _ROLE_SQL, _SCORED, _TOKENS_SQL, _nn, _resolver, _scored, query
 from pampero.session import table, written
@@ -301,8 +301,8 @@ s as (select id, min(destino) destino from nk join ak on nk.b = ak.b and (list_h
 select id, destino, 'exacto' metodo from e union all select id, destino, 'subconjunto' from s""")
 def resolve_two_stages(spark, d):
     """The exact and the subset stage within a country."""
-    names, aliases = _resolver(spark, d)
-    got = resolve(names.where("block is not null"), aliases).where("metodo in ('exacto', 'subconjunto')")
+    names, aliases = (written(df, "two-stages") for df in _resolver(spark, d))
+    got = resolve(names.where("block is not null"), aliases, stages=STAGES[:2]).where("metodo in ('exacto', 'subconjunto')")
     return got.join(aliases.select("block").distinct().join(names, "block").select("id"), "id", "left_semi").select("id", "destino", "metodo")
 
 

@@ -199,7 +199,7 @@ def test_nearest_is_brute_force_with_few_comparisons(monkeypatch):
     assert rs.nearest([], b, 0.8) == rs.nearest(a, [], 0.8) == []
 
 
-@pytest.mark.parametrize(("module", "query", "stages"), [("reference", "resolve_exact", 1)])
+@pytest.mark.parametrize(("module", "query", "stages"), [("reference", "resolve_exact", 1), ("surface", "resolve_two_stages", 2)])
 def test_queries_of_the_first_stages_run_no_other(spark, monkeypatch, module, query, stages):
     import importlib
 
