@@ -217,6 +217,16 @@ def test_queries_of_the_first_stages_run_no_other(spark, monkeypatch, module, qu
     assert asked == [rs.STAGES[:stages]]
 
 
+def test_tiles_of_names_and_aliases_give_what_one_tile_gives(spark):
+    from pampero.operators.resolve import _approximate
+
+    words = ["alfamar", "alfamor", "betanor", "betanar", "gamelin", "gamalin", "deltori", "deltari"]
+    left = spark.createDataFrame([(b, f"{w}x", b == "x") for w in words for b in ("x", None)], "block string, k string, known boolean")
+    al = spark.createDataFrame([(b, w) for w in words for b in ("x", "y", None)], "ablock string, ak string")
+    whole = rows(_approximate(left, al, 0.82, 0.93), "block", "k", "ak", "ratio")
+    assert len(whole) == 16 and rows(_approximate(left, al, 0.82, 0.93, 3, 2).join(spark.createDataFrame([(w,) for w in words], "ak string"), "ak").where("k = concat(ak, 'x')"), "block", "k", "ak", "ratio") == whole
+
+
 def test_catalogue_and_homonyms(spark):
     from pampero.operators.resolve import catalogue, match_coverage, pick_homonym
 
