@@ -227,6 +227,19 @@ def test_tiles_of_names_and_aliases_give_what_one_tile_gives(spark):
     assert len(whole) == 16 and rows(_approximate(left, al, 0.82, 0.93, 3, 2).join(spark.createDataFrame([(w,) for w in words], "ak string"), "ak").where("k = concat(ak, 'x')"), "block", "k", "ak", "ratio") == whole
 
 
+def test_the_catalogue_and_the_resolver_read_their_sources_once(spark):
+    from pampero.operators.resolve import catalogue
+
+    seen = spark.sparkContext.accumulator(0)
+    once = F.udf(lambda x: seen.add(1) or x, "string").asNondeterministic()
+    al = spark.createDataFrame([("a", 1, "x", ["alfa"]), ("b", 2, "x", ["beta"])], "destino string, pos int, block string, tokens array<string>")
+    src = spark.createDataFrame([("1", 1, "x", ["alfa"], ["otro"]), ("2", 2, "x", ["zzz"], ["beta"]), ("3", 3, "x", ["qqq"], ["www"])], "id string, orden int, block string, tokens array<string>, otros_tokens array<string>")
+    cat, rest = catalogue(src.withColumn("block", once("block")), al, spark.createDataFrame([("a", 3), ("b", 2)], "destino string, puesto int"))
+    assert rows(cat, "id") == [("1",), ("2",)] and rows(rest) == [("3", "sin_match")] and seen.value == 3
+    names = src.select("id", "block", "tokens").withColumn("block", once("block"))
+    assert rows(resolve(names, al), "id", "destino") == [("1", "a"), ("2", None), ("3", None)] and seen.value == 6
+
+
 def test_catalogue_and_homonyms(spark):
     from pampero.operators.resolve import catalogue, match_coverage, pick_homonym
 
