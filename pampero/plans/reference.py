@@ -164,10 +164,12 @@ def normalise_tokens(spark, d):
     return p.groupBy(F.array_join(name_tokens(fold_text(F.col("club_origen"))), " ").alias("clave")).agg(F.sum("n").alias("n"), F.count("*").alias("formas"))
 
 
-def _resolver(spark, d):
+def _resolver(spark, d, more: dict | None = None):
+    """(names, aliases) of the resolver; ``more`` are aggregates of all rows of a name's id, made in the same pass."""
     p, u = table(spark, d, "plata"), table(spark, d, "uefa")
-    names = p.where("club_origen_id is not null and club_origen is not null").groupBy(F.col("club_origen_id").alias("id")).agg(F.min("club_origen").alias("n"), F.min("club_origen_pais").alias("c"))
-    names = names.select("id", fold_text(F.col("c")).alias("block"), name_tokens(fold_text(F.col("n"))).alias("tokens"))
+    p = p.where("club_origen_id is not null")
+    names = p.groupBy(F.col("club_origen_id").alias("id")).agg(F.min("club_origen").alias("n"), F.min(F.when(F.col("club_origen").isNotNull(), F.col("club_origen_pais"))).alias("c"), *[v.alias(k) for k, v in (more or {}).items()]).where("n is not null")
+    names = names.select("id", fold_text(F.col("c")).alias("block"), name_tokens(fold_text(F.col("n"))).alias("tokens"), *(more or {}))
     forms = u.select(F.col("uefa_pais").alias("c"), F.trim("uefa_club_id").alias("destino"), F.explode(F.array("uefa_nombre", "uefa_nombre_oficial", "uefa_nombre_internacional", "uefa_nombre_corto")).alias("n")).where("n is not null").distinct()
     aliases = forms.select("destino", F.lit(0).alias("pos"), fold_text(F.col("c")).alias("block"), name_tokens(fold_text(F.col("n"))).alias("tokens"))
     return names, aliases
@@ -186,7 +188,7 @@ def resolve_exact(spark, d):
 @query()
 def resolve_cascade(spark, d):
     """All stages: who was found, by which method."""
-    return resolve(*_resolver(spark, d))
+    return resolve(*(written(df, "cascade") for df in _resolver(spark, d)))
 
 
 @query("""select n_nationkey pais, s_suppkey proveedor, c_custkey elegido from (select n_nationkey, s_suppkey, c_custkey, row_number() over (partition by n_nationkey, s_suppkey order by case when c_mktsegment = 'BUILDING' then 3 when c_acctbal > 5000 then 2 else 0 end desc, c_acctbal desc, c_custkey) r
