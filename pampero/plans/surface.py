@@ -307,10 +307,8 @@ def resolve_two_stages(spark, d):
 
 
 def _catalogue(spark: SparkSession, d: str):
-    p = table(spark, d, "plata")
-    names, aliases = _resolver(spark, d)
-    other = p.where("club_origen_id is not null").groupBy(F.col("club_origen_id").alias("id")).agg(F.max("club_origen").alias("o"), F.min("operacion_id").alias("orden"))
-    sources = names.join(other, "id").select("id", "orden", "block", "tokens", name_tokens(fold_text(F.col("o"))).alias("otros_tokens"))
+    names, aliases = _resolver(spark, d, {"o": F.max("club_origen"), "orden": F.min("operacion_id")})
+    sources = names.select("id", "orden", "block", "tokens", name_tokens(fold_text(F.col("o"))).alias("otros_tokens"))
     ranks = table(spark, d, "uefa").groupBy(F.trim("uefa_club_id").alias("destino")).agg(F.min("uefa_ranking").alias("puesto"))
     return catalogue(sources, written(aliases, "catalogue-aliases"), ranks, 100)
 

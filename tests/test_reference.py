@@ -227,8 +227,8 @@ def test_tiles_of_names_and_aliases_give_what_one_tile_gives(spark):
     assert len(whole) == 16 and rows(_approximate(left, al, 0.82, 0.93, 3, 2).join(spark.createDataFrame([(w,) for w in words], "ak string"), "ak").where("k = concat(ak, 'x')"), "block", "k", "ak", "ratio") == whole
 
 
-def test_names_are_folded_once(spark, tmp_path, monkeypatch):
-    from pampero.plans import reference
+def test_names_are_made_in_one_pass_and_folded_once(spark, tmp_path, monkeypatch):
+    from pampero.plans import reference, surface
 
     d = str(tmp_path)
     rows_ = [("1", "B", None, "o2"), ("1", "A", "Spain", "o3"), ("1", None, "Aland", "o1"), ("2", None, "Spain", "o4"), (None, "C", "Spain", "o5"), *[("3", "Çelta", "Italy", f"o{i}") for i in range(6, 40)]]
@@ -237,9 +237,13 @@ def test_names_are_folded_once(spark, tmp_path, monkeypatch):
     spark.createDataFrame([("Italy", " 9 ", "Celta", None, "CELTA", None)], form).selectExpr("*", "1 uefa_ranking").write.parquet(f"{d}/uefa.parquet")
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     seen = []
+    monkeypatch.setattr(surface, "catalogue", lambda sources, *_: seen.append(sources) or (sources, sources))
+    surface._catalogue(spark, d)
+    assert plan(seen[0]).count("Relation [") == 1  # names, other names and order in one pass
+    assert rows(seen[0].select("id", "orden", "block", F.array_join("tokens", " "), F.array_join("otros_tokens", " "))) == [("1", "o1", "spain", "a", "b"), ("3", "o10", "italy", "celta", "celta")]
     monkeypatch.setattr(reference, "resolve", lambda names, aliases: seen.extend([names, aliases]) or resolve(names, aliases))
     assert rows(reference.resolve_cascade(spark, d)) == [("1", None, "sin_match"), ("3", "9", "exacto")]
-    assert not any("_fold" in plan(df.where("block > ''")) for df in seen)  # a filter above would fold once more
+    assert not any("_fold" in plan(df.where("block > ''")) for df in seen[1:])  # a filter above would fold once more
 
 
 def test_the_catalogue_and_the_resolver_read_their_sources_once(spark):
