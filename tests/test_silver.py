@@ -79,3 +79,29 @@ def test_the_detail_stands_before_the_summary(spark, tmp_path):
     spark.createDataFrame([(1, "9", json.dumps(doc), "2025-01-01"), (2, "9", "[]", "2024-01-01")], "registro_id bigint, jugador_fotmob_id string, statseasons string, t string").selectExpr("*", "cast(t as timestamp) extraido_el").write.parquet(str(tmp_path / "fotmob.parquet"))
     got = {r["metrica"]: r["valor"] for r in player_metrics(spark, str(tmp_path)).collect()}
     assert got == {"stat_goals": 6.0, "stat_rating": 6.6}
+
+
+def test_usual_rows_are_read_whole_and_as_by_their_tags(monkeypatch):
+    import glob
+    import random
+
+    import pyarrow.parquet as pq
+
+    from pampero.sources import arrivals_html as ah
+
+    row = """<tr class="odd">\n <td>#</td>\n <td><table class="inline-table"><tr><td class="hauptlink"><a title="Åge Ro" href="/age-ro/profil/spieler/26">x</a></td></tr>\n<tr><td>Right  Back</td></tr></table></td>\n <td>38</td>
+ <td><img class="flaggenrahmen" title="Chad"></td>\n <td><table><tr><td class="hauptlink"><a title="Olimpia" href="/olim/startseite/verein/20">y</a></td></tr></table></td>\n <td><a href="/x/transfers/spieler/26/transfer_id/31">Free\n transfer</a></td>\n</tr>\n"""
+    page = f'<div class="box"><h2>Arrivals</h2><table><tbody>{row * 2}</tbody></table></div>'
+    parts = ["<", ">", "&amp;", "%2F", "'", '"', "=", " ", "<td>", "</td>", "<tr>", "</tr>", "<table>", "</table>", "</div>", "<!--", "/profil/spieler/7", "/spieler/8", "/verein/9", "/wettbewerb/GB1", "/transfer_id/5", 'title=""', "flaggenrahmen"]
+    draw = random.Random(5)
+    pages = [page, page.replace("box", "other"), page.replace('title="Åge Ro"', 'title=""'), page.replace("<tr ", "<tr"), page.replace("td class", "tdclass"), row, *(x for f in glob.glob(f"{D}/bronce.parquet") for x in pq.read_table(f, columns=["html"])["html"].to_pylist())]
+    for _ in range(6000):
+        i, j = sorted(draw.randrange(len(page)) for _ in range(2))
+        pages.append(draw.choice([page[:i] + draw.choice(parts) + page[i:], page[:i] + page[min(j, i + draw.randrange(12)) :], page.replace(*draw.sample(parts[:15], 2)), page[:i] + draw.choice(parts) + page[i:j] + draw.choice(parts) + page[j:]]))
+    got = [ah.arrivals(p) for p in pages]
+    assert got[0] == [("Åge Ro", "26", "Right Back", 38, "Chad", None, "Olimpia", "20", "olim", None, None, None, "Free transfer", "31")] * 2
+    with monkeypatch.context() as m:
+        m.setattr(ah, "_row", None)  # the source's own layout needs no look at single tags
+        assert ah.arrivals(page) == got[0]
+    monkeypatch.setattr(ah, "_usual", lambda _: None)
+    assert [ah.arrivals(p) for p in pages] == got
