@@ -420,9 +420,12 @@ def people_records(people: DataFrame) -> DataFrame:
     """Numbered records of people with sort keys and codes for the neighbourhood."""
     known = ("paises", "pie", "rol")
     people = people.where("nombre <> '' and ent is not null").select("side", "ent", "nombre", "nacido", "altura", *[F.coalesce(c, F.lit("")).alias(c) for c in known])
-    tokens = F.split("nombre", " ")
+    lands = F.array_remove(F.split("paises", r"\|"), "")
+    code = lambda c: F.when(F.col(c) != "", F.pmod(F.xxhash64(c), F.lit(1 << 40)).cast("double"))
+    # the keys follow from these columns: they are made once the repeated rows are gone
+    base = people.select("side", "ent", "nombre", lands.alias("lands"), F.split("paises", r"\|")[0].alias("place"), "nacido", "altura", code("pie").alias("pie_c"), code("rol").alias("rol_c")).distinct()
+    tokens, place = F.split("nombre", " "), F.col("place")
     last, given = F.element_at(tokens, -1), tokens[0]
-    place = F.split("paises", r"\|")[0]
     born, tall = F.coalesce(F.col("nacido").cast("string"), F.lit("")), F.coalesce(F.col("altura").cast("string"), F.lit(""))
     bones = F.regexp_replace(last, "(?<=.)[aeiouy]", "")
     full = (place != "") & (born != "")
@@ -431,10 +434,8 @@ def people_records(people: DataFrame) -> DataFrame:
         F.when(full, F.concat_ws("|", place, born, tall, last)), F.when(full, F.concat_ws("|", place, born, bones, given)), F.concat_ws("|", bones, given, place),
         F.when(place != "", F.concat_ws("|", place, F.coalesce(F.get(tokens, F.lit(1)), last), born)), F.when(born != "", F.concat_ws("|", given, born, tall, last)), F.when(born != "", F.concat_ws("|", last, born, tall, given)),
     )
-    code = lambda c: F.when(F.col(c) != "", F.pmod(F.xxhash64(c), F.lit(1 << 40)).cast("double"))
-    lands = F.array_remove(F.split("paises", r"\|"), "")
     land = lambda i: F.pmod(F.xxhash64(F.get(F.col("lands"), F.lit(i))), F.lit(1 << 40)).cast("double")
-    base = people.select("side", "ent", "nombre", lands.alias("lands"), F.col("nacido").cast("double").alias("nacido"), F.col("altura").cast("double").alias("altura"), code("pie").alias("pie_c"), code("rol").alias("rol_c"), keys.alias("keys")).distinct()
+    base = base.select("side", "ent", "nombre", "lands", F.col("nacido").cast("double").alias("nacido"), F.col("altura").cast("double").alias("altura"), "pie_c", "rol_c", keys.alias("keys"))
     n = F.size("lands")
     return written(base.select(F.monotonically_increasing_id().alias("rid"), "*", F.when(n > 0, land(0)).alias("l0"), F.when(n > 1, land(1)).alias("l1"), (n > 2).cast("double").alias("more")), "mt-people")
 

@@ -13,7 +13,7 @@ from pampero.llm.residue import residue
 from pampero.llm.splits import assign_splits
 from pampero.llm.tokenizer import encode
 from pampero.operators.relational import keep_one
-from pampero.operators.stats import one_row
+from pampero.operators.stats import modes, one_row
 from pampero.plans.silver import consolidate
 from pampero.session import table, written
 
@@ -66,8 +66,11 @@ def _people(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p, f = table(spark, d, "plata"), table(spark, d, "fotmob")
     tokens, same, role = mt.mapped(lambda v: " ".join(mt.person_tokens(v)), "string"), mt.mapped(mt.country, "string"), mt.mapped(mt.role_class, "string")
     born = F.substring("temporada_fichaje", 1, 4).try_cast("int") - F.when(F.col("edad_al_fichaje").between(14, 45), F.col("edad_al_fichaje"))
-    ids = p.select(plain_digits(p.jugador_tm_id).alias("id"), "nombre", "nacionalidad", "nacionalidad_2", born.alias("nacido"), "altura_cm", "pie", "posicion_tm").where("id is not null and nombre is not null")
-    one = ids.groupBy("id").agg(F.mode("nombre", True).alias("nombre"), F.mode("nacionalidad", True).alias("n1"), F.mode("nacionalidad_2", True).alias("n2"), F.mode("nacido", True).alias("nacido"), F.mode("altura_cm", True).alias("altura"), F.mode("pie", True).alias("pie"), F.mode("posicion_tm", True).alias("pos"))
+    cells = {"nombre": "nombre", "n1": "nacionalidad", "n2": "nacionalidad_2", "nacido": born, "altura": "altura_cm", "pie": "pie", "pos": "posicion_tm"}
+    ids = p.where("jugador_tm_id is not null and nombre is not null").select(F.col("jugador_tm_id").alias("id"), *[(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in cells.items()])
+    # most rows of an id repeat: they are counted before anything is made of them
+    ids = written(ids.groupBy("id", *cells).agg(F.count("*").alias("n")), "mt-counted")
+    one = modes(ids.withColumn("id", plain_digits(F.col("id"))).where("id is not null"), ["id"], list(cells))
     one = one.select("id", tokens("nombre").alias("nombre"), F.concat_ws("|", same("n1"), same("n2")).alias("paises"), "nacido", "altura", F.coalesce(F.lower("pie"), F.lit("")).alias("pie"), role("pos").alias("rol"))
     one = written(one, "mt-plata")
     # a missing birth year or height takes the only one that others of the name have
@@ -76,7 +79,8 @@ def _people(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     tall = known.groupBy("nombre", "paises", "nacido").agg(F.min("altura").alias("h0"), F.max("altura").alias("h1"))
     known = known.alias("k").join(tall.alias("t"), [F.col("k.nombre") == F.col("t.nombre"), F.col("k.paises") == F.col("t.paises"), F.col("k.nacido").eqNullSafe(F.col("t.nacido"))]).select("k.*", F.coalesce("altura", F.when(F.col("h0") == F.col("h1"), F.col("h0"))).alias("h"))
     keyed = known.withColumn("persona", F.when(F.col("nacido").isNull(), F.col("id")).otherwise(F.md5(F.concat_ws("|", "nombre", "paises", "nacido", "h"))))
-    members = written(keyed.select("id", "persona"), "mt-members")
+    keyed = written(keyed, "mt-keyed")
+    members = keyed.select("id", "persona")
     a = keyed.groupBy("persona").agg(F.min("nombre").alias("nombre"), F.min("paises").alias("paises"), F.max("nacido").alias("nacido"), F.max("h").alias("altura"), F.max("pie").alias("pie"), F.max("rol").alias("rol"))
     a = a.select(F.lit("a").alias("side"), F.col("persona").alias("ent"), "nombre", "paises", F.col("nacido").cast("int"), F.col("altura").cast("int"), "pie", "rol")
 

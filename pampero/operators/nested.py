@@ -233,6 +233,55 @@ def stored(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return once.drop("contenido"), written(nodes(once), "nested-store")
 
 
+def within_elements(df: DataFrame, carried: list[str], column: str, root: str, item: str, array_keys: frozenset) -> DataFrame:
+    """One row per object that is an element of the array ``root`` in the JSON ``column``, with the objects under a key ``item`` below it.
+
+    ``elemento`` and ``contenido`` are the element's path and own fields, ``dentro`` the (ruta,
+    contenido) of what lies in it, as ``occurrences`` names and writes them; the record's
+    ``carried`` columns stay beside. Each record's objects are at hand in its walk, so neither a
+    bridge nor a join on nodes is needed. Elements without such objects and items below no element
+    give nothing, nor does text that is null, empty or no JSON. One pass, no shuffle.
+    """
+    schema = df.select(*carried).schema
+    top = re.compile(rf"{re.escape(root)}/[0-9]+(?=/|$)")
+    lies = pa.list_(pa.struct([("ruta", pa.string()), ("contenido", pa.string())]))
+
+    def run(batches):
+        for batch in batches:
+            at, paths, contents, inside = [], [], [], []
+            for i, text in enumerate(batch.column(len(carried)).to_pylist()):
+                if not text or not text.strip():
+                    continue
+                try:
+                    value = _parsed(text)
+                except ValueError:
+                    continue
+                elements: dict[str, str] = {}
+                below: dict[str, list] = {}
+                for path, _, key, _, _, _, _, content in shred(root, value, array_keys):
+                    m = top.match(path) if key in (root, item) else None
+                    if m and key == root and m[0] == path:
+                        elements[path] = content
+                    if m and key == item:
+                        below.setdefault(m[0], []).append({"ruta": path, "contenido": content})
+                for path in below.keys() & elements.keys():
+                    at.append(i)
+                    paths.append(path)
+                    contents.append(elements[path])
+                    inside.append(below[path])
+            if at:
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in range(len(carried))], pa.array(paths, pa.string()), pa.array(contents, pa.string()), pa.array(inside, lies)], names=[*carried, "elemento", "contenido", "dentro"])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return df.select(*carried, column).mapInArrow(run, f"{own}, elemento string, contenido string, dentro array<struct<ruta: string, contenido: string>>")
+
+
+def as_json(content: Column) -> Column:
+    """An object's stored content, whose nested objects are bare #hash marks, as JSON: the marks quoted."""
+    return F.regexp_replace(content, r'(?<=[:,\[])#([0-9a-f]{32})(?=[,}\]])', '"#$1"')
+
+
 def flat_table(bridge: DataFrame, store: DataFrame, where: Column, fields: dict[str, str], keep: Column | None = None) -> DataFrame:
     """The occurrences under a condition with scalar fields of their objects; each row names its parent's path and node.
 
@@ -242,8 +291,6 @@ def flat_table(bridge: DataFrame, store: DataFrame, where: Column, fields: dict[
     was first seen under: the store has each node of the bridge.
     """
     own = bridge.where(where).select("tabla", "registro", "ruta", "padre_ruta", "clave", "ordinal", "nodo", "padre_nodo")
-    # the contents hold bare #hash marks for nested objects: quoted, they are JSON
-    content = F.regexp_replace("contenido", r'(?<=[:,\[])#([0-9a-f]{32})(?=[,}\]])', '"#$1"')
-    parts = store.select("nodo", "contenido", *[F.get_json_object(content, f"$['{key}']").alias(name) for name, key in fields.items()])
+    parts = store.select("nodo", "contenido", *[F.get_json_object(as_json(F.col("contenido")), f"$['{key}']").alias(name) for name, key in fields.items()])
     out = own.join(parts, "nodo")
     return (out if keep is None else out.where(keep)).drop("contenido")

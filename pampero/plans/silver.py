@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pampero.functions.text import fold_text, plain_date, plain_digits
-from pampero.operators.nested import flat_table, occurrences, stored
+from pampero.operators.nested import as_json, within_elements
 from pampero.operators.quality import Check, empty_columns, report, rows_where, same_flag
 from pampero.operators.relational import first_match, flag, keep_one, recode, typed
 from pampero.operators.resolve import RESERVE, name_tokens, resolve
-from pampero.operators.stats import one_row
+from pampero.operators.stats import modes, one_row
 from pampero.plans.datasets import ARRAY_KEYS, _TREE
 from pampero.session import table, written
 from pampero.sources.bronze import partition_value
@@ -68,13 +68,15 @@ def _tournament_metrics(spark: SparkSession, d: str) -> DataFrame:
     """jugador_fotmob_id, temporada, metrica, v of every tournament in the newest fetch of a profile."""
     f = table(spark, d, "fotmob")
     newest = keep_one(f.select("registro_id", "jugador_fotmob_id", "statseasons", "extraido_el"), ["jugador_fotmob_id"], [F.col("extraido_el"), F.col("registro_id")])
-    bridge, store = stored(occurrences(newest, "fotmob", F.col("registro_id"), {"statseasons": "statSeasons"}, ARRAY_KEYS))
-    seasons = flat_table(bridge, store, F.col("clave") == "statSeasons", {"temporada": "seasonName"}).select("registro", F.col("ruta").alias("s"), "temporada")
-    items = flat_table(bridge, store, F.col("clave") == "items", {"titulo": "title", "valor": "statValue"}).where("titulo is not null")
-    v = F.regexp_replace("valor", "%$", "").try_cast("double")
-    long = items.select("registro", F.regexp_extract("ruta", r"^(statSeasons/\d+)", 1).alias("s"), F.regexp_extract("ruta", r"^(statSeasons/\d+/tournaments/\d+)", 1).alias("t"), F.concat(F.lit("stat_"), F.lower(F.replace("titulo", F.lit(" "), F.lit("_")))).alias("metrica"), v.alias("v"), "ruta").where("v is not null")
-    one = long.groupBy("registro", "s", "t", "metrica").agg(F.max_by("v", F.struct(F.col("ruta").contains("/statsSection/"), "ruta")).alias("v"))
-    return one.join(seasons, ["registro", "s"]).join(newest.select(F.col("registro_id").alias("registro"), "jugador_fotmob_id"), "registro")
+    seasons = within_elements(newest, ["registro_id", "jugador_fotmob_id"], "statseasons", "statSeasons", "items", ARRAY_KEYS)
+    # fields are read before the items are laid in rows: a filter on them would be pushed below and read them again
+    shown = F.transform("dentro", lambda x: F.struct(x["ruta"].alias("ruta"), as_json(x["contenido"]).alias("j")))
+    read = F.transform(shown, lambda x: F.struct(x["ruta"].alias("ruta"), F.get_json_object(x["j"], "$['title']").alias("titulo"), F.regexp_replace(F.get_json_object(x["j"], "$['statValue']"), "%$", "").try_cast("double").alias("v")))
+    seasons = seasons.select("registro_id", "jugador_fotmob_id", F.col("elemento").alias("s"), F.get_json_object(as_json(F.col("contenido")), "$['seasonName']").alias("temporada"), F.filter(read, lambda x: x["titulo"].isNotNull() & x["v"].isNotNull()).alias("x"))
+    items = seasons.select("registro_id", "jugador_fotmob_id", "s", "temporada", F.explode("x").alias("x"))
+    long = items.select("registro_id", "jugador_fotmob_id", "s", "temporada", F.regexp_extract("x.ruta", r"^(statSeasons/\d+/tournaments/\d+)", 1).alias("t"), F.concat(F.lit("stat_"), F.lower(F.replace("x.titulo", F.lit(" "), F.lit("_")))).alias("metrica"), "x.v", "x.ruta")
+    one = long.groupBy("registro_id", "jugador_fotmob_id", "s", "temporada", "t", "metrica").agg(F.max_by("v", F.struct(F.col("ruta").contains("/statsSection/"), "ruta")).alias("v"))
+    return one.select("jugador_fotmob_id", "temporada", "metrica", "v")
 
 
 def _consolidated(per: DataFrame) -> DataFrame:
@@ -126,8 +128,10 @@ def consolidate(spark: SparkSession, d: str, seasons: list[str] | None = None, t
     aliases = forms.select(F.col("uefa_id").alias("destino"), F.coalesce("uefa_ranking", F.lit(10_000)).alias("pos"), country_key(F.col("uefa_pais")).alias("block"), name_tokens(fold_text(F.col("n"))).alias("tokens"))
     # neither the destination's name nor every origin's country is on a page: the silver history of the clubs has them
     p = table(spark, d, "plata")
-    targets = p.groupBy(plain_digits(F.col("club_destino_id")).alias("club_destino_id")).agg(F.mode("club_destino", True).alias("club_destino"), F.mode("club_destino_pais", True).alias("club_destino_pais")).where("club_destino_id is not null")
-    known = p.groupBy(plain_digits(F.col("club_origen_id")).alias("club_origen_id")).agg(F.mode("club_origen_pais", True).alias("pais"), F.mode(F.when(F.col("club_origen_liga_id").isNotNull(), F.struct("club_origen_liga", "club_origen_liga_id")), True).alias("liga")).where("club_origen_id is not null")
+    liga = F.when(F.col("club_origen_liga_id").isNotNull(), F.struct("club_origen_liga", "club_origen_liga_id"))
+    counted = lambda raw, **cells: written(p.where(F.col(raw).isNotNull()).groupBy(raw, *[c.alias(k) for k, c in cells.items()]).agg(F.count("*").alias("n")), "silver-clubs").withColumn(raw, plain_digits(F.col(raw))).where(F.col(raw).isNotNull())
+    targets = modes(counted("club_destino_id", club_destino=F.col("club_destino"), club_destino_pais=F.col("club_destino_pais")), ["club_destino_id"], ["club_destino", "club_destino_pais"])
+    known = modes(counted("club_origen_id", pais=F.col("club_origen_pais"), liga=liga), ["club_origen_id"], ["pais", "liga"])
     base = kept.withColumns({c: plain_digits(F.col(c)) for c in ("club_destino_id", "club_origen_id", "jugador_tm_id")}).join(targets, "club_destino_id", "left").join(known, "club_origen_id", "left")
     no_league = F.col("club_origen_liga_id").isNull()
     base = base.withColumns({

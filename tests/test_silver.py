@@ -4,8 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from conftest import rows
 from pampero.functions.text import plain_digits
+from pampero.operators.nested import as_json, flat_table, occurrences, stored, within_elements
 from pampero.operators.quality import report
+from pampero.operators.stats import modes
+from pampero.plans.datasets import ARRAY_KEYS
 from pampero.plans.reference import silver_checks
 from pampero.plans.silver import gate, operation
 
@@ -105,3 +109,41 @@ def test_usual_rows_are_read_whole_and_as_by_their_tags(monkeypatch):
         assert ah.arrivals(page) == got[0]
     monkeypatch.setattr(ah, "_usual", lambda _: None)
     assert [ah.arrivals(p) for p in pages] == got
+
+
+def test_modes_of_counted_rows_are_those_of_all_rows(spark):
+    data = [(i % 7, x, y) for i, (x, y) in enumerate([("b", 2), ("a", 2), (None, 1), ("b", None), ("a", 1), ("c", None), (None, None)] * 9 + [("z", 5)] * 40 + [(None, None), ("å", 3)])] + [(99, None, None), (98, "q", None), (97, "m", 1), (97, "l", 1)]
+    df = spark.createDataFrame(data, "k int, x string, y int").withColumn("s", F.when(F.col("y").isNotNull(), F.struct("x", "y")))
+    want = df.groupBy("k").agg(*[F.mode(c, True).alias(c) for c in ("x", "y", "s")])
+    got = modes(df.groupBy("k", "x", "y", "s").agg(F.count("*").alias("n")), ["k"], ["x", "y", "s"])
+    assert rows(got) == rows(want) and got.columns == want.columns
+
+
+def test_items_of_a_season_are_those_of_the_bridge(spark):
+    texts = [
+        '[{"seasonName":"2023/2024","tournaments":[{"items":[{"title":"Goals","statValue":"3"},null,{"title":"x","statValue":{"a":1}}],"d":{"items":{"title":"Goals","statValue":"4"}}}]},null,{"seasonName":2022,"tournaments":"[{\\"items\\":[{\\"title\\":\\"Goals\\",\\"statValue\\":1.5}]}]"}]',
+        '{"seasonName":"2021","items":[{"title":"one"}]}', '"[{\\"seasonName\\":\\"text\\",\\"items\\":{\\"title\\":\\"t\\"}}]"', '[[{"seasonName":"deep","items":[{"title":"lost"}]}]]', '[{"seasonName":"none"}]', "3", "{broken", " ", None,
+    ]
+    df = spark.createDataFrame([(i, f"p{i}", t) for i, t in enumerate(texts)], "r bigint, p string, j string")
+    bridge, store = stored(occurrences(df, "t", F.col("r"), {"j": "statSeasons"}, ARRAY_KEYS))
+    top = flat_table(bridge, store, F.col("clave") == "statSeasons", {"season": "seasonName"}).select("registro", F.col("ruta").alias("s"), "season")
+    items = flat_table(bridge, store, F.col("clave") == "items", {"title": "title", "value": "statValue"})
+    want = items.withColumn("s", F.regexp_extract("ruta", r"^(statSeasons/\d+)", 1)).join(top, ["registro", "s"]).select("registro", "s", "season", "ruta", "title", "value")
+    got = within_elements(df, ["r", "p"], "j", "statSeasons", "items", ARRAY_KEYS)
+    json = lambda c, k: F.get_json_object(as_json(F.col(c)), f"$.{k}")
+    got = got.select("*", F.explode("dentro").alias("x")).select("r", F.col("elemento").alias("s"), json("contenido", "seasonName").alias("season"), "x.ruta", json("x.contenido", "title").alias("title"), json("x.contenido", "statValue").alias("value"))
+    assert rows(got) == rows(want) and got.count() == 6
+
+
+def test_silver_counts_before_it_takes_modes_and_makes_no_bridge(spark, monkeypatch):
+    pytest.importorskip("pampero.llm.queries")
+    from pampero.llm import matching, queries
+    from pampero.operators import nested, resolve
+    from pampero.plans import silver as plan
+
+    seen, run = {}, plan.written
+    for module in (queries, matching, nested, resolve, plan):
+        monkeypatch.setattr(module, "written", lambda df, name: seen.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and run(df, name))
+    __spark_entry__.queries()["silver"](spark, D)
+    assert "mt-people" in seen and not any(" mode(" in p for p in seen.values())
+    assert not any(name.startswith("nested") for name in seen)
