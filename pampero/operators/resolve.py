@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -127,13 +128,36 @@ def _approximate(left: DataFrame, al: DataFrame, near: float, far: float, names:
 STAGES = ("exacto", "subconjunto", "aproximado")
 
 
-def resolve(names: DataFrame, aliases: DataFrame, near: float = 0.82, far: float = 0.93, stages: tuple = STAGES) -> DataFrame:
+@dataclass(frozen=True)
+class Aliases:
+    """Aliases as the stages read them: each (block, tokens) once, how often a block's aliases hold a token, each alias by its rarest one."""
+
+    once: DataFrame
+    often: DataFrame | None
+    rare: DataFrame | None
+
+
+def prepared(aliases: DataFrame, stages: tuple = STAGES) -> Aliases:
+    """The written tables of aliases for ``resolve``, which several calls may share."""
+    al = aliases.withColumn("ak", F.array_join("tokens", " ")).where("ak <> ''").groupBy(F.col("block").alias("ablock"), F.col("tokens").alias("at"), "ak").agg(F.min(F.struct("pos", "destino")).alias("m"))
+    al = written(al.select("m.destino", "m.pos", "ablock", "at", "ak"), "resolve-aliases")
+    if len(stages) < 2:
+        return Aliases(al, None, None)
+    shown = al.withColumn("t", F.explode(F.array_distinct("at")))
+    often = written(shown.groupBy("ablock", "t").agg(F.count("*").alias("n")), "resolve-often")
+    # an alias is one row of block and tokens, so its rarest token needs no other key than these
+    rare = shown.join(often, ["ablock", "t"]).groupBy("ablock", "at").agg(F.min(F.struct("n", "t", "pos", "destino")).alias("m")).select("ablock", "at", "m.t", "m.pos", "m.destino")
+    return Aliases(al, often, written(rare, "resolve-rare"))
+
+
+def resolve(names: DataFrame, aliases: DataFrame | Aliases, near: float = 0.82, far: float = 0.93, stages: tuple = STAGES) -> DataFrame:
     """``id``, ``destino``, ``metodo`` of every name: (id, block, tokens) against (destino, pos, block, tokens).
 
     Exact token lists, then containment either way (within a block only), then the best sequence
     ratio of at least ``near`` within a block or ``far`` where the block is unknown or has no
     aliases. Each stage takes the residue of the one before; the smallest ``pos`` wins ties.
-    ``stages`` are the first one, two or all of them; what these leave is ``sin_match``.
+    ``stages`` are the first one, two or all of them; what these leave is ``sin_match``. Aliases
+    that several calls share are ``prepared`` once.
     Names are resolved once a different (block, tokens), aliases count once a different (block,
     tokens), with their first target. Nothing that the ratios allow is lost: a list that contains
     another has also its rarest token, by which they are joined, and ratios are left out only where
@@ -142,8 +166,8 @@ def resolve(names: DataFrame, aliases: DataFrame, near: float = 0.82, far: float
     """
     key = lambda c: F.array_join(c, " ")
     base = written(names.withColumn("k", key("tokens")), "resolve-names")
-    al = aliases.withColumn("ak", key("tokens")).where("ak <> ''").groupBy(F.col("block").alias("ablock"), F.col("tokens").alias("at"), "ak").agg(F.min(F.struct("pos", "destino")).alias("m"))
-    al = written(al.select("m.destino", "m.pos", "ablock", "at", "ak"), "resolve-aliases")
+    aliases = aliases if isinstance(aliases, Aliases) else prepared(aliases, stages)
+    al = aliases.once
     ask = base.where("k <> ''").select("block", "tokens", "k").distinct()
     blocks = al.select(F.col("ablock").alias("block")).distinct().withColumn("known", F.lit(True))
     ask = ask.join(blocks, "block", "left").withColumn("known", F.coalesce("known", F.lit(False)))
@@ -155,9 +179,7 @@ def resolve(names: DataFrame, aliases: DataFrame, near: float = 0.82, far: float
     if len(stages) > 1:
         all_ = exact = written(exact, "resolve-exact")
         rest = written(less(ask, exact), "resolve-rest")
-        shown = al.withColumn("t", F.explode(F.array_distinct("at")))
-        often = shown.groupBy("ablock", "t").agg(F.count("*").alias("n"))
-        rare = shown.join(often, ["ablock", "t"]).groupBy("ablock", "ak", "at").agg(F.min_by("t", F.struct("n", "t")).alias("t"), F.min(F.struct("pos", "destino")).alias("m")).select("ablock", "at", "t", "m.pos", "m.destino")
+        shown, often, rare = al.withColumn("t", F.explode(F.array_distinct("at"))), aliases.often, aliases.rare
         asked = rest.where("known").withColumn("t", F.explode(F.array_distinct("tokens")))
         rarest = asked.join(often.withColumnRenamed("ablock", "block"), ["block", "t"], "left").groupBy("block", "tokens", "k").agg(F.min_by("t", F.struct(F.coalesce("n", F.lit(0)), "t")).alias("t"))
         meet = lambda a, b, inner, outer: a.alias("a").join(b.alias("b"), (F.col("block") == F.col("ablock")) & (F.col("a.t") == F.col("b.t"))).where(F.size(F.array_except(inner, outer)) == 0).select("block", "k", "destino", "pos")
@@ -196,8 +218,10 @@ def catalogue(sources: DataFrame, aliases: DataFrame, ranks: DataFrame, tope: in
     """
     first = sources.groupBy("id").agg(F.min_by(F.struct("orden", "block", "tokens", "otros_tokens"), F.struct("orden", F.array_join("tokens", " "))).alias("s")).select("id", "s.*")
     first = written(first, "catalogue-first")
+    aliases = prepared(aliases)
     once = written(resolve(first.select("id", "block", "tokens"), aliases), "catalogue")
-    again = first.join(once.where("destino is null").select("id"), "id", "left_semi")
+    # another name of the same tokens would find no more
+    again = first.where(~F.col("tokens").eqNullSafe(F.col("otros_tokens"))).join(once.where("destino is null").select("id"), "id", "left_semi")
     second = resolve(again.select("id", "block", F.col("otros_tokens").alias("tokens")), aliases).select("id", F.col("destino").alias("d2"), F.col("metodo").alias("m2"))
     both = once.join(second, "id", "left").select("id", F.coalesce("destino", "d2").alias("destino"), F.when(F.col("destino").isNull() & F.col("m2").isNotNull() & (F.col("m2") != "sin_nombre"), F.col("m2")).otherwise(F.col("metodo")).alias("metodo"))
     tied = written(one_target(both.join(first.select("id", "orden"), "id"), F.col("orden")), "catalogue")

@@ -342,3 +342,16 @@ def test_core_stands_without_the_llm_subpackage():
             for f in files:
                 if f.endswith(".py"):
                     assert "pampero.llm" not in open(os.path.join(folder, f), encoding="utf-8").read(), f
+
+
+def test_the_catalogue_prepares_aliases_once_and_asks_again_only_for_other_tokens(spark, monkeypatch):
+    from pampero.operators import resolve as rs
+
+    al = spark.createDataFrame([("a", 1, "x", ["alfa"]), ("b", 2, "x", ["beta", "norte"]), ("c", 3, "x", ["beta", "sur"])], "destino string, pos int, block string, tokens array<string>")
+    src = spark.createDataFrame([("1", 1, "x", ["alfa"], ["otro"]), ("2", 2, "x", ["zzz"], ["zzz"]), ("3", 3, "x", ["qqq"], ["norte", "beta"]), ("4", 4, "x", [], []), ("5", 5, "x", ["www"], None), ("6", 6, "x", ["vvv"], ["uuu"]), ("7", 7, "x", [], ["beta", "sur"])], "id string, orden int, block string, tokens array<string>, otros_tokens array<string>")
+    made, run = {}, rs.written
+    monkeypatch.setattr(rs, "written", lambda df, name: made.setdefault(name, []).append(run(df, name)) or made[name][-1])
+    cat, rest = rs.catalogue(src, al, spark.createDataFrame([("a", 3), ("b", 2), ("c", 1)], "destino string, puesto int"))
+    assert rows(cat, "id", "destino", "metodo") == [("1", "a", "exacto"), ("3", "b", "subconjunto"), ("7", "c", "exacto")]
+    assert rows(rest) == [("2", "sin_match"), ("4", "sin_nombre"), ("5", "sin_match"), ("6", "sin_match")]
+    assert len(made["resolve-aliases"]) == 1 and [rows(df, "id") for df in made["resolve-names"]] == [[(str(i),) for i in range(1, 8)], [("3",), ("5",), ("6",), ("7",)]]
