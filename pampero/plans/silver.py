@@ -120,7 +120,8 @@ def consolidate(spark: SparkSession, d: str, seasons: list[str] | None = None, t
     ``metricas`` holds all of them. Without ``players`` that history is unknown (null).
     """
     signings = arrival_rows(spark, d, seasons).where(~F.col("tipo_operacion").isin(NO_SIGNING))
-    kept = written(keep_one(signings, ["operacion_id"], [F.col("aterrizado_el"), F.col("archivo_id")]), "silver-rows")
+    kept = keep_one(signings, ["operacion_id"], [F.col("aterrizado_el"), F.col("archivo_id")])
+    base = written(kept.withColumns({c: plain_digits(F.col(c)) for c in ("club_destino_id", "club_origen_id", "jugador_tm_id")}), "silver-rows")
     u = table(spark, d, "uefa").withColumn("dia", plain_date(F.col("actualizacion")))
     newest = u.agg(F.max("dia").alias("dia"))
     ranks = keep_one(u.join(newest, "dia").select(plain_digits(F.col("uefa_club_id")).alias("uefa_id"), "dia", "uefa_ranking", "uefa_coeficiente", "uefa_pais", "uefa_nombre", "uefa_nombre_oficial", "uefa_nombre_internacional", "uefa_nombre_corto", "aterrizado_el", "fila_id").where("uefa_id is not null"), ["uefa_id"], [F.col("aterrizado_el"), F.col("fila_id")])
@@ -132,21 +133,27 @@ def consolidate(spark: SparkSession, d: str, seasons: list[str] | None = None, t
     counted = lambda raw, **cells: written(p.where(F.col(raw).isNotNull()).groupBy(raw, *[c.alias(k) for k, c in cells.items()]).agg(F.count("*").alias("n")), "silver-clubs").withColumn(raw, plain_digits(F.col(raw))).where(F.col(raw).isNotNull())
     targets = modes(counted("club_destino_id", club_destino=F.col("club_destino"), club_destino_pais=F.col("club_destino_pais")), ["club_destino_id"], ["club_destino", "club_destino_pais"])
     known = modes(counted("club_origen_id", pais=F.col("club_origen_pais"), liga=liga), ["club_origen_id"], ["pais", "liga"])
-    base = kept.withColumns({c: plain_digits(F.col(c)) for c in ("club_destino_id", "club_origen_id", "jugador_tm_id")}).join(targets, "club_destino_id", "left").join(known, "club_origen_id", "left")
-    no_league = F.col("club_origen_liga_id").isNull()
-    base = base.withColumns({
-        "club_origen_pais": F.coalesce("club_origen_pais", "pais"),
-        "club_origen_liga": F.when(no_league, F.coalesce("club_origen_liga", "liga.club_origen_liga")).otherwise(F.col("club_origen_liga")), "club_origen_liga_id": F.coalesce("club_origen_liga_id", "liga.club_origen_liga_id"),
-    }).drop("pais", "liga")
-    base = written(base, "silver-base")
-    asked = base.select(F.col("club_destino").alias("n"), F.col("club_destino_pais").alias("c")).union(base.where("not club_origen_es_filial").select("club_origen", "club_origen_pais")).where("n is not null").distinct()
+    # clubs are few beside signings: names, countries and ranks are put together a club, and each side joined to the signings once
+    targets = written(targets.join(base.select("club_destino_id").distinct(), "club_destino_id", "left_semi"), "silver-targets")
+    own = {"_oid": "club_origen_id", "_on": "club_origen", "_op": "club_origen_pais", "_of": "club_origen_es_filial"}
+    origins = base.select(*[F.col(c).alias(k) for k, c in own.items()]).distinct().join(known, F.col("_oid") == F.col("club_origen_id"), "left").drop("club_origen_id")
+    origins = written(origins.withColumn("pais", F.coalesce("_op", "pais")), "silver-origins")
+    asked = targets.select(F.col("club_destino").alias("n"), F.col("club_destino_pais").alias("c")).union(origins.where("not _of").select("_on", "pais")).where("n is not null").distinct()
     asked = written(asked.select(F.struct("n", "c").alias("id"), country_key(F.col("c")).alias("block"), name_tokens(fold_text(F.col("n"))).alias("tokens")), "silver-asked")
     found = written(resolve(asked, written(aliases, "silver-aliases")), "silver-found")
     r = ranks.select(F.col("uefa_id").alias("destino"), "uefa_ranking", "uefa_coeficiente")
     matched = written(found.join(r, "destino", "left"), "silver-matched")
     side = lambda x: matched.select(F.col("id.n").alias(f"_n{x}"), F.col("id.c").alias(f"_c{x}"), F.col("uefa_ranking").alias(f"club_{x}_ranking_uefa"), F.col("uefa_coeficiente").alias(f"club_{x}_coeficiente_uefa"), F.col("metodo").alias(f"_m{x}"))
-    meets = lambda x: (F.col(f"club_{x}") == F.col(f"_n{x}")) & F.col(f"club_{x}_pais").eqNullSafe(F.col(f"_c{x}"))
-    out = base.join(side("destino"), meets("destino"), "left").join(side("origen"), meets("origen") & ~F.col("club_origen_es_filial"), "left")
+    meets = lambda x, n, c: (F.col(n) == F.col(f"_n{x}")) & F.col(c).eqNullSafe(F.col(f"_c{x}"))
+    into = targets.join(side("destino"), meets("destino", "club_destino", "club_destino_pais"), "left")
+    off = origins.join(side("origen"), meets("origen", "_on", "pais") & ~F.col("_of"), "left")
+    same = [F.col(c).eqNullSafe(F.col(k)) for k, c in own.items()]
+    out = base.join(into, "club_destino_id", "left").join(off, same, "left")
+    no_league = F.col("club_origen_liga_id").isNull()
+    out = out.withColumns({
+        "club_origen_pais": F.col("pais"),
+        "club_origen_liga": F.when(no_league, F.coalesce("club_origen_liga", "liga.club_origen_liga")).otherwise(F.col("club_origen_liga")), "club_origen_liga_id": F.coalesce("club_origen_liga_id", "liga.club_origen_liga_id"),
+    }).drop("pais", "liga", *own)
     start = F.col("temporada").try_cast("int")
     label = lambda a, b: F.concat_ws("/", a.cast("string"), b.cast("string"))
     out = out.withColumn("temporada_fichaje", F.when(start.isNotNull(), label(start, start + 1))).withColumn("temporada_stats", F.when(start.isNotNull(), label(start - 1, start)))
